@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, kdshard, mixing, simhash
-from .util import table
+from . import chat, gridjoin, kdshard, langid, mixing, packing, pii, simhash, topk, toxicity
+from .util import crc32_text, table
+
+
+def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are learned from where the crc32 of doc_id is not 2 modulo 4."""
+    docs, held_out = table(spark, sf_dir, "documents"), crc32_text("doc_id") % 4 == 2
+    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels").where(~held_out))
+    out = toxicity.scored(docs, lexicon)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,11 +27,27 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.examples(turns.unionByName(own)))
 
 
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(100)) == 0)
+
+
 def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = kdshard.kd_shards(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gridjoin.vector_components(table(spark, sf_dir, "embeddings"))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and base_sha256 are of the base spans; spans has the network's too."""
+    docs = table(spark, sf_dir, "documents")
+    out = pii.find(docs, pii.train(docs))
+    count = lambda kind: F.regexp_count("base", F.lit(f"{kind}:")).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", *map(count, pii.KINDS), F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.copies(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
@@ -29,5 +58,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_chat_format, op5_kd_shards, op8_mix, op9_simhash)}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages are learned from where the crc32 of doc_id is not 1 modulo 3."""
+    docs, held_out = table(spark, sf_dir, "documents"), crc32_text("doc_id") % 3 == 1
+    out = langid.identify(docs, langid.fit(docs.where(~held_out)))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_pack, op2_toxicity, op3_chat_format, op4_top_k, op5_kd_shards, op6_near_vectors, op7_pii, op8_mix, op9_simhash, op10_language)}
 ORACLES = {"op8_mix": mixing.SQL}

@@ -9,6 +9,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from quire.session import reachable
+
 #: Rows that one task ranks at a time (see rank_within).
 RANK_ROWS = 50_000
 
@@ -67,7 +69,7 @@ def parts(spark: SparkSession) -> int:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return reachable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def crc32_text(column: str) -> "F.Column":
