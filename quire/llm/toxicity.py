@@ -8,6 +8,7 @@ turn a text's matches, by its length, into a score.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -54,9 +55,17 @@ def _folds() -> dict[int, str | None]:
 _FOLDS = _folds()
 
 
+#: Signs that stand for letters only before a letter or digit.
+_SIGNS = re.compile(r"[@$!|]+(?!\w)")
+
+
 def fold(text: str | None) -> str:
     """Words between single or more spaces, with one at either end."""
-    return f" {text.translate(_FOLDS)} " if text else "  "
+    if not text:
+        return "  "
+    if any(c in text for c in "@$!|"):
+        text = _SIGNS.sub(" ", text)
+    return f" {text.translate(_FOLDS)} "
 
 
 def _features(folded: str) -> set[str]:
