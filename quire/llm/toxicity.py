@@ -23,8 +23,8 @@ from .util import Staged
 
 #: Labelled documents of each class that the lexicon is learned from at most (those of least hash of doc_id); entries and exceptions at most.
 SAMPLE, ENTRIES, EXCEPTIONS = 8000, 5000, 5000
-#: Entries are beginnings of words, of these lengths, or whole words; log odds that an entry needs.
-PREFIXES, LEAST_ODDS = range(4, 13), 2.5
+#: Entries are beginnings of words, of these lengths, or whole words; log odds that an entry needs, and standard errors taken off them.
+PREFIXES, LEAST_ODDS, CAUTION = range(4, 13), 1.5, 1.5
 THRESHOLD = 0.3
 
 # Letters of other scripts that look like Latin ones, and signs that stand for letters.
@@ -149,7 +149,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
 
     least = max(2, n[1] // 500)
     counted = sample.mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    odds = lambda toxic, clean: np.log((toxic + 0.5) / (n[1] + 1)) - np.log((clean + 0.5) / (n[0] + 1))
+    # log odds less CAUTION standard errors: few sightings prove little
+    odds = lambda toxic, clean: np.log((toxic + 0.5) / (n[1] + 1)) - np.log((clean + 0.5) / (n[0] + 1)) - CAUTION * np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
     rows = [(f, float(odds(t, c)), t) for f, c, t in counted.where((F.col("toxic") >= least) & (F.col("toxic") > F.col("clean"))).collect()]
     entries: dict[str, float] = {}
     rows = sorted((r for r in rows if r[1] >= LEAST_ODDS), key=lambda r: (-r[2] * r[1], r[0]))[: 4 * ENTRIES]
