@@ -41,7 +41,7 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
         for big in batches:
             for at in range(0, big.num_rows, 512):
                 b = big.slice(at, 512)
-                ids = [x + end for x in tokens.encode(b.column(1).to_pylist())]
+                ids = [tokens.encode(x) + end for x in b.column(1).to_pylist()]
                 n = pa.array([len(x) // 2 for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0), n, pa.array([route(np.frombuffer(x, "<u2")) for x in ids], pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "n", "route", "ids"])
 

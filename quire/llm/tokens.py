@@ -2,71 +2,79 @@
 
 from __future__ import annotations
 
-import os
+import re
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
-#: Words whose ids a worker keeps, and the longest word kept; beyond the first the memory starts anew.
-KEPT, LONGEST = 400_000, 48
-_MARK = "<|endoftext|>"
+#: Words, and words without signs, whose ids a worker keeps, and the longest word kept; beyond these numbers a memory starts anew.
+KEPT, CORES, LONGEST = 500_000, 600_000, 48
+#: A word that the tokenizer's own rules cut into letters, whose lower case is as long, and the signs after them.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)\Z")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it shows, else the next from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+class _Words(dict):
+    def __init__(self, tokens: WordTokens):
+        super().__init__({"": b""})
+        self.tokens = tokens
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.tokens.word(word)
+        if len(word) <= LONGEST:
+            self[word] = ids
+        return ids
 
 
 class WordTokens:
-    """Ids as little-endian 16-bit bytes, for a tokenizer that drops white space, splits at it and has under 65,536 ids."""
+    """Ids as little-endian 16-bit bytes, for a lower-casing byte-level BPE that drops white space, splits at it and has under 65,536 ids."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_file(path)
-        self.mark = self.tok.token_to_id(_MARK)
-        if self.tok.get_vocab_size() > 1 << 16 or self.mark is None:
+        if self.tok.get_vocab_size() > 1 << 16:
             raise ValueError("this tokenizer's ids don't fit")
-        self.kept: dict[str, bytes] = {"": b""}
+        if sys.byteorder != "little":
+            raise ValueError("ids are kept as this machine has them, which must be little-endian")
+        self.model, self.letters = self.tok.model, _byte_letters()
+        self.kept, self.cores, self.signs = _Words(self), {"": b""}, {"": b""}
 
-    def _alone(self, word: str) -> bytes:
+    def _whole(self, word: str) -> bytes:
         return np.array(self.tok.encode(word, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def learn(self, words: set[str]) -> None:
-        """Many words in one call, with a special token between them that marks their ends."""
-        if len(self.kept) + len(words) > KEPT:
-            self.kept = {"": b""}
-        odd = [w for w in words if "<|" in w or not w.isprintable()]
-        plain = list(words.difference(odd))
-        self.kept.update((w, self._alone(w)) for w in odd)
-        for at in range(0, len(plain), 2000):
-            own = plain[at : at + 2000]
-            ids = np.array(self.tok.encode(_MARK.join(own), add_special_tokens=False).ids, "<u2")
-            ends = np.flatnonzero(ids == self.mark)
-            if len(ends) != len(own) - 1:
-                self.kept.update((w, self._alone(w)) for w in own)
-                continue
-            cuts = [0, *(2 * ends).tolist(), 2 * len(ids)]
-            raw = ids.tobytes()
-            self.kept.update((w, raw[a + 2 * (i > 0) : b]) for i, (w, a, b) in enumerate(zip(own, cuts[:-1], cuts[1:], strict=True)))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        out, at = [], 0
-        while at < len(split):  # as many texts as the memory takes at a time
-            new: set[str] = set()
-            to = at
-            while to < len(split) and (to == at or len(new) < KEPT // 8):
-                new.update(w for w in split[to] if w not in self.kept and len(w) <= LONGEST)
-                to += 1
-            if new:
-                self.learn(new)
-                if len(new) + 1 >= len(self.kept):  # it started anew: older words are missing
-                    self.learn({w for x in split[at:to] for w in x if w not in self.kept and len(w) <= LONGEST})
-            kept = self.kept
-            for words in split[at:to]:
-                try:
-                    out.append(b"".join([kept[w] for w in words]))
-                except KeyError:
-                    out.append(b"".join([kept[w] if w in kept else self._alone(w) for w in words]))
-            at = to
-        return out
+    def word(self, word: str) -> bytes:
+        """Simple words go to the model alone, letters and signs apart; all others through every rule of the tokenizer."""
+        m = _SIMPLE.match(word) if len(word) <= LONGEST else None
+        if m is None:
+            return self._whole(word)
+        core, signs = m[1].lower(), m[2]
+        ids = self.cores.get(core)
+        if ids is None:
+            shown = core if core.isascii() else "".join([self.letters[b] for b in core.encode()])
+            ids = self.cores[core] = array("H", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        if not signs:
+            return ids
+        if signs not in self.signs:
+            self.signs[signs] = self._whole(signs)
+        return ids + self.signs[signs]
+
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if len(self.kept) > KEPT:
+            self.kept, self.signs = _Words(self), {"": b""}
+        if len(self.cores) > CORES:
+            self.cores = {"": b""}
+        return b"".join(map(self.kept.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @lru_cache(maxsize=2)
