@@ -1,8 +1,52 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: what is toxic goes, near copies go, personal data is masked, sources are mixed, and the rest is packed.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; whoever runs them writes it as
+Parquet and gives the next stage the table read again. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from quire.llm import mixing, packing, pii, simhash, toxicity
+from quire.llm.util import Staged, crc32_text, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under the threshold. The labels are learned from as in op2_toxicity."""
+    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels").where(crc32_text("doc_id") % 4 != 2))
+    return toxicity.scored(docs, lexicon, docs.columns).where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that of the smallest doc_id."""
+    return simhash.drop_near_copies(docs)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs, pii.train(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece lies in the training sequences; a document that is taken several times is packed as often."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", drop_toxic), ("simhash", drop_near_copies), ("pii", mask_personal_data), ("mixing", mix_sources), ("packing", pack)]
+
+#: SQL can't express the learned stages; tests hold each stage against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    staged, docs = Staged(spark, "pipeline"), table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = staged.put(docs)
+    return docs
