@@ -128,13 +128,17 @@ def _rates(keys: dict, counts: dict[str, Counter], langs: list[str], most: int)
 
 
 def word_counts(docs: DataFrame) -> dict[str, Counter]:
-    """The words of each language in `docs` (text, lang); partitions count their own first."""
+    """The words of each language in `docs` (text, lang); partitions count their own first.
+
+    A document counts a word once, and once more for each doubling: one that repeats itself doesn't outweigh the rest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = defaultdict(Counter)
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen[lang].update((text or "").lower().split())
+                for word, n in Counter((text or "").lower().split()).items():
+                    seen[lang][word] += n.bit_length()
         rows = [(lang, w, n) for lang, c in seen.items() for w, n in c.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 

@@ -9,8 +9,9 @@ So each window of a shard but its last is full.
 
 from __future__ import annotations
 
+import itertools
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ VOCABULARY = 1 << 16
 #: Tokens of a shard, about: this bounds the memory of a task.
 SHARD_TOKENS = 4_000_000
 #: Routing and the index leave out tokens that these make no use of: short frequent merges, and those in more than this share of the documents.
-FREQUENT_IDS, COMMON = 2048, 0.1
+FREQUENT_IDS, COMMON = 2048, 0.4
 K1, B = 1.2, 0.75
 #: A seed asks with this many of its heaviest terms, and for this many neighbours at a time.
 TERMS, NEIGHBOURS = 24, 64
@@ -97,7 +98,7 @@ class Shard:
         heavy = np.lexsort((term, -w, doc))
         by_term = np.argsort(term, kind="stable")
         terms, at = np.unique(term[by_term], return_index=True)
-        spans = dict(zip(terms.tolist(), zip(at.tolist(), [*at[1:].tolist(), len(term)], strict=True), strict=True))
+        spans = dict(zip(terms.tolist(), itertools.pairwise([*at.tolist(), len(term)]), strict=True))
         return Shard(lengths, np.searchsorted(doc, np.arange(len(ids) + 1)), term[heavy], spans, doc[by_term], w[by_term])
 
     def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
