@@ -157,7 +157,7 @@ def marked_author(c: Column | str) -> Column:
 
 def keywords(c: Column | str) -> Column:
     """A list of keywords parted by commas, semicolons or newlines."""
-    return F.filter(F.transform(F.split(col(c), r"[,;\n]"), clean_value), lambda x: x.isNotNull())
+    return F.filter(F.transform(F.split(col(c), r"[,;\n]"), lambda x: clean_value(x)), lambda x: x.isNotNull())
 
 
 def json_object(c: Column | str) -> Column:

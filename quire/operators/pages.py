@@ -110,8 +110,8 @@ def resolve_tables(pages: DataFrame, prefer: str = "html") -> DataFrame:
         new = reduce(lambda m, s: F.regexp_replace(m, s, safe), shapes, md)
         return F.when(safe.isNotNull(), new).otherwise(md)
 
-    indexed = F.transform(F.coalesce("tables", F.array().cast("array<struct<id:string,html:string,markdown:string,content:string>>")), lambda t, i: F.struct(t.alias("t"), i.alias("i")))
-    return pages.withColumn("markdown", F.aggregate(indexed, F.col("markdown"), lambda m, e: one(m, e["t"], e["i"])))
+    indexed = F.transform("tables", lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+    return pages.withColumn("markdown", F.coalesce(F.aggregate(indexed, F.col("markdown"), lambda m, e: one(m, e["t"], e["i"])), "markdown"))
 
 
 def metadata_sample(pages: DataFrame, most_pages: int = 8, most_bytes: int = 12_000) -> DataFrame:

@@ -29,7 +29,7 @@ def images(pages_: DataFrame) -> DataFrame:
 
 def read_cache(spark: SparkSession, folder: str, kind: str = "ocr") -> DataFrame:
     """(cache_key, payload) of a folder of <key>.<kind>.json files; what can't be read has a null payload."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", f"*.{kind}.json").text(folder).select("value", F.input_file_name().alias("file"))
+    files = spark.read.option("pathGlobFilter", f"*.{kind}.json").text(folder, wholetext=True).select("value", F.input_file_name().alias("file"))
     key = F.regexp_extract("file", rf"([^/]*)\.{kind}\.json\z", 1)
     payload = parsed("value") if kind == "ocr" else F.from_json("value", METADATA)
     return files.select(key.alias("cache_key"), payload.alias("payload"))
