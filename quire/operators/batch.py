@@ -83,6 +83,34 @@ def progress(events: DataFrame) -> DataFrame:
     return events.groupBy("doc").agg(F.max_by("stage", "seq").alias("stage"), F.max("seq").alias("seq"), F.count(F.lit(1)).alias("n_events"))
 
 
+#: Stages of a conversion in order; archives need no recognition, and validation is left out unless asked for.
+STAGES = ("reading_input", "ocr", "normalize", "package_epub", "validate", "complete")
+
+
+def progress_plan(jobs: DataFrame, validate: bool = False) -> DataFrame:
+    """(doc_id, seq, stage, step, total_steps) of jobs (doc_id, format): the stages that each will go through."""
+    stages = F.filter(F.array(*map(F.lit, STAGES)), lambda s: (F.lit(validate) | (s != "validate")) & ((F.col("format") == "pdf") | (s != "ocr")))
+    x = jobs.select("doc_id", stages.alias("s")).select("doc_id", F.posexplode("s").alias("seq", "stage"), F.size("s").alias("total_steps"))
+    return x.select("doc_id", "seq", "stage", (F.col("seq") + 1).alias("step"), "total_steps")
+
+
+def sorted_queue(jobs: DataFrame, column: str = "file", ascending: bool = True) -> DataFrame:
+    """Adds place from 1: by status (pending, running, done, error), or by file, output or message in natural order without case; ties by file name."""
+    text = {"file": P.basename("path"), "output": F.coalesce("output_path", F.lit("")) if "output_path" in jobs.columns else F.lit(""), "message": F.coalesce("message", F.lit("")) if "message" in jobs.columns else F.lit("")}
+    rank = F.array_position(F.array(*map(F.lit, ("pending", "running", "done", "error"))), F.col("status"))
+    own = rank if column == "status" else P.natural_key(F.lower(text[column]))
+    name = P.natural_key(F.lower(P.basename("path")))
+    turn = lambda c, up: c.asc() if up else c.desc()
+    order = W.orderBy(turn(own, ascending), turn(name, ascending or column != "status"), "path", "input_order")
+    return jobs.withColumn("place", F.row_number().over(order))
+
+
+def report(outcomes: DataFrame) -> list[str]:
+    """Lines for a console, from the totals."""
+    r = summary(outcomes).first()
+    return [f"{r.successes} converted, {r.failures} failed", f"{r.pages} pages, {r.chapters} chapters, {r.images} images, {r.cache_hits} from cache"]
+
+
 def counts(pages: DataFrame, chapters: DataFrame, images: DataFrame) -> DataFrame:
     """(doc_id, pages, chapters, images); pages count whether blank or not."""
     n = lambda df, name: df.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name))

@@ -55,11 +55,14 @@ def zip_entries(rows: pd.DataFrame, target) -> None:
 
 
 def write_books(entries: DataFrame, folder: str, check: Callable[[str], str | None] | None = None) -> DataFrame:
-    """RESULT rows: writes each document's entries as <folder>/<doc_id>.epub where a task runs; folder must be shared. A retry writes the same file again."""
+    """RESULT rows: writes each document's entries where a task runs, as <folder>/<output_path> if the rows have one, else as <folder>/<doc_id>.epub.
+
+    folder must be shared. A retry writes the same file again. A column source_path guards that file from being written over.
+    """
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        path = os.path.join(folder, f"{key[0]}.epub")
-        why = publish(path, lambda temp: zip_entries(rows, temp), check)
+        path = os.path.join(folder, rows["output_path"].iloc[0] if "output_path" in rows else f"{key[0]}.epub")
+        why = publish(path, lambda temp: zip_entries(rows, temp), check, rows["source_path"].iloc[0] if "source_path" in rows else None)
         return pd.DataFrame([(str(key[0]), path, len(rows), os.path.getsize(path) if why is None else None, why)], columns=["doc_id", "output_path", "n_entries", "bytes", "error"])
 
     reachable(entries.sparkSession)

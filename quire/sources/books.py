@@ -224,7 +224,7 @@ def probed(files: DataFrame) -> DataFrame:
     more = [StructField("media_type", StringType()), StructField("extension", StringType()), StructField("width", IntegerType()), StructField("height", IntegerType()), StructField("probe_error", StringType())]
     kinds = StructType([*files.schema.fields, *more])
     out = reachable(files.sparkSession) and files.mapInPandas(run, kinds)
-    return out.withColumn("probe_error", F.coalesce("probe_error", F.when(F.col("media_type").isNull() & P.has_image_extension("path"), F.lit("no image"))))
+    return out.withColumn("probe_error", F.coalesce("probe_error", F.when(F.col("media_type").isNull() & P.has_image_extension("path") & ~P.is_junk("path"), F.lit("no image"))))
 
 
 def parse_comic_info(data: bytes) -> dict:
