@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .util import Staged, rank_within
 
-#: Bins of a histogram, for each node of a level; and the share of a shard's bytes within which a cut is near enough.
-BINS, NEAR = 4096, 0.001
-#: Dimensions in order of preference, as numbers from 0 to 1 in the table's own range; ties within one go by a hash of doc_id.
-DIMENSIONS = ("d_size", "d_source", "d_lang", "d_id")
+#: Bins of a histogram, for each node of a level; the share of a shard's bytes within which a cut is near enough; rows around a cut that are dealt one by one.
+BINS, NEAR, FEW = 4096, 0.001, 64
+#: Dimensions in order of preference, as numbers from 0 to 1 in the table's own range; ties within one go by a hash of doc_id. Size is none: a shard of large documents alone could not be filled evenly.
+DIMENSIONS = ("d_source", "d_lang", "d_id")
 _STEPS, _TIES = 1 << 20, 1 << 32
 
 
@@ -28,6 +28,7 @@ class Node:
     depth: int = 0
     dim: str | None = None
     cut: int = 0
+    also: list = field(default_factory=list)
     below: list = field(default_factory=list)
 
 
@@ -35,7 +36,9 @@ def _place(node: Node) -> Column:
     """The leaf, by its first shard, in which a row falls."""
     if not node.below:
         return F.lit(node.first)
-    return F.when(_key(node.dim) < F.lit(node.cut), _place(node.below[0])).otherwise(_place(node.below[1]))
+    left = _key(node.dim) < F.lit(node.cut)
+    left = left | _key(node.dim).isin(node.also) if node.also else left
+    return F.when(left, _place(node.below[0])).otherwise(_place(node.below[1]))
 
 
 def _key(dim: str) -> Column:
@@ -47,12 +50,15 @@ def metadata(docs: DataFrame) -> DataFrame:
     binary = F.col("text").cast("binary")
     size = (F.coalesce(F.octet_length(binary), F.lit(0)) + 8).cast("long")
     code = lambda c: (F.crc32(F.coalesce(F.col(c), F.lit("")).cast("binary")) / F.lit(float(_TIES)) * _STEPS).cast("long")
-    return docs.select("doc_id", size.alias("size"), F.crc32(F.coalesce(binary, F.lit(b""))).alias("text_crc32"), F.pmod(F.xxhash64("doc_id"), F.lit(_TIES)).alias("tie"), (F.least(F.log2(size) / 32, F.lit(0.999999)) * _STEPS).cast("long").alias("d_size"), code("source").alias("d_source"), code("lang").alias("d_lang"))
+    return docs.select("doc_id", size.alias("size"), F.crc32(F.coalesce(binary, F.lit(b""))).alias("text_crc32"), F.pmod(F.xxhash64("doc_id"), F.lit(_TIES)).alias("tie"), code("source").alias("d_source"), code("lang").alias("d_lang"))
 
 
 def _cuts(rows: DataFrame, active: list[Node], total: dict, near: float) -> None:
-    """Finds each node's cut: the key below which its first shards' share of bytes lies."""
-    state = {}
+    """Finds each node's cut: the key below which its first shards' share of bytes lies.
+
+    Once a bin around a cut holds FEW rows, these are dealt one by one, largest first, to where they fit.
+    """
+    state, ends = {}, {}
     for a in active:
         want = total[a.first][0] * (a.n // 2) / a.n
         lo, hi = total[a.first][1][a.dim]
@@ -75,7 +81,10 @@ def _cuts(rows: DataFrame, active: list[Node], total: dict, near: float) -> None
             for b, size, n in sorted(found.get(first, [])):
                 if at + size >= s["want"]:
                     left, right = s["lo"] + b * s["step"], s["lo"] + (b + 1) * s["step"]
-                    if s["step"] > 1 and n > 1 and size > near:
+                    if size > near and n <= FEW:
+                        s["node"].cut, ends[first] = left, (left, right, s["want"] - at, s["node"])
+                        del state[first]
+                    elif s["step"] > 1 and size > near:
                         s |= {"lo": left, "hi": right, "before": at}
                     else:
                         s["node"].cut = left if s["want"] - at < at + size - s["want"] else right
@@ -84,6 +93,25 @@ def _cuts(rows: DataFrame, active: list[Node], total: dict, near: float) -> None
                 at += size
             else:
                 del state[first]
+    if not ends:
+        return
+    within = None
+    for first, (left, right, _, node) in ends.items():
+        own = (F.col("node") == first) & (_key(node.dim) >= F.lit(left)) & (_key(node.dim) < F.lit(right))
+        within = F.when(own, _key(node.dim)) if within is None else within.when(own, _key(node.dim))
+    dealt: dict = {}
+    for node, key, size in rows.withColumn("key", within).where("key is not null").groupBy("node", "key").agg(F.sum("size")).collect():
+        dealt.setdefault(node, []).append((size, key))
+    for first, (_, _, want, node) in ends.items():
+        left = []
+        for size, key in sorted(dealt[first], reverse=True):
+            if size <= want:
+                node.also.append(key)
+                want -= size
+            else:
+                left.append((size, key))
+        if left and left[-1][0] - want < want:  # to go over by this is less than what is missing
+            node.also.append(left[-1][1])
 
 
 def grow(meta: DataFrame, shards: int) -> Node:
@@ -107,8 +135,8 @@ def grow(meta: DataFrame, shards: int) -> Node:
 def kd_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) for every row of `docs` (doc_id, text, source, lang).
 
-    Shards hold near equal bytes (UTF-8 bytes of the text, none if null, plus 8): at most NEAR of a
-    shard, or one row, from each cut's mark. Rows alike in every dimension are told apart by a hash of doc_id
+    Shards hold near equal bytes (UTF-8 bytes of the text, none if null, plus 8): each cut is within
+    NEAR of a shard of its mark, or half of the smallest row near it. Rows alike in every dimension are told apart by a hash of doc_id
     and may lie in different shards, so that no group of copies or source outgrows one. slot counts a shard's rows from 0
     without gaps. Rows that repeat a doc_id stay together unless other dimensions part them. Null sources
     and langs count as empty. An empty table gives an empty result.

@@ -34,18 +34,23 @@ def rank_within(df: DataFrame, group: list[str], order: list[str], key: list[str
     """Adds `out`, each row's rank from 0 within `group` by `order`, then by hash buckets of key[0], then by `key`.
 
     A group may hold any share of the rows: it is cut by the values of `order` and by the buckets, each
-    piece is ranked in a task, and the pieces' counts give the offsets. Ranks are the same on every run.
+    piece is ranked in a task, and counts by value and by bucket give the offsets, so that no task sees more than
+    a group's values, a value's buckets or a piece's rows. Ranks are the same on every run.
     Rows equal in all these columns are ranked in any order.
     """
-    n, bucket = max(1, -(-total // RANK_ROWS)), f"_{out}_bucket"
+    n, bucket, value = max(1, -(-total // RANK_ROWS)), f"_{out}_bucket", [*group, *order]
     df = df.withColumn(bucket, (md5_number(key[0]) % n).cast("int"))
-    piece = [*group, *order, bucket]
+    piece = [*value, bucket]
+    named = lambda of: [F.col(c).alias(f"_{of}_{c}") for c in value]
+    same = lambda left, right: reduce(lambda a, b: a & b, [F.col(f"{left}{c}").eqNullSafe(F.col(f"{right}{c}")) for c in value])
+    earlier = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     counts = df.groupBy(*piece).agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*group).orderBy(*order, bucket).rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.select(*[F.col(c).alias(f"_of_{c}") for c in piece], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    offsets = counts.select(*named("of"), F.col(bucket).alias("_of_bucket"), earlier(W.partitionBy(*value).orderBy(bucket)).alias("_before"))
+    if order:  # a group's values, each counted once, come before one another; only then do their buckets
+        totals = counts.groupBy(*value).agg(F.sum("_n").alias("_n")).select(*named("at"), earlier(W.partitionBy(*group).orderBy(*order)).alias("_start"))
+        offsets = offsets.join(totals, same("_of_", "_at_")).withColumn("_before", F.col("_before") + F.col("_start"))
     ranked = df.withColumn("_in", F.row_number().over(W.partitionBy(*piece).orderBy(*key)) - 1)
-    on = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in piece]
-    joined = ranked.join(counts, reduce(lambda a, b: a & b, on))
+    joined = ranked.join(offsets, same("", "_of_") & (F.col(bucket) == F.col("_of_bucket")))
     return joined.select(*[c for c in df.columns if c != bucket], (F.col("_before") + F.col("_in")).cast("long").alias(out))
 
 
