@@ -78,10 +78,19 @@ def _cuts(rows: DataFrame, active: list[Node], total: dict, near: float) -> None
         for first, s in list(state.items()):
             at = s["before"]
             s["node"].cut = s["hi"]
-            for b, size, n in sorted(found.get(first, [])):
+            filled = sorted(found.get(first, []))
+            for j, (b, size, n) in enumerate(filled):
                 if at + size >= s["want"]:
                     left, right = s["lo"] + b * s["step"], s["lo"] + (b + 1) * s["step"]
                     if size > near and n <= FEW:
+                        i, k = j, j + 1  # bins before and after too, in turn, as long as the rows stay few
+                        for back in (True, False) * FEW:
+                            if back and i > 0 and n + filled[i - 1][2] <= FEW:
+                                i -= 1
+                                n, at = n + filled[i][2], at - filled[i][1]
+                            elif not back and k < len(filled) and n + filled[k][2] <= FEW:
+                                n, k = n + filled[k][2], k + 1
+                        left, right = s["lo"] + filled[i][0] * s["step"], s["lo"] + (filled[k - 1][0] + 1) * s["step"]
                         s["node"].cut, ends[first] = left, (left, right, s["want"] - at, s["node"])
                         del state[first]
                     elif s["step"] > 1 and size > near:
