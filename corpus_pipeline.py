@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import mixing, packing, pii, simhash, toxicity
+from quire.llm import mixing, nearcopies, packing, pii, toxicity
 from quire.llm.util import Staged, crc32_text, table
 
 
@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest doc_id."""
-    return simhash.drop_near_copies(docs)
+    """One document of each group of near copies (a Jaccard similarity of 0.8 or more of 5-word shingles), that of the smallest doc_id."""
+    return nearcopies.drop_near_copies(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

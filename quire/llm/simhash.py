@@ -26,22 +26,33 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _PLACES = (np.arange(8) * 256)[None, :]
 
 
-def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
-    """The fingerprint, as a signed 64-bit integer, of one text in UTF-8."""
+def _hashed(text: bytes | None, width: int, seed: int) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles in order, CHUNK at a time; a text of fewer words is one shingle, one without words has none."""
     words = text.lower().split() if text else []
     if not words:
-        return 0
+        return
     if len(words) < width:
         words, width = [b" ".join(words)], 1
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    n, counts = len(words) - width + 1, np.zeros(64, np.int64)
+    n = len(words) - width + 1
     for at in range(0, n, CHUNK):
         to = min(n, at + CHUNK)
-        h = np.array([digest(joined[a:b], seed) for a, b in zip(starts[at:to].tolist(), ends[at + width - 1 : to + width - 1].tolist(), strict=True)], np.uint64)
+        yield np.array([digest(joined[a:b], seed) for a, b in zip(starts[at:to].tolist(), ends[at + width - 1 : to + width - 1].tolist(), strict=True)], np.uint64)
+
+
+def shingle_hashes(text: bytes | None, width: int, seed: int = 42) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *_hashed(text, width, seed)])
+
+
+def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
+    """The fingerprint, as a signed 64-bit integer, of one text in UTF-8."""
+    n, counts = 0, np.zeros(64, np.int64)
+    for h in _hashed(text, width, seed):
         places = h.view(np.uint8).reshape(-1, 8) + _PLACES
         counts += (np.bincount(places.ravel(), minlength=2048).reshape(8, 256) @ _BITS).ravel()
+        n += len(h)
     value = sum(1 << i for i in np.flatnonzero(2 * counts > n).tolist())
     return value - (1 << 64) if value >> 63 else value
 
