@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .util import md5_number, rank_within
+from .util import Staged, md5_number, rank_within
 
 #: Words are what stands between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,8 +31,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
     return by.select("source", "source_size", target.alias("target"))
 
 
-def copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 1) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) for every row of `docs` (doc_id, text, source).
+def copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, the columns of `keep`) for every row of `docs` (doc_id, text, source).
 
     Each document of a source is expected target / source_size times. Down the source, largest documents
     first, the expectations are summed and one offset for the source is added; a document is taken once
@@ -40,23 +40,26 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3,
     from its target by its largest document at most. The offset is fixed by source and seed: reruns agree.
 
     Null texts have size 0; null sources are one source. Rows that repeat a doc_id count one by one. A
-    source without words has target 0. An empty table gives an empty result. Other columns are ignored.
+    source without words has target 0. An empty table gives an empty result. Other columns are ignored, but
+    those of `keep` part rows that are alike in source, size and doc_id.
     """
-    sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *keep)
     goals = targets(sizes, weights, most)
     goals = goals.withColumn("_seeded", F.concat(F.coalesce("source", F.lit("")), F.lit(f"#{seed}"))).withColumn("u", md5_number("_seeded") / F.lit(float(1 << 32)))
     goals = goals.withColumnRenamed("source", "_source").drop("_seeded")
     total = docs.count()
-    ranked = rank_within(sizes.withColumn("_down", -F.col("size")), ["source"], ["_down"], ["doc_id"], "_rank", total)
+    ranked = rank_within(sizes.withColumn("_down", -F.col("size")), ["source"], ["_down"], ["doc_id", *keep], "_rank", total)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     crossed = F.floor((F.col("_rank") + 1) * rate + F.col("u")) - F.floor(F.col("_rank") * rate + F.col("u"))
-    return ranked.join(goals, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "source", "size", "source_size", "target", F.least(crossed, F.lit(most)).alias("copies"))
+    return ranked.join(goals, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "source", "size", "source_size", "target", F.least(crossed, F.lit(most)).alias("copies"), *keep)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 1) -> DataFrame:
-    """`docs`, each row as many times as it is taken. Rows that repeat a doc_id are each taken as often as the least taken of them; rows without doc_id are left out."""
-    taken = copies(docs.select("doc_id", "text", "source"), weights, most, seed).groupBy(F.col("doc_id").alias("_doc_id")).agg(F.min("copies").alias("_copies")).where("_copies > 0")
-    return docs.join(taken, F.col("doc_id") == F.col("_doc_id")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    """`docs`, each row as many times as its own crossings say, whether or not its doc_id is null or repeated."""
+    keyed = Staged(docs.sparkSession, "mixing").put(docs.withColumn("_row_key", F.monotonically_increasing_id()))
+    rows = keyed.select("doc_id", "text", "source", F.xxhash64("text").alias("_text_hash"), "_row_key")
+    taken = copies(rows, weights, most, seed, ("_text_hash", "_row_key")).where("copies > 0").select(F.col("_row_key").alias("_taken"), F.col("copies").alias("_copies"))
+    return keyed.join(taken, F.col("_row_key") == F.col("_taken")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
 
 
 SQL = """
