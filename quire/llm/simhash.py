@@ -160,9 +160,3 @@ def simhash_components(docs: DataFrame, distance: int = 3, width: int = 3) -> Da
     found = connected_components(edges, staged)
     classes = staged.put(distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
     return fps.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
-
-
-def drop_near_copies(docs: DataFrame, distance: int = 3, width: int = 3) -> DataFrame:
-    """`docs` without all but the smallest doc_id of each component; rows without doc_id stay."""
-    gone = simhash_components(docs.select("doc_id", "text"), distance, width).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

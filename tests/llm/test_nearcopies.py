@@ -62,3 +62,13 @@ def test_near_copies_over_cells(spark, monkeypatch):
     monkeypatch.setattr(nearcopies, "CELL", 1500)
     rows = near_rows(6)
     assert {r.doc_id for r in stage(spark, rows)} == kept(rows)
+
+
+def test_near_copies_with_null_and_repeated_ids(spark):
+    rows = near_rows(7)[:20]
+    base, other = rows[0][1], rows[6][1]
+    rows += [(None, base), (None, "no copy of this one here at all"), (0, base), (500, base), (500, "five hundred has another text too"), (None, other), (None, "twice without an id, once kept"), (None, "twice without an id, once kept")]
+    got = stage(spark, rows)
+    assert sorted(r.text for r in got if r.doc_id is None) == ["no copy of this one here at all", "twice without an id, once kept"]
+    assert [r.text for r in got if r.doc_id == 500] == ["five hundred has another text too"]
+    assert sum(r.text == base for r in got) == 1 and sum(r.doc_id == 0 for r in got) == 1
