@@ -1,7 +1,8 @@
 """Packing into training sequences by lexical retrieval.
 
-Documents are dealt to shards of bounded size by the token that a hash of their tokens picks (likely the same
-one for documents that share many), a token with too many documents being spread over several shards. Each
+Documents are dealt to shards of bounded size by the tokens of least hash (likely the same for documents that
+share many): shards are runs in the order of these, so where one token has too many documents the next parts
+them, and after the last of them a hash of the token set. Only equal token sets are spread by doc_id. Each
 shard has a BM25 inverted index, with document frequencies of the whole corpus. A seed's unused
 neighbours fill its window from the best score down; what doesn't fit is cut and seeds the next window.
 So each window of a shard but its last is full.
@@ -15,7 +16,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .tokens import word_tokens
@@ -30,11 +33,13 @@ FREQUENT_IDS, COMMON = 2048, 0.4
 K1, B = 1.2, 0.75
 #: A seed asks with this many of its heaviest terms, and for this many neighbours at a time.
 TERMS, NEIGHBOURS = 24, 64
+#: Tokens of least hash that are kept of a document, of which those that are not COMMON lead it to its shard, DEPTH of them at most.
+LEAST, DEPTH = 64, 8
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def tokenised(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n, route, ids): ids as 16-bit little-endian binary with END_ID at the end."""
+    """(doc_id, n, least, same, ids): ids as 16-bit little-endian binary with END_ID at the end; same is a hash of the token set."""
     end = np.array([END_ID], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,16 +49,54 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
                 b = big.slice(at, 512)
                 ids = [tokens.encode(x) + end for x in b.column(1).to_pylist()]
                 n = pa.array([len(x) // 2 for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0), n, pa.array([route(np.frombuffer(x, "<u2")) for x in ids], pa.int32()), pa.array(ids, pa.binary())], ["doc_id", "n", "route", "ids"])
+                sets = [np.unique(np.frombuffer(x, "<u2")) for x in ids]
+                least = pa.array([leasts(x) for x in sets], pa.list_(pa.int32()))
+                same = pa.array([xxhash.xxh64_hexdigest(x.tobytes()) for x in sets], pa.string())
+                yield pa.RecordBatch.from_arrays([b.column(0), n, least, same, pa.array(ids, pa.binary())], ["doc_id", "n", "least", "same", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, route int, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, least array<int>, same string, ids binary")
 
 
-def route(ids: np.ndarray) -> int:
-    """The document's token of least hash: two documents agree on it as often as their tokens overlap."""
-    rare = ids[ids >= FREQUENT_IDS]
-    own = (rare if len(rare) else ids).astype(np.uint32)
-    return int(own[np.argmin(own * np.uint32(2654435761))])
+def leasts(distinct: np.ndarray) -> np.ndarray:
+    """The LEAST of a document's distinct tokens by hash: two documents agree on the first as often as their tokens overlap."""
+    rare = distinct[distinct >= FREQUENT_IDS]
+    own = (rare if len(rare) else distinct).astype(np.uint32)
+    return own[np.argsort(own * np.uint32(2654435761))[:LEAST]].astype(np.int32)
+
+
+def routed(made: DataFrame, common: list[int]) -> DataFrame:
+    """Adds `route`: two hex digits for each of DEPTH tokens of least hash, COMMON ones left out, then those of the set's hash."""
+    rare = F.filter("least", lambda t: ~t.isin(common)) if common else F.col("least")
+    rare = F.when(F.size(rare) > 0, rare).otherwise(F.col("least"))
+    digits = F.array_join(F.transform(F.slice(rare, 1, DEPTH), lambda t: F.lpad(F.lower(F.hex(F.pmod(F.xxhash64(t), F.lit(256)))), 2, "0")), "")
+    return made.withColumn("route", F.concat(F.rpad(digits, 2 * DEPTH, "0"), "same"))
+
+
+def ranges(routes: DataFrame) -> tuple[list[str], list[int], list[int]]:
+    """Where each run of routes (route, n) begins, its first shard, and over how many it is spread: more than one only if it is a single route.
+
+    A prefix with too many tokens for a shard is opened to its continuations, so that the driver sees at
+    most 256 for each shard that its documents fill, level by level.
+    """
+    leaves, level, hot = [], 1, None
+    while level == 1 or hot:
+        own = routes.select(F.substring("route", 1, 2 * level).alias("p"), "n")
+        if hot:
+            opened = routes.sparkSession.createDataFrame([(x,) for x in hot], "_hot string")
+            own = own.join(F.broadcast(opened), F.substring("p", 1, 2 * level - 2) == F.col("_hot"), "left_semi")
+        found = own.groupBy("p").agg(F.sum("n")).collect()
+        last = level == DEPTH + 8
+        leaves += [(p, n) for p, n in found if n <= SHARD_TOKENS or last]
+        hot, level = [p for p, n in found if n > SHARD_TOKENS and not last], level + 1
+    starts, first, spread, shard, held = [], [], [], 0, 0
+    for p, n in sorted(leaves):
+        if not starts or held + n > SHARD_TOKENS:
+            starts.append(p)
+            first.append(shard)
+            spread.append(-(-n // SHARD_TOKENS) or 1)
+            shard, held = shard + spread[-1], 0
+        held += n
+    return starts, first, spread
 
 
 def frequencies(docs: DataFrame) -> np.ndarray:
@@ -152,19 +195,17 @@ def pack(docs: DataFrame, path: str, size: int = 4096, with_ids: bool = False) -
     spark = docs.sparkSession
     staged = Staged(spark, "packing")
     made = staged.put(tokenised(docs, path))
-    routes = {r: n for r, n in made.groupBy("route").agg(F.sum("n")).collect()}
     n_docs, total = made.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     df, mean = frequencies(made), total / max(1, n_docs)
-    first, spread, shard, held = {}, {}, 0, 0  # both have an entry for each token at most
-    for r in sorted(routes):
-        if held and held + routes[r] > SHARD_TOKENS:
-            shard, held = shard + 1, 0
-        first[r], spread[r] = shard, -(-routes[r] // SHARD_TOKENS)
-        held += routes[r]
-        if spread[r] > 1:
-            shard, held = shard + spread[r], 0
-    to = spark.createDataFrame([(r, first[r], spread[r]) for r in sorted(routes)], "route int, first int, spread int")
-    dealt = made.join(F.broadcast(to), "route").select((F.col("first") + (md5_number("doc_id") % F.col("spread")).cast("int")).alias("shard"), "doc_id", "ids")
+    made = routed(made, [x for x in np.flatnonzero(df > max(1, COMMON * n_docs)).tolist() if x >= FREQUENT_IDS])
+    starts, first, spread = ranges(made)
+
+    @F.pandas_udf("struct<first int, spread int>")
+    def place(route: pd.Series) -> pd.DataFrame:
+        at = np.searchsorted(np.array(starts, object), route.to_numpy(object), side="right") - 1
+        return pd.DataFrame({"first": np.array(first, np.int32)[at], "spread": np.array(spread, np.int32)[at]})
+
+    dealt = made.withColumn("to", place("route")).select((F.col("to.first") + (md5_number("doc_id") % F.col("to.spread")).cast("int")).alias("shard"), "doc_id", "ids")
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         rows = sorted(zip(group.column("doc_id").to_pylist(), group.column("ids").to_pylist(), strict=True), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
