@@ -31,8 +31,8 @@ SHARD_TOKENS = 4_000_000
 #: Routing and the index leave out tokens that these make no use of: short frequent merges, and those in more than this share of the documents.
 FREQUENT_IDS, COMMON = 2048, 0.4
 K1, B = 1.2, 0.75
-#: A seed asks with this many of its heaviest terms, and for this many neighbours at a time.
-TERMS, NEIGHBOURS = 24, 64
+#: A seed asks for this many neighbours at a time, with all of its terms.
+NEIGHBOURS = 64
 #: Tokens of least hash that are kept of a document, of which those that are not COMMON lead it to its shard, DEPTH of them at most.
 LEAST, DEPTH = 64, 8
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -126,6 +126,7 @@ class Shard:
     term_start: dict
     docs: np.ndarray
     weights: np.ndarray
+    live: int
 
     @staticmethod
     def of(ids: list[np.ndarray], df: np.ndarray, n_docs: int, mean: float) -> Shard:
@@ -135,15 +136,23 @@ class Shard:
         key, tf = np.unique(doc[use] << 16 | term[use], return_counts=True)
         doc, term = key >> 16, key & 0xFFFF
         idf = np.log1p((n_docs - df[term] + 0.5) / (df[term] + 0.5))
-        w = (idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / max(mean, 1)))).astype(np.float32)
-        heavy = np.lexsort((term, -w, doc))
+        w = (idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / max(mean, 1))))
         by_term = np.argsort(term, kind="stable")
         terms, at = np.unique(term[by_term], return_index=True)
         spans = dict(zip(terms.tolist(), itertools.pairwise([*at.tolist(), len(term)]), strict=True))
-        return Shard(lengths, np.searchsorted(doc, np.arange(len(ids) + 1)), term[heavy], spans, doc[by_term], w[by_term])
+        return Shard(lengths, np.searchsorted(doc, np.arange(len(ids) + 1)), term, spans, doc[by_term], w[by_term], len(ids))
+
+    def forget(self, unused: np.ndarray) -> None:
+        """Used documents leave the postings."""
+        kept = unused[self.docs]
+        at = np.concatenate(([0], np.cumsum(kept))).tolist()
+        self.docs, self.weights, self.live = self.docs[kept], self.weights[kept], int(unused.sum())
+        self.term_start = {t: (at[a], at[b]) for t, (a, b) in self.term_start.items()}
 
     def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
-        own = self.doc_terms[self.doc_start[seed] : min(self.doc_start[seed] + TERMS, self.doc_start[seed + 1])]
+        if 4 * np.count_nonzero(unused) < 3 * self.live:
+            self.forget(unused)
+        own = self.doc_terms[self.doc_start[seed] : self.doc_start[seed + 1]]
         spans = [self.term_start[t] for t in own.tolist()]
         if not spans:
             return []

@@ -1,0 +1,18 @@
+"""A seed's neighbours are scored by all of its terms."""
+
+import numpy as np
+
+from quire.llm import packing
+
+
+def test_lighter_terms_count():
+    heavy, light = np.arange(3000, 3030), np.arange(4000, 4040)
+    ids = [np.concatenate([np.repeat(heavy, 3), light]), light, np.arange(5000, 5040), np.concatenate([heavy[:1], np.arange(6000, 6040)])]
+    df = np.zeros(packing.VOCABULARY, np.int64)
+    for x in ids:
+        df[np.unique(x)] += 1
+    shard = packing.Shard.of([x.astype("<u2") for x in ids], df, 1000, 60.0)
+    unused = np.array([False, True, True, True])
+    assert shard.neighbours(0, unused) == [1, 3]
+    unused[1] = False
+    assert shard.neighbours(0, unused) == [3]
