@@ -207,7 +207,7 @@ def pack(docs: DataFrame, path: str, size: int = 4096, with_ids: bool = False) -
     n_docs, total = made.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     df, mean = frequencies(made), total / max(1, n_docs)
     made = routed(made, [x for x in np.flatnonzero(df > max(1, COMMON * n_docs)).tolist() if x >= FREQUENT_IDS])
-    starts, first, spread = ranges(made)
+    starts, first, spread = ranges(staged.put(made.groupBy("route").agg(F.sum("n").alias("n"))))
 
     @F.pandas_udf("struct<first int, spread int>")
     def place(route: pd.Series) -> pd.DataFrame:
