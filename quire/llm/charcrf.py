@@ -11,6 +11,8 @@ _PUNCTUATION = "@.,:;-_+()[]{}<>/\\|%#&*='\"!?$~^`"
 SYMBOLS = 1 + 26 + 10 + len(_PUNCTUATION) + 4
 #: The score of a transition that no labelling has: into the inside of a kind from anything but that kind.
 NEVER = -1e4
+#: What the gates of padding get: a logistic of this is nothing.
+SHUT = -40.0
 
 
 def _table() -> np.ndarray:
@@ -43,6 +45,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Tagger:
+    """Padding (symbol 0) closes the gates, so that states start anew after it and no output depends on how far a row is padded."""
+
     def __init__(self, hidden: int = 16, seed: int = 0):
         r = np.random.default_rng(seed)
         self.h = hidden
@@ -51,6 +55,7 @@ class Tagger:
         for d in "fb":
             self.p |= {f"x{d}": draw(SYMBOLS, 4 * hidden, scale=0.3), f"h{d}": draw(hidden, 4 * hidden, scale=0.3 / hidden**0.5)}
             self.p[f"x{d}"][:, hidden : 2 * hidden] += 1  # remember at first
+            self.p[f"x{d}"][0] = np.repeat(np.float32([SHUT, SHUT, 0, 0]), hidden)
         self.barred = np.zeros((LABELS, LABELS), np.float32)
         for k in range(len(KINDS)):
             self.barred[:, 2 + 2 * k] = NEVER
@@ -59,7 +64,7 @@ class Tagger:
     def moves(self) -> np.ndarray:
         return self.p["move"] + self.barred
 
-    def _pass(self, x: np.ndarray, d: str, keep: bool):
+    def _pass(self, x: np.ndarray, d: str) -> tuple[np.ndarray, list]:
         n, t, h = *x.shape, self.h
         wx, wh = self.p[f"x{d}"], self.p[f"h{d}"]
         out, kept = np.zeros((n, t, h), np.float32), []
@@ -70,19 +75,62 @@ class Tagger:
             a, f, o, g = s[:, :h], s[:, h : 2 * h], s[:, 2 * h :], np.tanh(z[:, 3 * h :])
             new = f * cell + a * g
             tc = np.tanh(new)
-            if keep:
-                kept.append((i, state, cell, a, f, o, g, tc))
+            kept.append((i, state, cell, a, f, o, g, tc))
             state, cell = o * tc, new
             out[:, i] = state
         return out, kept
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._pass(x, d, False)[0] for d in "fb"], 2)
-        return both @ self.p["out"] + self.p["bias"]
+        """(positions, labels, rows) for x (rows, positions); features lie outermost, so that every step works on whole rows of memory."""
+        (n, t), h = x.shape, self.h
+        at = np.ascontiguousarray(x.T).astype(np.intp)
+        out = np.empty((t, LABELS, n), np.float32)
+        out[:] = self.p["bias"][:, None]
+        halved = np.repeat(np.float32([0.5, 0.5, 0.5, 1]), h)  # a logistic gate is a tanh of half its argument
+        z, fed, told = np.empty((4 * h, n), np.float32), np.empty((4 * h, n), np.float32), np.empty((LABELS, n), np.float32)
+        for d, own in (("f", self.p["out"][:h]), ("b", self.p["out"][h:])):
+            wx, wh, own = np.ascontiguousarray((self.p[f"x{d}"] * halved).T), np.ascontiguousarray((self.p[f"h{d}"] * halved).T), np.ascontiguousarray(own.T)
+            state, cell, new = (np.zeros((h, n), np.float32) for _ in range(3))
+            gates, a, f, o, g = z[: 3 * h], z[:h], z[h : 2 * h], z[2 * h : 3 * h], z[3 * h :]
+            for i in range(t) if d == "f" else range(t - 1, -1, -1):
+                np.take(wx, at[i], axis=1, out=z, mode="clip")
+                np.matmul(wh, state, out=fed)
+                np.add(z, fed, out=z)
+                np.tanh(z, out=z)
+                np.multiply(gates, 0.5, out=gates)
+                np.add(gates, 0.5, out=gates)
+                np.multiply(cell, f, out=cell)
+                np.multiply(a, g, out=new)
+                np.add(cell, new, out=cell)
+                np.tanh(cell, out=new)
+                np.multiply(o, new, out=state)
+                np.matmul(own, state, out=told)
+                np.add(out[i], told, out=out[i])
+        return out
+
+    def live(self, e: np.ndarray) -> np.ndarray:
+        """The positions, of emissions (positions, labels) of one sequence or several with -inf-like gaps between, that some span may cover in the best labelling.
+
+        Moves count against staying O. A label may carry any amount from the moves to it over to the moves from it
+        without changing a labelling's score; each carries so much that leaving it for O gains nothing and that a span begins after
+        another no better than after O. Then a span that loses, begun at best, is better left out, so
+        the best labelling has none; what no gaining span can cover is O in it.
+        """
+        moves = self.moves() - self.p["move"][0, 0]
+        begin, inside = np.arange(1, LABELS, 2), np.arange(2, LABELS, 2)
+        carried = np.minimum(-moves[:, 0], (moves[0, begin] - moves[:, begin]).min(1))
+        carried[0] = 0
+        moves = moves + carried[:, None] - carried
+        out = np.zeros(len(e), bool)
+        for b, i in zip(begin.tolist(), inside.tolist(), strict=True):
+            first = (e[:, b] - e[:, 0]).astype(np.float64) + moves[0, b]
+            sums = np.cumsum((e[:, i] - e[:, 0]).astype(np.float64) + max(moves[i, i], moves[b, i]))
+            out |= np.maximum.accumulate(first - sums) + np.maximum.accumulate(sums[::-1])[::-1] > 0
+        return out
 
     def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log likelihood of labels y for a batch, and its gradient."""
-        passes = {d: self._pass(x, d, True) for d in "fb"}
+        passes = {d: self._pass(x, d) for d in "fb"}
         both = np.concatenate([passes[d][0] for d in "fb"], 2)
         e = (both @ self.p["out"] + self.p["bias"]).astype(np.float64)
         n, t, _ = e.shape
@@ -127,6 +175,7 @@ class Tagger:
                 dwh += state.T @ z
                 dh, dc = z @ wh.T, dc * f
             out |= {f"h{d}": dwh, f"x{d}": hot.T @ dz.reshape(n * t, -1)}
+            out[f"x{d}"][0] = 0
         return (log_z - gold) / n, out
 
     def train(self, x: np.ndarray, y: np.ndarray, epochs: int, batch: int = 64, rate: float = 0.01, seed: int = 0) -> float:
@@ -150,11 +199,10 @@ class Tagger:
         return mean
 
     def decode(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """The best labelling of each sequence of a padded batch of emissions."""
+        """The best labelling of each sequence of a padded batch of emissions (rows, positions, labels); what comes before and after a sequence is O."""
         n, t, _ = e.shape
         moves = self.moves()
-        best, back = e[:, 0].copy(), np.zeros((n, t, LABELS), np.int8)
-        best[:, 2::2] = NEVER
+        best, back = e[:, 0] + moves[0], np.zeros((n, t, LABELS), np.int8)
         for i in range(1, t):
             scores = best[:, :, None] + moves[None]
             came = scores.argmax(1)
@@ -162,7 +210,7 @@ class Tagger:
             back[:, i] = np.where(live, came, np.arange(LABELS))
             best = np.where(live, np.take_along_axis(scores, came[:, None], 1)[:, 0] + e[:, i], best)
         out = np.zeros((n, t), np.int8)
-        at = best.argmax(1)
+        at = (best + moves[:, 0]).argmax(1)
         for i in range(t - 1, -1, -1):
             out[:, i] = at
             at = back[np.arange(n), i, at]

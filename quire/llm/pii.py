@@ -1,13 +1,16 @@
 """Personal data: patterns with checks, and what a character-level BiLSTM-CRF adds to them.
 
-The network is trained on a bounded sample of passages whose labels are the patterns' spans. It reads the
-surroundings of every digit and every @ of a text: none of the four kinds can be without one. Long
-surroundings are cut into overlapping windows, whose scores are averaged, nearer to a window's middle counting
-more; one decoding of the whole passage then settles what the windows say.
+The network is trained on passages of a bounded sample of the documents. Their labelled spans are the patterns' own and, put
+into passages in the places of these or between words, spans of the same kinds that are written as no pattern has
+them: with "at" and "dot", signs in brackets, other separators, without a country's plus, in words for digits. Beside
+them stand harmless strings of digits. The network reads every character of every text, in overlapping windows: a
+position's scores come from the window in whose middle it lies, and one decoding over the whole text, with the
+transitions, settles what the windows say.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -18,17 +21,20 @@ from pyspark.sql import DataFrame, functions as F
 from .charcrf import KINDS, Tagger, label_row, spans_of, symbols
 from .util import Staged
 
-#: Documents that training passages are taken from and passages trained on at most (those of least hash), and variants made of each passage with spans.
-SAMPLE_DOCS, PASSAGES, VARIANTS, EPOCHS = 8000, 1200, 3, 5
-#: Characters around a trigger, of a window and between windows' starts; windows that the network reads at a time.
-AROUND, WINDOW, STRIDE, BATCH = 36, 128, 64, 256
+#: Documents that training passages are taken from, and passages with and without spans trained on (those of least hash); examples made in all, their length, and rounds over them.
+SAMPLE_DOCS, PASSAGES, EXAMPLES, PASSAGE, EPOCHS = 4000, 600, 4000, 96, 14
+#: Characters of a window and of what two windows share; characters of texts read at a time, and windows.
+WINDOW, SHARED, CHARS, ROWS = 1024, 96, 1 << 20, 768
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_DIGIT, _DIGITS, _TRIGGER = re.compile("[0-9]"), re.compile("[0-9]+"), re.compile("[0-9@]+")
+_DIGIT, _DIGITS = re.compile("[0-9]"), re.compile("[0-9]+")
+# English words for the digits.
+_SPOKEN = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
+_AS_WORD = re.compile(rf"\b({'|'.join(_SPOKEN)})\b", re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -54,7 +60,8 @@ def _emails(text: str) -> Iterator[tuple[str, int, int]]:
 
 
 def _octets(text: str) -> bool:
-    return all(len(p) <= 200 and int(p) <= 255 for p in text.split("."))
+    """Whether each part is at most 255, however many zeros it begins with."""
+    return all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in text.split(".")))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -68,125 +75,255 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def plausible(kind: str, text: str) -> bool:
-    """What a span that only the network proposes must be."""
-    d = _digits(text)
+    """What a span that only the network proposes must be: the digits or words that its kind has, whatever stands between them."""
+    if len(text) > 120 or "\n" in text:
+        return False
     if kind == "email":
-        return bool(re.fullmatch(r"[\w.%+-]+ ?@ ?[\w-]+( ?\. ?[\w-]+)+", text))
+        return bool(re.fullmatch(r"\w.*?(@|＠|\bat\b).*?\w.*?(\.|\bdot\b)\W*\w.*", text, re.IGNORECASE))
+    d = _DIGITS.findall(text)
     if kind == "ip":
-        return len(p := _DIGITS.findall(text)) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in p)
+        return len(d) == 4 and _octets(".".join(d))
+    d = "".join(d)
     if kind == "card":
         return 13 <= len(d) <= 19 and luhn(d)
-    return 10 <= len(d) <= 15 and bool(re.fullmatch(r"[+(]?[0-9][\x20().0-9/-]+[0-9]", text)) and bool(re.search(r"[0-9][^0-9]", text))
+    return 7 <= len(d) + len(_AS_WORD.findall(text)) <= 15
 
 
-def passages(text: str) -> list[tuple[int, int]]:
-    """Surroundings of the triggers, merged where they meet."""
-    out: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        a, z = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(z, out[-1][1])
-        else:
-            out.append([a, z])
-    return [(a, z) for a, z in out]
-
-
-def _windows(length: int) -> list[int]:
-    return [0] if length <= WINDOW else [*range(0, length - WINDOW, STRIDE), length - WINDOW]
+def _windows(length: int) -> list[tuple[int, int, int, int]]:
+    """(start, end, from, to) of each window of a text: it answers for the positions from .. to, whose middle it is."""
+    step, out = WINDOW - SHARED, []
+    for a in range(0, max(1, length - SHARED), step):
+        z = min(length, a + WINDOW)
+        out.append((a, z, a + SHARED // 2 if a else 0, z - SHARED // 2 if z < length else z))
+    return out
 
 
-_NEARNESS = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
+def _emitted(tagger: Tagger, codes: np.ndarray, cuts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows of `cuts`, emissions) of windows (start, end, ...) in `codes`, ROWS windows at a time, like lengths together."""
+    lengths = cuts[:, 1] - cuts[:, 0]
+    order = np.argsort(lengths, kind="stable")
+    for at in range(0, len(order), ROWS):
+        some = order[at : at + ROWS]
+        wide = int(lengths[some].max())
+        place = np.arange(wide)
+        x = codes[np.minimum(cuts[some, :1] + place, len(codes) - 1)]
+        x[place[None] >= lengths[some, None]] = 0
+        yield some, tagger.emissions(x)
 
 
 def tagged(tagger: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]]]:
-    """The network's spans of each passage."""
+    """The network's spans of each text: the best labelling of the whole of it, decoded where a span may lie at all."""
     coded = [symbols(t) for t in texts]
+    starts = np.concatenate(([0], np.cumsum([len(c) + 1 for c in coded])))
+    codes = np.zeros(starts[-1], np.uint8)
+    for a, c in zip(starts.tolist(), coded, strict=False):
+        codes[a : a + len(c)] = c
+    cuts = np.array([[a + x for x in w] for a, c in zip(starts.tolist(), coded, strict=False) if len(c) for w in _windows(len(c))], np.int64).reshape(-1, 4)
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-    order = sorted(range(len(texts)), key=lambda i: len(coded[i]))
-    while order:
-        own, n = [], 0
-        while order and (not own or n + len(_windows(len(coded[order[0]]))) <= BATCH and len(coded[order[0]]) <= 2 * max(WINDOW, len(coded[own[0]]))):
-            own.append(order.pop(0))
-            n += len(_windows(len(coded[own[-1]])))
-        cuts = [(j, a) for j, i in enumerate(own) for a in _windows(len(coded[i]))]
-        lengths = np.array([len(coded[i]) for i in own])
-        wide = min(WINDOW, int(lengths.max()))
-        total, weight = np.zeros((len(own), int(lengths.max()), tagger.p["bias"].shape[0]), np.float32), np.zeros((len(own), int(lengths.max()), 1), np.float32)
-        for at in range(0, len(cuts), BATCH):
-            some = cuts[at : at + BATCH]
-            x = np.zeros((len(some), wide), np.uint8)
-            for k, (j, a) in enumerate(some):
-                piece = coded[own[j]][a : a + wide]
-                x[k, : len(piece)] = piece
-            for (j, a), e in zip(some, tagger.emissions(x), strict=True):
-                n = min(wide, int(lengths[j]) - a)
-                total[j, a : a + n] += e[:n] * _NEARNESS[:n, None]
-                weight[j, a : a + n, 0] += _NEARNESS[:n]
-        labels = tagger.decode(total / np.maximum(weight, 1e-9), lengths)
-        for j, i in enumerate(own):
-            if labels[j].any():
-                out[i] = spans_of(labels[j, : lengths[j]])
+    if not len(cuts):
+        return out
+    labels = tagger.p["bias"].shape[0]
+    scores = np.full((len(codes), labels), -1e5, np.float32)
+    scores[:, 0] = 0  # what lies between texts is O
+    for some, e in _emitted(tagger, codes, cuts):
+        e = np.ascontiguousarray(e.transpose(2, 0, 1))
+        for j, (a, _, s, z) in enumerate(cuts[some].tolist()):
+            scores[s:z] = e[j, s - a : z - a]
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], tagger.live(scores), [0]))))
+    runs = np.stack([edges[::2], edges[1::2]], 1)
+    runs = runs[np.argsort(runs[:, 1] - runs[:, 0], kind="stable")]
+    at = 0
+    while at < len(runs):
+        own = runs[at : at + ROWS]
+        lengths = own[:, 1] - own[:, 0]
+        own = own[lengths <= 2 * lengths[0] + 8]
+        at, lengths = at + len(own), own[:, 1] - own[:, 0]
+        wide = np.arange(int(lengths.max()))
+        best = tagger.decode(scores[np.minimum(own[:, :1] + wide, len(codes) - 1)], lengths)
+        for j in np.flatnonzero(best.any(1)).tolist():
+            a = int(own[j, 0])
+            doc = int(np.searchsorted(starts, a, side="right")) - 1
+            off = a - int(starts[doc])
+            out[doc] += [(k, off + x, off + y) for k, x, y in spans_of(best[j, : lengths[j]])]
+    return [sorted(x, key=lambda s: s[1]) for x in out]
+
+
+def _pieces(texts: list[str | None]) -> Iterator[list[int]]:
+    """Runs of texts of about CHARS characters together; a longer text is alone."""
+    own, n = [], 0
+    for i, t in enumerate(texts):
+        if own and n + len(t or "") > CHARS:
+            yield own
+            own, n = [], 0
+        own.append(i)
+        n += len(t or "")
+    if own:
+        yield own
+
+
+def added_spans(text: str, found: list[tuple[str, int, int]], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The network's spans without the space and stops at their ends, if they are plausible, are no part of a word and overlap no span of the patterns."""
+    out = []
+    for kind, s, e in found:
+        while s < e and (text[s].isspace() or text[s] in ".,;:-"):
+            s += 1
+        while s < e and (text[e - 1].isspace() or text[e - 1] in ".,;:-"):
+            e -= 1
+        if s < e and not any(x < e and s < y for _, x, y in base) and plausible(kind, text[s:e]) and not text[max(0, s - 1) : s].isalnum() and not text[e : e + 1].isalnum():
+            out.append((kind, s, e))
     return out
 
 
 def all_spans(tagger: Tagger | None, texts: list[str | None]) -> list[tuple[list, list]]:
-    """(base spans, all spans) of each text: the network's are added where they overlap no base span and are plausible."""
+    """(base spans, all spans) of each text."""
     base = [base_spans(t) if t else [] for t in texts]
-    where = [(i, a, z) for i, t in enumerate(texts) if t for a, z in passages(t)] if tagger else []
-    added: dict[int, list] = {}
-    for (i, a, _), found in zip(where, tagged(tagger, [texts[i][a:z] for i, a, z in where]) if where else [], strict=True):
-        for kind, s, e in found:
-            s, e = a + s, a + e
-            while s < e and texts[i][s].isspace():
-                s += 1
-            while s < e and (texts[i][e - 1].isspace() or texts[i][e - 1] in ".,;:"):
-                e -= 1
-            if s < e and not any(x < e and s < y for _, x, y in base[i]) and plausible(kind, texts[i][s:e]) and (s == 0 or not texts[i][s - 1].isalnum()) and not texts[i][e : e + 1].isalnum():
-                added.setdefault(i, []).append((kind, s, e))
-    return [(b, sorted([*b, *added[i]], key=lambda s: (s[1], KINDS.index(s[0]), s[2])) if i in added else b) for i, b in enumerate(base)]
+    if tagger is None:
+        return [(b, b) for b in base]
+    out: list[tuple[list, list]] = []
+    for own in _pieces(texts):
+        for i, found in zip(own, tagged(tagger, [texts[i] or "" for i in own]), strict=True):
+            more = added_spans(texts[i], found, base[i]) if found else []
+            out.append((base[i], sorted([*base[i], *more], key=lambda s: (s[1], KINDS.index(s[0]), s[2])) if more else base[i]))
+    return out
+
+
+def _number(r: np.random.Generator, n: int) -> str:
+    return "".join(map(str, r.integers(0, 10, n)))
+
+
+def _one(r: np.random.Generator, *of: str) -> str:
+    return of[int(r.integers(len(of)))]
+
+
+def disguised(r: np.random.Generator, kind: str, words: list[str]) -> str:
+    """A span of `kind` that no pattern finds."""
+    if kind == "email":
+        name = _one(r, "", "", ".", "_").join([_one(r, *words).lower() for _ in range(int(r.integers(1, 3)))]) + _one(r, "", "", _number(r, 2))
+        parts = [_one(r, *words).lower(), *([_one(r, *words).lower()] if r.random() < 0.2 else []), _one(r, "com", "org", "net", "edu", "io", "de", "fr", "co", "info", "example", "test")]
+        a, z = _one(r, "()", "[]", "{}", "<>")
+        at = _one(r, " at ", " AT ", f" {a}at{z} ", f"{a}at{z}", f" {a}AT{z} ", " @ ", f"{a}@{z}", f" {a}@{z} ", "＠", " @", "@ ")
+        dot = _one(r, " dot ", " DOT ", f" {a}dot{z} ", f"{a}dot{z}", f"{a}.{z}", " . ", ".") if at.strip() not in ("@", "＠") else _one(r, " . ", ".", " .", " dot ")
+        return (name if name.strip("._") else "info") + (" @ " if at == "@ " and dot == "." else at) + dot.join(parts)
+    if kind == "ip":
+        return _one(r, " . ", "[.]", "(.)", " dot ", ". ", " .", "[dot]", "{.}").join(str(x) for x in r.integers(0, 256, 4))
+    if kind == "card":
+        d = _number(r, 15)
+        d = "4" + d[1:] if r.random() < 0.5 else "5" + d[1:]
+        d += next(c for c in "0123456789" if luhn(d + c))
+        return _one(r, ".", "/", "_", "  ", " - ", "\u00a0", ":", ", ", "*").join(d[i : i + 4] for i in range(0, 16, 4))
+    lead = _one(r, "", "", "0", "00", "1")
+    groups = [_number(r, k) for k in ((3, 3, 4), (3, 4), (2, 4, 4), (3, 3, 3), (4, 6), (2, 3, 2, 2), (3, 2, 2, 3))[int(r.integers(7))]]
+    way = r.random()
+    if way < 0.3:
+        return f"({lead}{groups[0]}){_one(r, ' ', '', '-')}" + _one(r, "-", " ", ".").join(groups[1:])
+    if way < 0.75:
+        return _one(r, lead, f"{lead}{_one(r, '-', ' ', '.')}" if lead else "", f"plus {r.integers(1, 99)} ", f"+{r.integers(1, 99)}/") + _one(r, "-", " ", ".", "/", " - ", "–").join(groups)
+    if way < 0.9:
+        return _one(r, "-", " ", ", ").join(_SPOKEN[int(c)] for c in "".join(groups))
+    return "+" + _one(r, " ", "_", "/", "·").join([str(r.integers(1, 99)), *groups]).replace(" ", "  ")
+
+
+def harmless(r: np.random.Generator, words: list[str]) -> str:
+    """A string with digits, signs or words of those that is no personal data."""
+    n = lambda a, b: str(r.integers(a, b))
+    way = int(r.integers(18))
+    if way > 13:
+        return " ".join("".join(chr(97 + c) for c in r.integers(0, 26, int(r.integers(1, 10)))) for _ in range(int(r.integers(1, 6))))
+    return (
+        lambda: f"{n(1900, 2100)}-{n(10, 13)}-{n(10, 29)}",
+        lambda: f"{n(1, 29)}.{n(1, 13)}.{n(1900, 2100)}",
+        lambda: f"{n(0, 24)}:{n(10, 60)}" + _one(r, "", f":{n(10, 60)}"),
+        lambda: f"${n(1, 999)},{n(100, 999)}.{n(10, 99)}",
+        lambda: f"v{n(0, 20)}.{n(0, 20)}.{n(0, 99)}",
+        lambda: f"{n(1, 500)}-{n(1, 500)}",
+        lambda: f"{n(1, 99)}%",
+        lambda: f"{n(0, 99)}.{n(0, 9999)}",
+        lambda: "".join(_one(r, *"0123456789abcdef") for _ in range(int(r.integers(8, 33)))),
+        lambda: f"{_one(r, '#', 'no. ', 'id ', 'AB-')}{_number(r, int(r.integers(3, 9)))}",
+        lambda: f"{_one(r, *words)} at {_one(r, *words)} " + _one(r, "", f"dot {_one(r, *words)} ", f"at {_one(r, *words)}"),
+        lambda: f"{_one(r, *_SPOKEN)} {_one(r, *words)} {_one(r, 'and', 'or', 'of')} {_one(r, *_SPOKEN)}",
+        lambda: f"@{_one(r, *words)}",
+        lambda: f"{n(1, 99)}, {n(1, 99)}, {n(1, 99)}" + _one(r, "", f", {n(1, 99)}", f" and {n(1, 99)}"),
+    )[way]()
+
+
+def example(r: np.random.Generator, passage: str, spans: list[tuple[str, int, int]], words: list[str]) -> tuple[str, list[tuple[str, int, int]]]:
+    """A passage of PASSAGE characters at most with labelled spans: its own with other digits and letters, disguised ones, or harmless strings."""
+    way = r.random()
+    if spans and way < 0.3:
+        return _varied(passage, spans, r), spans
+    if spans and way < 0.5:
+        kind, a, z = spans[int(r.integers(len(spans)))]
+    else:
+        gaps = [i for i, c in enumerate(passage) if c == " "] or [len(passage)]
+        a = z = gaps[int(r.integers(len(gaps)))]
+        kind = None if way > 0.76 else _one(r, *KINDS)
+    put = harmless(r, words) if kind is None else disguised(r, kind, words)
+    before, after = (passage[:a], " " if a == z and a else ""), (" " if a == z else "", passage[z:])
+    if a == z and r.random() < 0.3:
+        after = (_one(r, ". ", ", ", ") ", "%%% ", "; ", "$$$ "), after[1].lstrip())
+    room = max(0, PASSAGE - len(put) - 4)
+    left = int(r.integers(0, room + 1))
+    start = "".join(before)[-left:] if left else ""
+    text = (start + put + "".join(after))[:PASSAGE]
+    own = [(k, x - max(0, a - left + len(before[1])), y - max(0, a - left + len(before[1]))) for k, x, y in spans if y <= a]
+    own = [(k, x, y) for k, x, y in own if y > 0]
+    shift = len(start) + len(put) + len(after[0]) - z if a != z or after[0] == " " else None
+    own += [(kind, len(start), len(start) + len(put))] if kind else []
+    if shift is not None:
+        own += [(k, x + shift, y + shift) for k, x, y in spans if x >= z]
+    elif any(x >= z for _, x, _ in spans):
+        text = text[: len(start) + len(put) + len(after[0])]
+    return text, [(k, max(0, x), min(len(text), y)) for k, x, y in own if x < len(text)]
 
 
 def train(docs: DataFrame, seed: int = 0) -> Tagger | None:
-    """A network trained on passages of a bounded sample of `docs` (doc_id, text), labelled by the patterns; none if there is no passage.
+    """A network trained on passages of a bounded sample of `docs` (doc_id, text); none if there is no passage.
 
-    Passages with spans come first, as many without are added, and each with spans also appears with other digits
-    and letters in the same places.
+    Half of the passages hold spans of the patterns, as far as there are any. The network is trained in one task, from 2 * PASSAGES
+    passages of PASSAGE characters at most, whatever the documents' number, length or ids; the driver gets its parameters alone.
     """
-    ids = docs.where("text is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select(F.col("doc_id").alias("_id")).distinct()
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left_semi")
+    sample = docs.where("text is not null").select("text").orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(SAMPLE_DOCS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for text in b.column(0).to_pylist():
-                spans = base_spans(text)
-                for a, z in passages(text):
-                    for w in _windows(z - a):
-                        s, e = a + w, min(z, a + w + WINDOW)
-                        own = [f"{k}:{x - s}:{y - s}" for k, x, y in spans if x < e and s < y]
-                        rows.append((text[s:e], ",".join(own)))
+                spans, taken = base_spans(text), set()
+                for _, x, y in spans[:8]:
+                    taken.add(max(0, min(x, (x + y - PASSAGE) // 2)))
+                for at in range(0, min(len(text), 50 * PASSAGE), 5 * PASSAGE):
+                    taken.add(at)
+                for at in sorted(taken):
+                    own = [f"{k}:{x - at}:{y - at}" for k, x, y in spans if x >= at and y <= at + PASSAGE]
+                    if not any(x < at + PASSAGE and at < y and not (x >= at and y <= at + PASSAGE) for _, x, y in spans):
+                        rows.append((text[at : at + PASSAGE], ",".join(own)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["passage", "spans"])
 
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted({(p, s) for b in batches for p, s in zip(*[c.to_pylist() for c in b.columns], strict=True)})
+        if rows:
+            made = trained([(p, [(k, int(a), int(z)) for k, a, z in (s.split(":") for s in spans.split(",") if s)]) for p, spans in rows], seed)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], ["tagger"])
+
     staged = Staged(docs.sparkSession, "pii")
-    found = staged.put(sample.select("text").mapInArrow(cut, "passage string, spans string").distinct())
-    rows = []
-    for some in ("spans <> ''", "spans = ''"):
-        rows += found.where(some).orderBy(F.xxhash64("passage"), "passage").limit(PASSAGES if "<>" in some else PASSAGES // 2).collect()
+    found = staged.put(sample.mapInArrow(cut, "passage string, spans string").where("trim(passage) <> ''").distinct())
+    some, none = (found.where(w).orderBy(F.xxhash64("passage"), "passage").limit(PASSAGES) for w in ("spans <> ''", "spans = ''"))
+    out = some.unionAll(none).coalesce(1).mapInArrow(learn, "tagger binary").collect()  # one row, as large for any corpus
     staged.drop(found)
-    if not rows:
-        return None
+    return pickle.loads(out[0].tagger) if out else None
+
+
+def trained(rows: list[tuple[str, list[tuple[str, int, int]]]], seed: int = 0) -> Tagger:
     r = np.random.default_rng(seed)
-    made = []
-    for passage, spans in rows:
-        own = [(k, int(a), int(z)) for k, a, z in (s.split(":") for s in spans.split(",") if s)]
-        made.append((passage, own))
-        made += [(_varied(passage, own, r), own) for _ in range(VARIANTS if own else 0)]
-    x, y = np.zeros((len(made), WINDOW), np.uint8), np.zeros((len(made), WINDOW), np.int8)
+    words = sorted({w for p, _ in rows for w in re.findall(r"[^\W\d_]{2,12}", p)}) or ["name"]
+    made = [*rows, *[example(r, *rows[i], words) for i in r.integers(0, len(rows), max(0, EXAMPLES - len(rows)))]]
+    x, y = np.zeros((len(made), PASSAGE), np.uint8), np.zeros((len(made), PASSAGE), np.int8)
     for i, (passage, own) in enumerate(made):
         x[i, : len(passage)] = symbols(passage)
-        y[i] = label_row(WINDOW, own)
+        y[i] = label_row(PASSAGE, own)
     tagger = Tagger(seed=seed)
-    tagger.train(x, y, max(EPOCHS, min(40, 6000 * EPOCHS // (4 * len(made)))), seed=seed)
+    tagger.train(x, y, EPOCHS, seed=seed)
     return tagger
 
 
@@ -209,8 +346,10 @@ def _joined(spans: list) -> str:
 def find(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
     """(doc_id, base, spans) for every row of `docs` (doc_id, text): comma-joined kind:start:end, code points, by start and kind.
 
-    Null and empty texts have none. base has the patterns' spans alone, spans all. Repeated rows come out as
-    often as they come in, and other columns are ignored.
+    Null and empty texts have none. base has the patterns' spans alone, spans all; without a tagger both are the same.
+    Texts are read whole: one of very many characters takes some 60 bytes of a task's memory for each. Rows that repeat, and
+    rows without doc_id, come out as often as they come in; an empty table gives an empty result; other columns are ignored,
+    whatever their names. Spans that begin at one place go by kind, in the order of KINDS.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tagger)  # as large for any corpus
 
@@ -223,7 +362,10 @@ def find(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
 
 
 def redact(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
-    """`docs` with each span, or run of overlapping ones, replaced by its kind in brackets; n_chars, if there, is counted anew."""
+    """`docs` with each span, or run of overlapping ones, replaced by its first's kind in brackets; n_chars, if there, is counted anew.
+
+    Every row comes out once, with all of its columns; null and empty texts stay as they are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
 
     def clean(text: str, spans: list) -> str:

@@ -1,0 +1,97 @@
+"""What the network of personal data adds, with the patterns switched off and against a decoding of whole texts."""
+
+import random
+
+import numpy as np
+import pytest
+
+from quire.llm import charcrf, pii
+
+WORDS = "the of and to in that was for with this have from they which one had word".split()
+
+
+def prose(r, n):
+    return " ".join(r.choice(WORDS) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def tagger():
+    r = random.Random(1)
+    rows = []
+    for i in range(300):
+        passage = prose(r, 14)[: pii.PASSAGE - 40]
+        item = r.choice([f"u{r.randrange(999)}@mail{r.randrange(9)}.com", ".".join(str(r.randrange(256)) for _ in range(4)), f"+1 ({r.randrange(200, 999)}) 555-{r.randrange(1000, 9999)}"]) if i % 3 else ""
+        text = f"{passage} {item} {prose(r, 3)}"[: pii.PASSAGE]
+        rows.append((text, pii.base_spans(text)))
+    return pii.trained(rows)
+
+
+def test_forms_that_no_pattern_has(tagger):
+    r, gen = random.Random(2), np.random.default_rng(1234)
+    names = ["anna", "bert", "carla", "dmitri", "elena", "farid"]
+    found, wanted = {k: 0 for k in pii.KINDS}, {k: 0 for k in pii.KINDS}
+    for i in range(240):
+        kind = pii.KINDS[i % 4]
+        put = pii.disguised(gen, kind, names)
+        text = f"{prose(r, r.randrange(1, 30))} {put} {prose(r, r.randrange(1, 30))}"
+        a, z = text.index(put), text.index(put) + len(put)
+        wanted[kind] += 1
+        found[kind] += any(k == kind and s < z and a < e for k, s, e in pii.added_spans(text, pii.tagged(tagger, [text])[0], []))
+    assert all(found[k] >= 0.8 * wanted[k] for k in wanted) and sum(found.values()) >= 0.9 * sum(wanted.values()), (found, wanted)
+
+
+def test_harmless_texts_have_none(tagger):
+    r, gen = random.Random(3), np.random.default_rng(4321)
+    texts = [f"{prose(r, 10)} {pii.harmless(gen, WORDS)} {prose(r, 10)}" for _ in range(300)] + [prose(r, 200) for _ in range(50)]
+    assert sum(bool(a) for _, a in pii.all_spans(tagger, texts)) <= 6
+
+
+def test_patterns_spans_stay(tagger):
+    texts = ["write to a@b.co or call +1 (415) 555-2671 now", None, "", "no at dot here", "x" * 5000 + " 10.0.0.1 " + "y" * 5000]
+    for text, (base, every) in zip(texts, pii.all_spans(tagger, texts), strict=True):
+        assert base == (pii.base_spans(text) if text else []) and set(base) <= set(every)
+
+
+def whole(tagger, text):
+    """Decoding of the whole of a text from the windows' scores, all positions."""
+    codes = pii.symbols(text)
+    e = np.zeros((1, len(codes), charcrf.LABELS), np.float32)
+    for a, z, s, t in pii._windows(len(codes)):
+        e[0, s:t] = tagger.emissions(codes[None, a:z])[s - a : t - a, :, 0]
+    return charcrf.spans_of(tagger.decode(e, np.array([len(codes)]))[0])
+
+
+def test_decoding_where_spans_may_lie_is_that_of_the_whole_text(tagger, monkeypatch):
+    monkeypatch.setattr(pii, "WINDOW", 160)
+    monkeypatch.setattr(pii, "SHARED", 64)
+    monkeypatch.setattr(pii, "ROWS", 7)
+    r, gen = random.Random(5), np.random.default_rng(9)
+    texts = []
+    for _ in range(40):
+        items = [pii.disguised(gen, r.choice(pii.KINDS), WORDS) if r.random() < 0.5 else pii.harmless(gen, WORDS) for _ in range(r.randrange(5))]
+        texts.append(" ".join(x for i in items for x in (i, prose(r, r.randrange(25)))))
+    texts += ["", "7", "@" * 400, "1 " * 500]
+    got = pii.tagged(tagger, texts)
+    assert sum(map(len, got)) > 20
+    for text, spans in zip(texts, got, strict=True):
+        assert spans == (whole(tagger, text) if text else []), text
+
+
+def test_unlike_taggers_too(monkeypatch):
+    """The bound on what a span can gain holds whatever the transitions are."""
+    monkeypatch.setattr(pii, "WINDOW", 64)
+    monkeypatch.setattr(pii, "SHARED", 16)
+    r = np.random.default_rng(3)
+    for seed in range(12):
+        tagger = charcrf.Tagger(hidden=4, seed=seed)
+        tagger.p["move"] = (r.standard_normal((charcrf.LABELS, charcrf.LABELS)) * 2).astype(np.float32)
+        tagger.p["out"] *= 3
+        tagger.p["bias"][0] = 4 + seed % 4
+        text = "".join(r.choice(list("ab1 .@-"), 300))
+        assert pii.tagged(tagger, [text, "b", text[:50]])[0] == whole(tagger, text)
+
+
+def test_address_parts_of_any_length():
+    assert pii.base_spans("0" * 201 + "1.2.3.4") == [("ip", 0, 208)]
+    assert pii.base_spans("1.2.3." + "0" * 5000 + "255") == [("ip", 0, 5009)]
+    assert pii.base_spans("1.2.3." + "0" * 5000 + "256") == []
