@@ -2,23 +2,24 @@
 
 A known word counts by its log frequency in each language; an unseen one by the longest of its character
 n-grams that are known, falling back to shorter ones place by place. The model is fitted on a bounded
-sample of labelled rows (SAMPLE); every whole text is scored.
+sample of labelled rows (SAMPLE), with every word and n-gram seen twice in it, however long; every whole text is scored.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-#: Labelled documents that the model is fitted on at most (those of least hash of doc_id), and its size.
-SAMPLE, WORDS, GRAMS, LONGEST = 6000, 60_000, 60_000, 5
-#: Words whose scores a worker keeps; beyond that the memory starts anew. Longer words aren't kept, and of their n-grams every one counts all the same.
+from .util import Staged
+
+#: Labelled rows that the model is fitted on at most, shared evenly by the languages but EACH at least for each (those of least hash), and the longest n-gram.
+SAMPLE, EACH, LONGEST = 8000, 50, 5
+#: Words whose scores a worker keeps; beyond that the memory starts anew. Longer words aren't kept; they count all the same.
 KEPT, KEPT_LENGTH = 200_000, 40
 #: Words after which more evidence no longer sharpens the score.
 ENOUGH = 12
@@ -32,76 +33,64 @@ def _word(raw: str) -> str:
 
 @dataclass
 class Model:
+    """words and grams give the row of `rates` that holds a key's log frequency in each language, less their mean."""
+
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: dict[str, int]
+    grams: dict[str, int]
+    rates: np.ndarray
     kept: dict[str, int] = field(default_factory=dict)
     rows: np.ndarray | None = None
 
-    @staticmethod
-    def of(counts: dict[str, Counter]) -> Model:
-        """counts: the words of each language. Words seen once are left to their n-grams."""
-        langs = sorted(counts)
-        words = _rates({w: 1 for c in counts.values() for w in c}, counts, langs, WORDS)
-        grams: dict[str, Counter] = {lang: Counter() for lang in langs}
-        for lang, c in counts.items():
-            for w, n in c.items():
-                for g in _all_grams(f" {w} "):
-                    grams[lang][g] += n
-        return Model(langs, words, _rates({g: 1 for c in grams.values() for g in c}, grams, langs, GRAMS * LONGEST))
-
     def _vector(self, word: str) -> np.ndarray:
         known = self.words.get(word)
         if known is not None:
-            return known
-        padded, total, n = f" {word} ", np.zeros(len(self.langs)), 0
+            return self.rates[known]
+        padded, found = f" {word} ", []
         for i in range(len(padded)):
             for k in range(min(LONGEST, len(padded) - i), 0, -1):
                 g = self.grams.get(padded[i : i + k])
                 if g is not None:
-                    total, n = total + g, n + 1
+                    found.append(g)
                     break
-        return total / max(1, n)
+        return self.rates[found].mean(0) if found else np.zeros(len(self.langs))
 
-    def _row(self, raw: str) -> int:
-        if self.rows is None:
-            self.rows = np.zeros((KEPT + 1, len(self.langs)))
-        if len(self.kept) >= KEPT:
-            return -1
+    def _place(self, raw: str) -> int | None:
+        """The row that is kept for a word, KEPT if it has no letter; None for one that isn't kept."""
         word = _word(raw)
+        if word and (len(raw) > KEPT_LENGTH or len(self.kept) >= KEPT):
+            return None
         at = len(self.kept) if word else KEPT
         if word:
             self.rows[at] = self._vector(word)
-        self.kept[raw] = at
+        if len(raw) <= KEPT_LENGTH and len(self.kept) < KEPT:
+            self.kept[raw] = at
         return at
 
     def score(self, text: str | None) -> tuple[str, float]:
-        """The language and its posterior; und and 0 without letters."""
+        """The language and its posterior; und and 0 without letters. Languages that score the same go by name."""
         if not text or not self.langs:
             return "und", 0.0
-        raws, kept = text.lower().split(), self.kept
-        if len(kept) >= KEPT:
-            kept.clear()
-        rows, total = [], np.zeros(len(self.langs))
-        for raw in raws:
-            at = kept.get(raw)
+        if self.rows is None:
+            self.rows = np.zeros((KEPT + 1, len(self.langs)))
+        if len(self.kept) >= KEPT:
+            self.kept.clear()
+        raws = text.lower().split()
+        places, n, total = list(map(self.kept.get, raws)), 0, np.zeros(len(self.langs))
+        for i, at in enumerate(places):
             if at is None:
-                at = self._row(raw) if len(raw) <= KEPT_LENGTH else -1
-                if at < 0:
-                    word = _word(raw)
-                    if word:
-                        total += self._vector(word)
-                        rows.append(-1)
-                    continue
-            if at != KEPT:
-                rows.append(at)
-        if not rows:
+                at = places[i] = self.kept.get(raws[i])
+                if at is None:
+                    at = places[i] = self._place(raws[i])
+                if at is None:
+                    total, n, places[i] = total + self._vector(_word(raws[i])), n + 1, KEPT
+        own = np.array(places, np.int64)
+        n += int(np.count_nonzero(own != KEPT))
+        if not n:
             return "und", 0.0
-        own = np.array(rows)
-        own = own[own >= 0]
-        if len(own):
-            total += self.rows[own].sum(0)
-        mean = total / len(rows) * min(len(rows), ENOUGH)
+        for at in range(0, len(own), 1 << 16):
+            total += self.rows[own[at : at + (1 << 16)]].sum(0)
+        mean = total / n * min(n, ENOUGH)
         best = int(np.argmax(mean))
         return self.langs[best], float(1 / np.exp(mean - mean[best]).sum())
 
@@ -112,65 +101,107 @@ def _all_grams(padded: str) -> Iterator[str]:
             yield padded[i : i + k]
 
 
-def _rates(keys: dict, counts: dict[str, Counter], langs: list[str], most: int) -> dict[str, np.ndarray]:
-    """log frequency by language (half a count for none) of the most frequent keys seen twice or more, against the mean over the languages."""
-    total = Counter()
-    for c in counts.values():
-        total.update(c)
-    sums = {lang: sum(counts[lang].values()) + 0.5 * len(keys) for lang in langs}
-    out = {}
-    for key, n in total.most_common(most):
-        if n < 2:
-            break
-        v = np.array([math.log((counts[lang][key] + 0.5) / sums[lang]) for lang in langs])
-        out[key] = v - v.mean()
-    return out
+def _batches(seen: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+    rows = [(lang, key, n) for lang, c in seen.items() for key, n in c.items()]
+    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "key", "n"])
 
 
-def word_counts(docs: DataFrame) -> dict[str, Counter]:
-    """The words of each language in `docs` (text, lang); partitions count their own first.
-
-    A document counts a word once, and once more for each doubling: one that repeats itself doesn't outweigh the rest.
-    """
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(lang, key, n): how often each word is in the texts of each language of `docs` (text, lang); partitions count their own first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = defaultdict(Counter)
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for word, n in Counter((text or "").lower().split()).items():
-                    seen[lang][word] += n.bit_length()
-        rows = [(lang, w, n) for lang, c in seen.items() for w, n in c.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
+                for raw, n in Counter((text or "").lower().split()).items():
+                    if word := _word(raw):
+                        seen[lang][word] += n
+        yield from _batches(seen)
+
+    return docs.select("text", "lang").mapInArrow(run, "lang string, key string, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
-    out: dict[str, Counter] = defaultdict(Counter)
-    for lang, raw, n in docs.select("text", "lang").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n")).collect():
-        if (word := _word(raw)) and len(word) <= KEPT_LENGTH:
-            out[lang][word] += n
-    return out
+
+def gram_counts(words: DataFrame) -> DataFrame:
+    """The same for the n-grams of `words`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, Counter] = defaultdict(Counter)
+        for b in batches:
+            for lang, word, n in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                own = seen[lang]
+                for g in _all_grams(f" {word} "):
+                    own[g] += n
+        yield from _batches(seen)
+
+    return words.select("lang", "key", "n").mapInArrow(run, "lang string, key string, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+
+
+def _rates(counts: DataFrame, langs: list[str]) -> tuple[list[str], np.ndarray]:
+    """The keys seen twice or more, in order, and for each its log frequency by language (half a count where it has none), less the mean over the languages."""
+    at = {lang: i for i, lang in enumerate(langs)}
+    sums, some = np.zeros(len(langs)), 0
+    for lang, n in counts.groupBy("lang").agg(F.sum("n")).collect():
+        sums[at[lang]] = n
+    some = counts.select("key").distinct().count()
+    by = counts.groupBy("key").agg(F.collect_list(F.struct("lang", "n")).alias("by")).where(F.aggregate("by", F.lit(0).cast("long"), lambda a, x: a + x["n"]) >= 2)
+    rows = by.orderBy("key").toLocalIterator()
+    keys, places, values = [], [[], []], []
+    for key, own in rows:
+        for lang, n in own:
+            places[0].append(len(keys))
+            places[1].append(at[lang])
+            values.append(n)
+        keys.append(key)
+    out = np.zeros((len(keys), len(langs)), np.float32)
+    out[places[0], places[1]] = values
+    if not keys:
+        return keys, out
+    out = np.log(out + 0.5) - np.log(sums + 0.5 * some)
+    return keys, (out - out.mean(1, keepdims=True)).astype(np.float32)
+
+
+def sampled(labelled: DataFrame) -> DataFrame:
+    """(text, lang) of the rows that a model is fitted on: in each language those of least hash of doc_id and text, of which equal ones count once."""
+    own = labelled.where("lang is not null").select("text", "lang", F.xxhash64("doc_id", "text").alias("_h"))
+    each = max(EACH, SAMPLE // max(1, own.select("lang").distinct().count()))
+    order = W.partitionBy("lang").orderBy("_h")
+    last = own.select("lang", "_h").distinct().withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= each).groupBy(F.col("lang").alias("_lang")).agg(F.max("_h").alias("_last"))
+    return own.join(F.broadcast(last), (F.col("lang") == F.col("_lang")) & (F.col("_h") <= F.col("_last"))).groupBy("lang", "_h").agg(F.first("text").alias("text")).select("text", "lang")
 
 
 def fit(labelled: DataFrame) -> Model:
-    """A model from a bounded sample of `labelled` (doc_id, text, lang); rows without lang don't count. Fitted on the driver from the sample's word counts alone."""
-    own = labelled.where("lang is not null")
-    ids = own.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select(F.col("doc_id").alias("_id"))
-    sample = own.select("doc_id", "text", "lang").join(F.broadcast(ids.distinct()), F.col("doc_id") == F.col("_id"), "left_semi")
-    return Model.of(word_counts(sample))
+    """A model from a bounded sample of `labelled` (doc_id, text, lang); rows without lang don't count.
+
+    What comes to the driver is the counts of the sample's words and n-grams seen twice or more. Texts are counted whole.
+    """
+    staged = Staged(labelled.sparkSession, "langid")
+    words = staged.put(word_counts(sampled(labelled)))
+    grams = staged.put(gram_counts(words))
+    langs = sorted(r.lang for r in words.select("lang").distinct().collect())
+    own, rates = _rates(words, langs)
+    parts, more = _rates(grams, langs)
+    staged.drop(words)
+    staged.drop(grams)
+    return Model(langs, {w: i for i, w in enumerate(own)}, {g: len(own) + i for i, g in enumerate(parts)}, np.concatenate([rates, more]))
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """(doc_id or the columns of `keep`, lang_pred, score) for every row of `docs` (doc_id, text).
+def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """(doc_id or the columns of `keep`, and two of `names`) for every row of `docs` (doc_id, text): the language and its posterior.
 
     A text that is null, empty or without a letter is `und` with score 0; so is every text if nothing was
-    learned. Other columns are ignored. Repeated rows come out as often as they come in.
+    learned. Texts of any length are scored whole, a word at a time. Languages that score the same go by name. Repeated rows come
+    out as often as they come in; an empty table gives an empty result. Other columns are ignored, whatever their names; of `keep` none may be in `names`.
     """
     keep = keep or ["doc_id"]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE, WORDS and GRAMS
+    if taken := set(keep) & set(names):
+        raise ValueError(f"columns in both keep and names: {sorted(taken)}")
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
             found = [m.score(x) for x in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*keep, *names])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(F.col("text"), *keep).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.select(F.col("text"), *keep).mapInArrow(run, f"{kinds}, `{names[0]}` string, `{names[1]}` double")

@@ -46,7 +46,7 @@ def test_language_memory_starts_anew(monkeypatch, spark):
     texts = [prose(r, "en", 50) for _ in range(20)]
     want = [model.score(t) for t in texts]
     monkeypatch.setattr(langid, "KEPT", 7)
-    small = langid.Model(model.langs, model.words, model.grams)
+    small = langid.Model(model.langs, model.words, model.grams, model.rates)
     assert [small.score(t) for t in texts] == [(a, pytest.approx(b)) for a, b in want]
 
 
