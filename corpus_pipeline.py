@@ -10,13 +10,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.llm import mixing, nearcopies, packing, pii, toxicity
-from quire.llm.util import Staged, crc32_text, table
+from quire.llm.util import Staged, columns, crc32_text, table, unused
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under the threshold. The labels are learned from as in op2_toxicity."""
     lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels").where(crc32_text("doc_id") % 4 != 2))
-    return toxicity.scored(docs, lexicon, docs.columns).where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+    name = unused(docs.columns, "_toxicity")
+    return toxicity.scored(docs, lexicon, docs.columns, name).where(F.col(name) < toxicity.THRESHOLD).select(*columns(docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,8 +14,9 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .util import Staged
+from .util import Staged, columns
 
 #: Labelled rows that the model is fitted on at most, shared evenly by the languages but EACH at least for each (those of least hash), and the longest n-gram.
 SAMPLE, EACH, LONGEST = 8000, 50, 5
@@ -193,7 +194,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, names
     out as often as they come in; an empty table gives an empty result. Other columns are ignored, whatever their names; of `keep` none may be in `names`.
     """
     keep = keep or ["doc_id"]
-    if taken := set(keep) & set(names):
+    if taken := {c.lower() for c in keep} & {c.lower() for c in names}:
         raise ValueError(f"columns in both keep and names: {sorted(taken)}")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by SAMPLE
 
@@ -203,5 +204,5 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, names
             found = [m.score(x) for x in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], [*keep, *names])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(F.col("text"), *keep).mapInArrow(run, f"{kinds}, `{names[0]}` string, `{names[1]}` double")
+    made = StructType([*[docs.schema[c] for c in keep], StructField(names[0], StringType()), StructField(names[1], DoubleType())])
+    return docs.select("text", *columns(keep)).mapInArrow(run, made)

@@ -8,6 +8,8 @@ turn a text's matches, by its length, into a score.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 import unicodedata
 from collections import Counter
@@ -18,11 +20,12 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .util import Staged
+from .util import Staged, columns
 
-#: Labelled documents of each class that the lexicon is learned from at most (those of least hash of doc_id); entries and exceptions at most.
-SAMPLE, ENTRIES, EXCEPTIONS = 8000, 5000, 5000
+#: Labelled documents of each class that the lexicon is learned from at most (those of least hash of doc_id). Its size follows from them; nothing else cuts it.
+SAMPLE = 8000
 #: Entries are beginnings of words, of these lengths, or whole words; log odds that an entry needs, and standard errors taken off them.
 PREFIXES, LEAST_ODDS, CAUTION = range(4, 13), 1.5, 1.5
 THRESHOLD = 0.3
@@ -101,27 +104,31 @@ class Lexicon:
 
 def evidence(found: ahocorasick.Automaton | None, folded: str) -> tuple[float, float, float, float]:
     """Constant, log of the summed weights, the same by length, and whether any entry was met outside all exceptions."""
-    words = folded.count(" ") + 1
+    words = max(1, len(folded.split()))
     if found is None:
         return 1.0, 0.0, 0.0, 0.0
     hits, spared = [], []
     for end, (n, w) in found.iter(folded):
         (hits if w else spared).append((end - n + 1, end, w))
+    spared.sort()
+    starts, reach = [x for x, _, _ in spared], list(itertools.accumulate((y for _, y, _ in spared), max))
     best: dict[int, float] = {}
-    for a, z, w in hits:
-        if not any(x <= a and z <= y for x, y, _ in spared):
+    for a, z, w in hits:  # within an exception if, of those that begin no later, one reaches as far
+        before = bisect.bisect_right(starts, a)
+        if not before or reach[before - 1] < z:
             best[a] = max(best.get(a, 0.0), w)
     total = sum(best.values())
     return 1.0, float(np.log1p(total)), float(np.log1p(100 * total / words)), float(total > 0)
 
 
 def _sampled(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """(text, toxic) of at most SAMPLE rows of each class, chosen by labels alone; only they meet the texts."""
+    """(text, toxic) of at most SAMPLE documents of each class, chosen by labels alone; only they meet the texts. Of rows that share a doc_id one counts, the same on every run."""
     ids = None
     for label in (0, 1):
         own = known.where(F.col("toxic") == label).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE)
         ids = own if ids is None else ids.unionAll(own)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("text", "toxic")
+    met = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+    return met.groupBy("_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
@@ -153,12 +160,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     odds = lambda toxic, clean: np.log((toxic + 0.5) / (n[1] + 1)) - np.log((clean + 0.5) / (n[0] + 1)) - CAUTION * np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
     rows = [(f, float(odds(t, c)), t) for f, c, t in counted.where((F.col("toxic") >= least) & (F.col("toxic") > F.col("clean"))).collect()]
     entries: dict[str, float] = {}
-    rows = sorted((r for r in rows if r[1] >= LEAST_ODDS), key=lambda r: (-r[2] * r[1], r[0]))[: 4 * ENTRIES]
-    for f, w, _ in sorted(rows, key=lambda r: (len(r[0].rstrip()), r[0])):
+    for f, w, _ in sorted((r for r in rows if r[1] >= LEAST_ODDS), key=lambda r: (len(r[0].rstrip()), r[0])):
         shorter = [entries[f[:k]] for k in range(2, len(f)) if f[:k] in entries]
         if not shorter or w > max(shorter) + 0.7:
             entries[f] = w
-    entries = dict(sorted(entries.items(), key=lambda e: (-e[1], e[0]))[:ENTRIES])
     held = Lexicon(entries, [], np.zeros(4))
 
     def spared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +177,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[pa.array([c[k] for k in keys], pa.int64()) for c in seen]], ["feature", "clean", "toxic"])
 
     around = sample.mapInArrow(spared, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    clean = around.where((F.col("clean") >= 2) & (F.col("clean") > 2 * F.col("toxic"))).orderBy(F.desc("clean"), "feature").limit(EXCEPTIONS).collect()
+    clean = around.where((F.col("clean") >= 2) & (F.col("clean") > 2 * F.col("toxic"))).orderBy("feature").collect()
     held = Lexicon(entries, [r.feature for r in clean if r.feature not in entries], np.zeros(4))
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,17 +218,24 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return beta
 
 
-def scored(docs: DataFrame, lexicon: Lexicon, keep: list[str] | None = None) -> DataFrame:
-    """(doc_id or the columns of `keep`, score) for every row of `docs`; null and empty texts are scored as texts without a match."""
+def scored(docs: DataFrame, lexicon: Lexicon, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """(doc_id or the columns of `keep`, and the score under `name`) for every row of `docs` (doc_id, text).
+
+    Null and empty texts are scored as texts without a match. Long texts are scored whole, in time that grows as their length times its logarithm;
+    a run of spaces counts as one. Rows that repeat, and rows without doc_id, come out as often as they come in; equal texts have
+    equal scores. An empty table gives an empty result. Other columns are ignored, whatever their names; `name` must be none of `keep`.
+    """
     keep = keep or ["doc_id"]
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded by ENTRIES and EXCEPTIONS
+    if name.lower() in {c.lower() for c in keep}:
+        raise ValueError(f"{name} is a column of the documents: give the score another name")
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # bounded by SAMPLE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         found = own.automaton()
         for b in batches:
             x = np.array([evidence(found, fold(t)) for t in b.column(0).to_pylist()]).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(own.score(x), pa.float64())], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(own.score(x), pa.float64())], [*keep, name])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(F.col("text"), *keep).mapInArrow(run, f"{kinds}, score double")
+    made = StructType([*[docs.schema[c] for c in keep], StructField(name, DoubleType())])
+    return docs.select("text", *columns(keep)).mapInArrow(run, made)

@@ -20,6 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reachable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(columns: list[str], name: str) -> str:
+    """`name`, or with underscores after it, so that it is none of `columns` whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns(names: list[str], of: str = "") -> list["F.Column"]:
+    """Columns by name, whatever signs the names hold."""
+    return [F.col(of + "`" + c.replace("`", "``") + "`") for c in names]
+
+
 def crc32_text(column: str) -> "F.Column":
     """crc32 of a number written as text; null counts as no text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

@@ -87,7 +87,48 @@ def test_toxicity(spark):
     wrong = [i for i, t in labels if (by[i] >= toxicity.THRESHOLD) != bool(t)]
     assert len(wrong) <= 2
     assert by[500] >= 0.3 and by[501] >= 0.3 and by[502] < 0.3 and by[9000] < 0.3 and by[9004] < 0.3
-    assert toxicity.scored(docs, lexicon, docs.columns[:5]).count() == len(rows) + len(ODD)
+    with pytest.raises(ValueError):
+        toxicity.scored(docs, lexicon, docs.columns)  # they have a score
+    kept = toxicity.scored(docs, lexicon, docs.columns, "_score")
+    assert kept.columns == [*docs.columns, "_score"] and kept.count() == len(rows) + len(ODD)
+
+
+def plain_evidence(found, folded):
+    """Each hit held against every exception."""
+    hits = [(end - n + 1, end, w) for end, (n, w) in found.iter(folded)]
+    best = {}
+    for a, z, w in hits:
+        if w and not any(x <= a and z <= y and not v for x, y, v in hits):
+            best[a] = max(best.get(a, 0.0), w)
+    total = sum(best.values())
+    return 1.0, float(np.log1p(total)), float(np.log1p(100 * total / max(1, len(folded.split())))), float(total > 0)
+
+
+def test_exceptions_against_brute_force():
+    r = random.Random(6)
+    lexicon = toxicity.Lexicon({" scum": 2.0, " scumb": 3.0, " b": 1.0, " idi ": 0.5}, [" scumbag ", " a scum ", " b b "], np.zeros(4))
+    found = lexicon.automaton()
+    for _ in range(500):
+        folded = toxicity.fold(" ".join(r.choice(["scum", "scumbag", "a", "b", "idi", "scumble", ""]) for _ in range(r.randrange(12))))
+        assert toxicity.evidence(found, folded) == plain_evidence(found, folded)
+
+
+def test_long_texts_take_time_by_their_length():
+    import time
+
+    found = toxicity.Lexicon({" scum": 2.0}, [" scumbag "], np.zeros(4)).automaton()
+    toxicity.evidence(found, toxicity.fold("scumbag scum " * 1000))
+    began = time.perf_counter()
+    toxicity.evidence(found, toxicity.fold("scumbag scum " * 100_000))
+    assert time.perf_counter() - began < 10  # comparing all hits with all exceptions takes an hour
+    spaced = toxicity.evidence(found, toxicity.fold("scum" + " " * 100_000 + "you"))
+    assert spaced == toxicity.evidence(found, toxicity.fold("scum you"))
+
+
+def test_a_repeated_id_teaches_once(spark):
+    docs = table(spark, [(1, f"text {i}", "en") for i in range(50)] + [(2, "other", "en")])
+    known = spark.createDataFrame([(1, 1), (2, 0)], "_id long, toxic int")
+    assert sorted(r.toxic for r in toxicity._sampled(docs, known).collect()) == [0, 1]
 
 
 def test_gradient_is_that_of_the_loss():
