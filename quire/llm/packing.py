@@ -5,7 +5,7 @@ share many): shards are runs in the order of these, so where one token has too m
 them, and after the last of them a hash of the token set. Only equal token sets are spread, by a key of each row. Each
 shard has a BM25 inverted index of its distinct texts, with document frequencies of the whole corpus and all terms. A seed's unused
 neighbours fill its window from the best score down; what doesn't fit is cut and opens the next window, which
-the next seed fills. So each window of a shard but its last is full. No window takes a text twice while another is left.
+that seed fills, of the next SEEDS ones, whose terms fit it best. So each window of a shard but its last is full. No window takes a text twice while another is left.
 """
 
 from __future__ import annotations
@@ -243,12 +243,23 @@ def windows(ids: list[np.ndarray], df: np.ndarray, n_docs: int, mean: float, siz
                 pass
             live[at] = bool(own)
             continue
-        for seed, scores in zip(seeds.tolist(), shard.scores(seeds), strict=True):
-            if live[seed] and int(names[seed]) not in fill.inside:
-                _fill(fill, names, live, seed, scores)
+        scores, left = shard.scores(seeds), list(range(len(seeds)))
+        while left:
+            nxt = left.pop(_nearest(fill, names, scores[left]))
+            if live[seeds[nxt]] and int(names[seeds[nxt]]) not in fill.inside:
+                _fill(fill, names, live, int(seeds[nxt]), scores[nxt])
     return fill.out
 
 
+def _nearest(fill: _Windows, names: np.ndarray, scores: np.ndarray) -> int:
+    """The seed whose terms fit best what opens the window, the first if nothing does."""
+    if len(fill.inside) != 1:
+        return 0
+    (text,) = fill.inside
+    at = int(np.searchsorted(names, text))
+    return int(scores[:, at].argmax()) if at < len(names) and names[at] == text else 0
+
+
 def _fill(fill: _Windows, names: np.ndarray, live: np.ndarray, seed: int, scores: np.ndarray) -> None:
     """Puts the seed and its unused neighbours, best first, until the window is full or none is left."""
     full, queue, many = fill.put(int(names[seed])), [], NEIGHBOURS
