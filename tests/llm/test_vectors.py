@@ -53,6 +53,23 @@ def test_top_k_of_few(spark):
     assert topk.top_k(df, F.lit(False)).collect() == []
 
 
+def test_top_k_of_large_components(spark, monkeypatch):
+    """Scores beyond what doubles and 64-bit sums hold are exact, those beyond a long its largest or smallest."""
+    monkeypatch.setattr(topk, "CANDIDATES", 16)
+    r = np.random.default_rng(4)
+    rows = [(i, (r.standard_normal(12) * 10.0 ** r.choice([0, 3, 5, 6, 8])).tolist()) for i in range(120)] + [(200, [1e17] * 12), (201, [-1e300] + [0.0] * 11), (202, [1e6, 2e6, 3e6])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = topk.top_k(df, F.pmod("vec_id", F.lit(10)) == 0, 5).collect()
+    long = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    sound = [(i, [long(int(np.floor(x * 1024))) for x in v]) for i, v in rows]
+    dot = lambda a, b: long(sum(x * y for x, y in zip(a, b, strict=False)))
+    want = []
+    for q, v in sound:
+        if q % 10 == 0:
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(sorted((-dot(v, w), i) for i, w in sound if i != q)[:5])]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 @pytest.mark.parametrize(("block", "leaf"), [(512, 64), (16, 4)])
 def test_near_vectors(spark, monkeypatch, block, leaf):
     monkeypatch.setattr(gridjoin, "BLOCK", block)
@@ -79,6 +96,13 @@ def test_near_vectors(spark, monkeypatch, block, leaf):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_labels_of_other_types(spark, kind):
+    rows = [(i, [1.0, 0.001 * i], 10**12 + i % 2) for i in range(8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label long").withColumn("label", F.col("label").cast(kind))
+    assert {r.vec_id: r.component_id for r in gridjoin.vector_components(df).collect()} == {i: i % 2 for i in range(8)}
+
+
 def test_near_vectors_of_none(spark):
     none = spark.createDataFrame([], VECTORS)
     assert gridjoin.vector_components(none).collect() == []
