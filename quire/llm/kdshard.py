@@ -156,4 +156,4 @@ def kd_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
     low, span = low or 0, max(1, (high or 0) - (low or 0))
     meta = meta.withColumn("d_id", F.coalesce(((F.col("doc_id") - F.lit(low)) / F.lit(float(span)) * (_STEPS - 1)).cast("long"), F.lit(0)))
     placed = meta.withColumn("shard", _place(grow(meta, shards)).cast("int")).select("doc_id", "size", "text_crc32", "shard")
-    return rank_within(placed, ["shard"], [], ["doc_id", "text_crc32", "size"], "slot", n)
+    return rank_within(placed, ["shard"], ["doc_id", "text_crc32", "size"], "slot", staged)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .util import Staged, md5_number, rank_within
+from .util import Staged, columns, md5_number, rank_within, unused
 
 #: Words are what stands between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows for which there is one bucket, by a hash of doc_id, in the order of documents of one size.
+BUCKET = 50_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
@@ -35,31 +37,36 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3,
     """(doc_id, source, size, source_size, target, copies, the columns of `keep`) for every row of `docs` (doc_id, text, source).
 
     Each document of a source is expected target / source_size times. Down the source, largest documents
-    first, the expectations are summed and one offset for the source is added; a document is taken once
+    first, those of a size by a hash of doc_id, the expectations are summed and one offset for the source is added; a document is taken once
     for each integer that its sum crosses. Neighbours have like sizes, so a source's taken words differ
     from its target by its largest document at most. The offset is fixed by source and seed: reruns agree.
 
-    Null texts have size 0; null sources are one source. Rows that repeat a doc_id count one by one. A
-    source without words has target 0. An empty table gives an empty result. Other columns are ignored, but
-    those of `keep` part rows that are alike in source, size and doc_id.
+    Texts are read once, whole, of any length. Null texts have size 0; null sources are one source. Rows that repeat a doc_id count one by one. A
+    source without words has target 0. An empty table gives an empty result. Other columns are ignored, whatever their names, but
+    those of `keep`, which aren't named as a column above, part rows that are alike in source, size and doc_id.
     """
-    sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *keep)
+    staged = Staged(docs.sparkSession, "mixing")
+    sizes = staged.put(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *columns(keep)))
     goals = targets(sizes, weights, most)
-    goals = goals.withColumn("_seeded", F.concat(F.coalesce("source", F.lit("")), F.lit(f"#{seed}"))).withColumn("u", md5_number("_seeded") / F.lit(float(1 << 32)))
-    goals = goals.withColumnRenamed("source", "_source").drop("_seeded")
-    total = docs.count()
-    ranked = rank_within(sizes.withColumn("_down", -F.col("size")), ["source"], ["_down"], ["doc_id", *keep], "_rank", total)
+    goals = goals.withColumn("_seeded", F.concat(F.coalesce("source", F.lit("")), F.lit(f"#{seed}"))).withColumn("_u", md5_number("_seeded") / F.lit(float(1 << 32)))
+    goals = goals.select(F.col("source").alias("_source"), "source_size", "target", "_u")
+    buckets = max(1, -(-sizes.count() // BUCKET))
+    down = sizes.withColumn("_down", -F.col("size")).withColumn("_bucket", md5_number("doc_id") % buckets)
+    ranked = rank_within(down, ["source"], ["_down", "_bucket", "doc_id", *keep], "_rank", staged)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    crossed = F.floor((F.col("_rank") + 1) * rate + F.col("u")) - F.floor(F.col("_rank") * rate + F.col("u"))
-    return ranked.join(goals, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "source", "size", "source_size", "target", F.least(crossed, F.lit(most)).alias("copies"), *keep)
+    crossed = F.floor((F.col("_rank") + 1) * rate + F.col("_u")) - F.floor(F.col("_rank") * rate + F.col("_u"))
+    met = ranked.join(goals, F.col("source").eqNullSafe(F.col("_source")))
+    return met.select("doc_id", "source", "size", "source_size", "target", F.least(crossed, F.lit(most)).alias("copies"), *columns(keep))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: int = 1) -> DataFrame:
-    """`docs`, each row as many times as its own crossings say, whether or not its doc_id is null or repeated."""
-    keyed = Staged(docs.sparkSession, "mixing").put(docs.withColumn("_row_key", F.monotonically_increasing_id()))
-    rows = keyed.select("doc_id", "text", "source", F.xxhash64("text").alias("_text_hash"), "_row_key")
-    taken = copies(rows, weights, most, seed, ("_text_hash", "_row_key")).where("copies > 0").select(F.col("_row_key").alias("_taken"), F.col("copies").alias("_copies"))
-    return keyed.join(taken, F.col("_row_key") == F.col("_taken")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    """`docs`, with all of its columns, each row as many times as its own crossings say, whether or not its doc_id is null or repeated (see copies)."""
+    key, taken, times, each = (unused(docs.columns, x) for x in ("_row_key", "_taken", "_times", "_each"))
+    keyed = Staged(docs.sparkSession, "mixing").put(docs.withColumn(key, F.monotonically_increasing_id()))
+    rows = keyed.select("doc_id", "text", "source", F.xxhash64("text").alias("_text_hash"), F.col(key).alias("_row"))
+    goals = copies(rows, weights, most, seed, ("_text_hash", "_row")).where("copies > 0").select(F.col("_row").alias(taken), F.col("copies").alias(times))
+    met = keyed.join(goals, F.col(key) == F.col(taken)).withColumn(each, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
+    return met.select(*columns(docs.columns))
 
 
 SQL = """

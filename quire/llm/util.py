@@ -8,10 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from quire.session import Staged, reachable
 
-#: Rows that one task ranks at a time (see rank_within).
-RANK_ROWS = 50_000
-
-
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -43,28 +39,23 @@ def md5_number(column: str) -> "F.Column":
     return F.conv(F.substring(F.md5(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def rank_within(df: DataFrame, group: list[str], order: list[str], key: list[str], out: str, total: int) -> DataFrame:
-    """Adds `out`, each row's rank from 0 within `group` by `order`, then by hash buckets of key[0], then by `key`.
+def rank_within(df: DataFrame, group: list[str], order: list[str], out: str, staged: Staged) -> DataFrame:
+    """Adds `out`, each row's rank from 0 within `group` by `order`, ascending, null first. Staged.
 
-    A group may hold any share of the rows: it is cut by the values of `order` and by the buckets, each
-    piece is ranked in a task, and counts by value and by bucket give the offsets, so that no task sees more than
-    a group's values, a value's buckets or a piece's rows. Ranks are the same on every run.
-    Rows equal in all these columns are ranked in any order.
+    Rows are dealt by ranges of all these columns, so that a group, and a value, may hold any share of them; the
+    numbers that rows get in their sorted partitions, less a group's first in each, are its ranks there, and counts by
+    partition give what came before. Rows equal in all these columns are ranked in any order.
     """
-    n, bucket, value = max(1, -(-total // RANK_ROWS)), f"_{out}_bucket", [*group, *order]
-    df = df.withColumn(bucket, (md5_number(key[0]) % n).cast("int"))
-    piece = [*value, bucket]
-    named = lambda of: [F.col(c).alias(f"_{of}_{c}") for c in value]
-    same = lambda left, right: reduce(lambda a, b: a & b, [F.col(f"{left}{c}").eqNullSafe(F.col(f"{right}{c}")) for c in value])
-    earlier = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    counts = df.groupBy(*piece).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(*named("of"), F.col(bucket).alias("_of_bucket"), earlier(W.partitionBy(*value).orderBy(bucket)).alias("_before"))
-    if order:  # a group's values, each counted once, come before one another; only then do their buckets
-        totals = counts.groupBy(*value).agg(F.sum("_n").alias("_n")).select(*named("at"), earlier(W.partitionBy(*group).orderBy(*order)).alias("_start"))
-        offsets = offsets.join(totals, same("_of_", "_at_")).withColumn("_before", F.col("_before") + F.col("_start"))
-    ranked = df.withColumn("_in", F.row_number().over(W.partitionBy(*piece).orderBy(*key)) - 1)
-    joined = ranked.join(offsets, same("", "_of_") & (F.col(bucket) == F.col("_of_bucket")))
-    return joined.select(*[c for c in df.columns if c != bucket], (F.col("_before") + F.col("_in")).cast("long").alias(out))
+    at, part, first, n, before = (unused(df.columns, x) for x in ("_at", "_part", "_first", "_n", "_before"))
+    keys = columns([*group, *order])
+    spread = df.repartitionByRange(parts(df.sparkSession), *keys).sortWithinPartitions(*keys)
+    ranked = staged.put(spread.withColumn(at, F.monotonically_increasing_id()).withColumn(part, F.shiftright(at, 33)))
+    runs = ranked.groupBy(*columns(group), part).agg(F.min(at).alias(first), F.count(F.lit(1)).alias(n))
+    earlier = F.sum(n).over(W.partitionBy(*columns(group)).orderBy(part).rowsBetween(W.unboundedPreceding, -1))
+    runs = runs.withColumn(before, F.coalesce(earlier, F.lit(0)) - F.col(first))
+    same = reduce(lambda a, b: a & b, [x.eqNullSafe(y) for x, y in zip(columns([*group, part], "l."), columns([*group, part], "r."), strict=True)])
+    met = ranked.alias("l").join(runs.alias("r"), same)
+    return met.select(*columns(df.columns, "l."), (F.col(f"l.{at}") + F.col(f"r.{before}")).cast("long").alias(out))
 
 
 def connected_components(edges: DataFrame, staged: Staged) -> DataFrame:
