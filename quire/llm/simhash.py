@@ -9,7 +9,7 @@ and a cell returns a spanning forest of its links, never its pairs.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +48,13 @@ def shingle_hashes(text: bytes | None, width: int, seed: int = 42) -> np.ndarray
 
 def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
     """The fingerprint, as a signed 64-bit integer, of one text in UTF-8."""
+    return fingerprint_of(_hashed(text, width, seed))
+
+
+def fingerprint_of(hashes: Iterable[np.ndarray]) -> int:
+    """The same from the shingles' hashes, which come some at a time."""
     n, counts = 0, np.zeros(64, np.int64)
-    for h in _hashed(text, width, seed):
+    for h in hashes:
         places = h.view(np.uint8).reshape(-1, 8) + _PLACES
         counts += (np.bincount(places.ravel(), minlength=2048).reshape(8, 256) @ _BITS).ravel()
         n += len(h)
@@ -148,15 +153,17 @@ def links(distinct: DataFrame, distance: int, staged: Staged, n: int) -> DataFra
 def simhash_components(docs: DataFrame, distance: int = 3, width: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for every row of `docs` (doc_id long, text string, any others).
 
-    Null and empty texts have fingerprint 0 and are linked like any other. Rows that repeat a doc_id
-    come out once each, in the same component if their texts are alike. A row without doc_id gets its
-    fingerprint and the component of that fingerprint (null if no row with an id shares it).
+    Null and empty texts have fingerprint 0 and are linked like any other; texts of any length are read whole. Rows that repeat a
+    doc_id come out once each, in the same component if their texts are alike. A row without doc_id links what is near
+    its fingerprint like any other, and gets the smallest doc_id of its component, null if that has none.
     An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     staged = Staged(docs.sparkSession, "simhash")
     fps = staged.put(fingerprints(docs, width))
-    distinct = staged.put(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
-    edges = links(distinct, distance, staged, distinct.count())
+    distinct = staged.put(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    edges = links(distinct.select("fp", F.col("fp").alias("rep")), distance, staged, distinct.count())
     found = connected_components(edges, staged)
-    classes = staged.put(distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id")))
-    return fps.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
+    joined = staged.put(distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("class")))
+    least = joined.groupBy("class").agg(F.min("low").alias("component_id"))
+    classes = staged.put(joined.join(least, "class").select("fp", "component_id"))
+    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
