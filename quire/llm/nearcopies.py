@@ -1,7 +1,9 @@
 """Near copies by the Jaccard similarity of word shingles.
 
-Every row gets a key of its own. Equal shingle sets are merged first; MinHash bands of the distinct ones find
-families of candidates, and within a family the sets themselves are compared, so no link is a guess. A family
+Every row gets a key of its own. Equal shingle sets are merged first. Fingerprints within DISTANCE bits, joined on pigeonhole
+blocks, and MinHash bands find families of candidates, and within a family the sets themselves are compared, so no link is
+a guess. Fingerprints alone can't do it: at a similarity of 0.8 two differ in 10 of 64 bits, and blocks
+for twice that, which would be needed to miss nothing, have 3 bits, on which most pairs of a corpus agree. A family
 with more shingles than CELL is dealt over pairs of cells, and a cell returns a spanning forest, never its pairs.
 """
 
@@ -14,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .simhash import shingle_hashes
-from .util import Staged, connected_components, parts
+from . import simhash
+from .util import Staged, columns, connected_components, parts, unused
 
 #: Words of a shingle, and the similarity from which two texts are near copies.
 WIDTH, SIMILARITY = 5, 0.8
@@ -23,6 +25,8 @@ WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
 #: Shingles of a family that are compared in one task; more are dealt over pairs of cells.
 CELL = 4_000_000
+#: Bits in which the fingerprints of candidates differ at most.
+DISTANCE = 3
 #: Shingles whose minima are taken at a time.
 CHUNK = 2048
 _ODD = np.random.default_rng(20).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -31,7 +35,7 @@ _MIX = np.random.default_rng(21).integers(0, 1 << 63, (BANDS, ROWS), np.uint64)
 
 def shingle_set(text: bytes | None, width: int = WIDTH) -> np.ndarray:
     """The distinct shingles of a text in UTF-8, as sorted hashes; a shorter text is one shingle, one without words has none."""
-    return np.unique(shingle_hashes(text, width))
+    return np.unique(simhash.shingle_hashes(text, width))
 
 
 def bands(own: np.ndarray) -> np.ndarray:
@@ -79,31 +83,37 @@ def forest(sets: list[np.ndarray], keys: np.ndarray, side: np.ndarray | None, si
 
 
 def sketches(keyed: DataFrame, width: int) -> DataFrame:
-    """(_row_key, doc_id, text_hash, same, n, bands) of every row; same is equal where the shingle sets are."""
+    """(row_key, doc_id, text_hash, same, n, fp, bands) of every row of `keyed` (row_key, doc_id, text); same is equal where the shingle sets are."""
+    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for at in range(0, big.num_rows, 1024):
                 b = big.slice(at, 1024)
-                sets = [shingle_set(x, width) for x in b.column(3).to_pylist()]
-                same = pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([*b.columns[:3], same, pa.array([len(x) for x in sets], pa.int64()), pa.array([bands(x) for x in sets], pa.list_(pa.int64()))], ["_row_key", "doc_id", "text_hash", "same", "n", "bands"])
+                made = []
+                for text in b.column(3).to_pylist():
+                    hashes = simhash.shingle_hashes(text, width)
+                    own = np.unique(hashes)
+                    made.append((hashlib.blake2b(own.tobytes(), digest_size=16).digest(), len(own), simhash.fingerprint_of([hashes]), bands(own)))
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], *[pa.array([m[i] for m in made], k) for i, k in enumerate(kinds)]], ["row_key", "doc_id", "text_hash", "same", "n", "fp", "bands"])
 
-    rows = keyed.select("_row_key", "doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "_row_key long, doc_id long, text_hash long, same binary, n long, bands array<long>")
+    rows = keyed.select("row_key", "doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "row_key long, doc_id long, text_hash long, same binary, n long, fp long, bands array<long>")
 
 
 def links(keyed: DataFrame, distinct: DataFrame, width: int, similarity: float, staged: Staged) -> DataFrame:
-    """Edges (a, b) that connect just the rows whose sets are linked by the similarity; distinct: (rep, n, bands)."""
+    """Edges (a, b) that connect just the rows whose sets are linked by the similarity; distinct: (rep, n, fp, bands)."""
     keys = distinct.select("rep", F.explode("bands").alias("k"))
     met = keys.groupBy("k").agg(F.min("rep").alias("low"), F.count(F.lit(1)).alias("met")).where("met > 1")
-    family = staged.put(connected_components(keys.join(met, "k").where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b")), staged))
+    alike = keys.join(met, "k").where("rep <> low").select(F.col("low").alias("a"), F.col("rep").alias("b"))
+    near = simhash.links(distinct.where("n > 0").select("fp", "rep"), DISTANCE, staged, distinct.count())
+    family = staged.put(connected_components(alike.unionAll(near), staged))
     members = family.join(distinct.select("rep", "n"), F.col("node") == F.col("rep")).select("node", "component", "n")
     cells = members.groupBy("component").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("s"))
     dealt = members.join(cells, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("s")).cast("int"))
     dealt = dealt.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
     dealt = dealt.select("component", F.least("own", "y").alias("x"), F.greatest("own", "y").alias("y"), F.when(F.col("own") <= F.col("y"), 0).otherwise(1).alias("side"), "node")
-    texts = dealt.join(keyed.select("_row_key", F.col("text").cast("binary").alias("text")), F.col("node") == F.col("_row_key")).select("component", "x", "y", "side", "node", "text")
+    texts = dealt.join(keyed.select("row_key", F.col("text").cast("binary").alias("text")), F.col("node") == F.col("row_key")).select("component", "x", "y", "side", "node", "text")
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         group = group.sort_by("node")
@@ -116,17 +126,18 @@ def links(keyed: DataFrame, distinct: DataFrame, width: int, similarity: float,
 
 
 def drop_near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """`docs` (doc_id, text, any others) with one row of each group of near copies: that of the smallest doc_id, null last.
+    """`docs` (doc_id, text, any others) with one row of each group of near copies: that of the smallest doc_id, null last, ties by a hash of the text.
 
-    Groups are the connected components of the texts that are similar. Texts without words are alike. Rows
+    Groups are the connected components of the texts that are similar; texts are read whole. Texts without words are alike. Rows
     that repeat a doc_id, and rows without one, are documents of their own. An empty table gives an empty result.
     """
-    staged = Staged(docs.sparkSession, "nearcopies")
-    keyed = staged.put(docs.withColumn("_row_key", F.monotonically_increasing_id()))
+    staged, key = Staged(docs.sparkSession, "nearcopies"), unused(docs.columns, "_row_key")
+    whole = staged.put(docs.withColumn(key, F.monotonically_increasing_id()))
+    keyed = whole.select(F.col(key).alias("row_key"), "doc_id", "text")
     made = staged.put(sketches(keyed, width))
-    distinct = staged.put(made.groupBy("same").agg(F.min("_row_key").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    distinct = staged.put(made.groupBy("same").agg(F.min("row_key").alias("rep"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     found = connected_components(links(keyed, distinct, width, similarity, staged), staged)
     classes = distinct.join(found, distinct["rep"] == found["node"], "left").select("same", F.coalesce("component", "rep").alias("component"))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "_row_key").alias("first"))
-    kept = made.join(classes, "same").groupBy("component").agg(first.alias("first")).select(F.col("first._row_key").alias("_row_key"))
-    return keyed.join(kept, "_row_key", "left_semi").select(*docs.columns)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "row_key").alias("first"))
+    kept = made.join(classes, "same").groupBy("component").agg(first.alias("first")).select(F.col("first.row_key").alias(key))
+    return whole.join(kept, key, "left_semi").select(*columns(docs.columns))
