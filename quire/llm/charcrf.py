@@ -108,24 +108,52 @@ class Tagger:
                 np.add(out[i], told, out=out[i])
         return out
 
-    def live(self, e: np.ndarray) -> np.ndarray:
-        """The positions, of emissions (positions, labels) of one sequence or several with -inf-like gaps between, that some span may cover in the best labelling.
+    def _bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        """What the move adds, at most, at the first position of a span of each kind and at each later one, against staying O.
 
-        Moves count against staying O. A label may carry any amount from the moves to it over to the moves from it
-        without changing a labelling's score; each carries so much that leaving it for O gains nothing and that a span begins after
-        another no better than after O. Then a span that loses, begun at best, is better left out, so
-        the best labelling has none; what no gaining span can cover is O in it.
+        A label may carry any amount from the moves to it over to the moves from it without changing a labelling's score;
+        each carries so much that leaving it for O gains nothing and that a span begins after another no better than after O.
+        Then a span that loses by these bounds is better left out, so the best labelling has none; what
+        no gaining span can cover is O in it.
         """
         moves = self.moves() - self.p["move"][0, 0]
         begin, inside = np.arange(1, LABELS, 2), np.arange(2, LABELS, 2)
         carried = np.minimum(-moves[:, 0], (moves[0, begin] - moves[:, begin]).min(1))
         carried[0] = 0
         moves = moves + carried[:, None] - carried
+        return moves[0, begin], np.maximum(moves[inside, inside], moves[begin, inside])
+
+    def summary(self, e: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """For emissions (positions, labels, rows), by kind and row, over the positions from start to end of each row: the best
+        gain of a span within, the best of one that goes on after them, what a span that covers all gains there, and the best that one which comes in can.
+        """
+        first, later = (x[:, None].astype(np.float32) for x in self._bounds())
+        t, _, n = e.shape
+        best = np.full((len(KINDS), n), np.float32(NEVER))
+        last, total, prefix = best.copy(), np.zeros_like(best), np.zeros_like(best)
+        whole = int(start.max(initial=0)), int(end.min(initial=t))
+        for i in range(t):
+            gain, begun = e[i, 2::2] - e[i, 0], e[i, 1::2] - e[i, 0]
+            gain += later
+            begun += first
+            if not whole[0] <= i < whole[1]:
+                out = (i < start) | (i >= end)
+                gain[:, out], begun[:, out] = 0, NEVER
+            last += gain
+            np.maximum(last, begun, out=last)
+            np.maximum(best, last, out=best)
+            total += gain
+            np.maximum(prefix, total, out=prefix)
+        return np.stack([best, last, total, prefix])
+
+    def live(self, e: np.ndarray) -> np.ndarray:
+        """The positions, of emissions (positions, labels), that some span may cover in the best labelling."""
+        first, later = self._bounds()
         out = np.zeros(len(e), bool)
-        for b, i in zip(begin.tolist(), inside.tolist(), strict=True):
-            first = (e[:, b] - e[:, 0]).astype(np.float64) + moves[0, b]
-            sums = np.cumsum((e[:, i] - e[:, 0]).astype(np.float64) + max(moves[i, i], moves[b, i]))
-            out |= np.maximum.accumulate(first - sums) + np.maximum.accumulate(sums[::-1])[::-1] > 0
+        for k in range(len(KINDS)):
+            begun = (e[:, 1 + 2 * k] - e[:, 0]).astype(np.float64) + first[k]
+            sums = np.cumsum((e[:, 2 + 2 * k] - e[:, 0]).astype(np.float64) + later[k])
+            out |= np.maximum.accumulate(begun - sums) + np.maximum.accumulate(sums[::-1])[::-1] > 0
         return out
 
     def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -202,13 +230,14 @@ class Tagger:
         """The best labelling of each sequence of a padded batch of emissions (rows, positions, labels); what comes before and after a sequence is O."""
         n, t, _ = e.shape
         moves = self.moves()
-        best, back = e[:, 0] + moves[0], np.zeros((n, t, LABELS), np.int8)
+        best, back, shortest = e[:, 0] + moves[0], np.zeros((n, t, LABELS), np.int8), int(lengths.min())
         for i in range(1, t):
-            scores = best[:, :, None] + moves[None]
-            came = scores.argmax(1)
-            live = (i < lengths)[:, None]
-            back[:, i] = np.where(live, came, np.arange(LABELS))
-            best = np.where(live, np.take_along_axis(scores, came[:, None], 1)[:, 0] + e[:, i], best)
+            scores = best[:, :, None] + moves
+            came, new = scores.argmax(1), scores.max(1) + e[:, i]
+            if i >= shortest:
+                ended = i >= lengths
+                came[ended], new[ended] = np.arange(LABELS), best[ended]
+            back[:, i], best = came, new
         out = np.zeros((n, t), np.int8)
         at = (best + moves[:, 0]).argmax(1)
         for i in range(t - 1, -1, -1):

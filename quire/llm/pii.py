@@ -24,7 +24,9 @@ from .util import Staged
 #: Documents that training passages are taken from, and passages with and without spans trained on (those of least hash); examples made in all, their length, and rounds over them.
 SAMPLE_DOCS, PASSAGES, EXAMPLES, PASSAGE, EPOCHS = 4000, 600, 4000, 96, 14
 #: Characters of a window and of what two windows share; characters of texts read at a time, and windows.
-WINDOW, SHARED, CHARS, ROWS = 1024, 96, 1 << 20, 768
+WINDOW, SHARED, CHARS, ROWS = 1024, 96, 1 << 19, 1024
+#: A window whose last span is no further than this from gaining keeps its scores, in case it gains in the next; others are read again then.
+KEEP = 8
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -111,40 +113,72 @@ def _emitted(tagger: Tagger, codes: np.ndarray, cuts: np.ndarray) -> Iterator[tu
         yield some, tagger.emissions(x)
 
 
+def _may_hold(tagger: Tagger, codes: np.ndarray, cuts: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """The windows that a span of the best labelling may touch: those where the best span that begins before their end and ends after their start gains.
+
+    Also the scores of those of which that is known from themselves, or likely.
+    """
+    sums, kept = np.zeros((len(cuts), 4, len(KINDS)), np.float64), {}
+    for some, e in _emitted(tagger, codes, cuts):
+        sums[some] = tagger.summary(e, cuts[some, 2] - cuts[some, 0], cuts[some, 3] - cuts[some, 0]).transpose(2, 0, 1)
+        for j in np.flatnonzero(((sums[some, 0] > 0) | (sums[some, 1] > -KEEP)).any(1)).tolist():
+            a, _, s, z = cuts[some[j]].tolist()
+            kept[int(some[j])] = e[s - a : z - a, :, j].copy()
+    best, last, total, prefix = sums.transpose(1, 0, 2).copy()
+    for i in np.flatnonzero(doc[1:] == doc[:-1]) + 1:  # what comes in from the window before
+        best[i] = np.maximum(best[i], last[i - 1] + prefix[i])
+        last[i] = np.maximum(last[i], last[i - 1] + total[i])
+    after = np.zeros_like(total)
+    for i in (np.flatnonzero(doc[1:] == doc[:-1]))[::-1]:
+        after[i] = np.maximum(prefix[i + 1], total[i + 1] + after[i + 1])
+    return ((best > 0) | (last + after > 0)).any(1), kept
+
+
 def tagged(tagger: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]]]:
-    """The network's spans of each text: the best labelling of the whole of it, decoded where a span may lie at all."""
+    """The network's spans of each text: the best labelling of the whole of it.
+
+    All windows are read for bounds on what spans can gain in them, a few numbers each; the scores of those that
+    a span may touch are kept or found again, and decoded where one may lie.
+    """
     coded = [symbols(t) for t in texts]
-    starts = np.concatenate(([0], np.cumsum([len(c) + 1 for c in coded])))
-    codes = np.zeros(starts[-1], np.uint8)
-    for a, c in zip(starts.tolist(), coded, strict=False):
-        codes[a : a + len(c)] = c
-    cuts = np.array([[a + x for x in w] for a, c in zip(starts.tolist(), coded, strict=False) if len(c) for w in _windows(len(c))], np.int64).reshape(-1, 4)
+    starts = np.concatenate(([0], np.cumsum([len(c) for c in coded])))
+    codes = np.concatenate([*coded, np.zeros(1, np.uint8)])
+    own = [(a + w[0], a + w[1], a + w[2], a + w[3], i) for i, (a, c) in enumerate(zip(starts.tolist(), coded, strict=False)) if len(c) for w in _windows(len(c))]
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    if not own:
+        return out
+    cuts, doc = np.array(own, np.int64)[:, :4], np.array(own, np.int64)[:, 4]
+    some, kept = _may_hold(tagger, codes, cuts, doc)
+    cuts, doc, known = cuts[some], doc[some], [kept.get(i) for i in np.flatnonzero(some).tolist()]
     if not len(cuts):
         return out
-    labels = tagger.p["bias"].shape[0]
-    scores = np.full((len(codes), labels), -1e5, np.float32)
-    scores[:, 0] = 0  # what lies between texts is O
-    for some, e in _emitted(tagger, codes, cuts):
-        e = np.ascontiguousarray(e.transpose(2, 0, 1))
-        for j, (a, _, s, z) in enumerate(cuts[some].tolist()):
-            scores[s:z] = e[j, s - a : z - a]
+    gap = np.concatenate(([True], (cuts[1:, 2] != cuts[:-1, 3]) | (doc[1:] != doc[:-1])))
+    place = np.cumsum(cuts[:, 3] - cuts[:, 2] + gap) - (cuts[:, 3] - cuts[:, 2])  # where a window's scores begin; what lies between runs of windows is O
+    scores = np.full((int(place[-1] + cuts[-1, 3] - cuts[-1, 2]), tagger.p["bias"].shape[0]), -1e5, np.float32)
+    scores[:, 0] = 0
+    for i, e in enumerate(known):
+        if e is not None:
+            scores[place[i] : place[i] + len(e)] = e
+    again = np.array([i for i, e in enumerate(known) if e is None], np.int64)
+    for rows, e in _emitted(tagger, codes, cuts[again]):
+        for j, i in enumerate(again[rows].tolist()):
+            a, _, s, z = cuts[i].tolist()
+            scores[place[i] : place[i] + z - s] = e[s - a : z - a, :, j]
     edges = np.flatnonzero(np.diff(np.concatenate(([0], tagger.live(scores), [0]))))
     runs = np.stack([edges[::2], edges[1::2]], 1)
     runs = runs[np.argsort(runs[:, 1] - runs[:, 0], kind="stable")]
     at = 0
     while at < len(runs):
-        own = runs[at : at + ROWS]
+        own = runs[at : at + 8 * ROWS]
         lengths = own[:, 1] - own[:, 0]
         own = own[lengths <= 2 * lengths[0] + 8]
         at, lengths = at + len(own), own[:, 1] - own[:, 0]
         wide = np.arange(int(lengths.max()))
-        best = tagger.decode(scores[np.minimum(own[:, :1] + wide, len(codes) - 1)], lengths)
+        best = tagger.decode(scores[np.minimum(own[:, :1] + wide, len(scores) - 1)], lengths)
         for j in np.flatnonzero(best.any(1)).tolist():
-            a = int(own[j, 0])
-            doc = int(np.searchsorted(starts, a, side="right")) - 1
-            off = a - int(starts[doc])
-            out[doc] += [(k, off + x, off + y) for k, x, y in spans_of(best[j, : lengths[j]])]
+            i = int(np.searchsorted(place, own[j, 0], side="right")) - 1
+            off = int(own[j, 0] - place[i] + cuts[i, 2] - starts[doc[i]])
+            out[doc[i]] += [(k, off + x, off + y) for k, x, y in spans_of(best[j, : lengths[j]])]
     return [sorted(x, key=lambda s: s[1]) for x in out]
 
 
@@ -283,7 +317,9 @@ def train(docs: DataFrame, seed: int = 0) -> Tagger | None:
     Half of the passages hold spans of the patterns, as far as there are any. The network is trained in one task, from 2 * PASSAGES
     passages of PASSAGE characters at most, whatever the documents' number, length or ids; the driver gets its parameters alone.
     """
-    sample = docs.where("text is not null").select("text").orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(SAMPLE_DOCS)
+    hashed = docs.where("text is not null").select("text", F.xxhash64("doc_id", "text").alias("h"))
+    last = hashed.select("h").orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]  # hashes alone are sorted, not texts
+    sample = hashed.where(F.col("h") <= F.lit(last if last is not None else 0)).dropDuplicates(["h"]).select("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -347,7 +383,7 @@ def find(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
     """(doc_id, base, spans) for every row of `docs` (doc_id, text): comma-joined kind:start:end, code points, by start and kind.
 
     Null and empty texts have none. base has the patterns' spans alone, spans all; without a tagger both are the same.
-    Texts are read whole: one of very many characters takes some 60 bytes of a task's memory for each. Rows that repeat, and
+    Texts of any length are read whole, and a task holds a text's characters, and scores where spans may lie. Rows that repeat, and
     rows without doc_id, come out as often as they come in; an empty table gives an empty result; other columns are ignored,
     whatever their names. Spans that begin at one place go by kind, in the order of KINDS.
     """
