@@ -33,7 +33,7 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = kdshard.kd_shards(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "parted")
 
 
 def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
