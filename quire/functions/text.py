@@ -178,7 +178,7 @@ def lines(c: Column | str) -> Column:
 
 def exit_code(kind: Column | str) -> Column:
     """Of an error's kind."""
-    codes = {"BadArgs": 2, "Auth": 3, "Network": 4, "OcrSchema": 5, "Validation": 6}
+    codes = {"BadArgs": 2, "Api": 3, "OcrSchema": 4, "Epub": 5, "Validation": 6}  # fixed values; any other, Internal, is 1
     return reduce(lambda w, e: w.when(col(kind) == e[0], e[1]), list(codes.items())[1:], F.when(col(kind) == "BadArgs", 2)).otherwise(1)
 
 

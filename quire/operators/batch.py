@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from quire.functions import paths as P, text as T
+from quire.session import Staged
 
 
 def cached(jobs: DataFrame, cache: DataFrame) -> DataFrame:
@@ -41,6 +42,17 @@ def queue(jobs: DataFrame, new: DataFrame) -> DataFrame:
     return new.join(jobs.select("path"), "path", "left_anti").dropDuplicates(["path"])
 
 
+def numbered(rows: DataFrame, order: Column, out: str, staged: Staged) -> DataFrame:
+    """Adds `out`, from 1 in the order: rows are dealt by ranges of it, and counts by partition, a row for each, give what comes before."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = rows.withColumn("_order", order).repartitionByRange(n, "_order").sortWithinPartitions("_order").drop("_order").withColumn("_at", F.monotonically_increasing_id())
+    x = staged.put(x.withColumn("_part", F.shiftright("_at", 33)))
+    counts = x.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_part", (before - F.col("_first") + 1).alias("_shift"))
+    return x.join(F.broadcast(offsets), "_part").withColumn(out, (F.col("_at") + F.col("_shift")).cast("int")).drop("_at", "_part", "_shift")
+
+
 def output_paths(jobs: DataFrame) -> DataFrame:
     """Adds output_path, unique in the batch whatever its case: candidate, candidate-2, candidate-3 ... in input order.
 

@@ -58,11 +58,13 @@ def opf(books: DataFrame, chapters: DataFrame, assets: DataFrame, modified: str,
     x = books.join(chap, "doc_id", "left").join(img, "doc_id", "left")
     maybe = lambda name, c: F.coalesce(_text(f"<dc:{name}>", T.xml_escape(c), f"</dc:{name}>"), F.lit(""))
     subjects = F.coalesce(F.array_join(F.transform("subjects", lambda s: _text("<dc:subject>", T.xml_escape(s), "</dc:subject>")), ""), F.lit(""))
-    layout = '<meta property="rendition:layout">pre-paginated</meta>' if fixed else ""
-    head = _text('<?xml version="1.0" encoding="UTF-8"?>\n<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="id">urn:sha256:', F.col("source_hash"), "</dc:identifier>", maybe("title", F.col("title")), maybe("language", F.col("language")), maybe("creator", F.col("author")), maybe("publisher", F.col("publisher")), maybe("description", F.col("description")), subjects, f'<meta property="dcterms:modified">{modified}</meta>{layout}</metadata>')
-    items = _text('<manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="css" href="styles/book.css" media-type="text/css"/>', F.coalesce(F.array_join(F.col("c.item"), ""), F.lit("")), F.coalesce(F.array_join(F.col("i.item"), ""), F.lit("")), "</manifest>")
+    layout = '<meta property="rendition:layout">pre-paginated</meta><meta property="rendition:orientation">auto</meta><meta property="rendition:spread">none</meta>' if fixed else ""
+    prefix = ' prefix="rendition: http://www.idpf.org/vocab/rendition/#"' if fixed else ""
+    covered = lambda s: F.when(F.col("cover_image").isNotNull(), s).otherwise("") if not fixed else F.lit("")
+    head = _text('<?xml version="1.0" encoding="UTF-8"?>\n<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"' + prefix + '><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="id">urn:sha256:', F.col("source_hash"), "</dc:identifier>", maybe("title", F.col("title")), maybe("language", F.col("language")), maybe("creator", F.col("author")), maybe("publisher", F.col("publisher")), maybe("description", F.col("description")), subjects, f'<meta property="dcterms:modified">{modified}</meta>{layout}</metadata>')
+    items = _text('<manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="css" href="styles/book.css" media-type="text/css"/>', covered('<item id="cover" href="text/cover.xhtml" media-type="application/xhtml+xml"/>'), F.coalesce(F.array_join(F.col("c.item"), ""), F.lit("")), F.coalesce(F.array_join(F.col("i.item"), ""), F.lit("")), "</manifest>")
     way = F.coalesce(_text(' page-progression-direction="', F.col("direction"), '"'), F.lit("")) if fixed else F.lit("")
-    spine = _text("<spine", way, ">", F.coalesce(F.array_join(F.col("c.ref"), ""), F.lit("")), "</spine></package>\n")
+    spine = _text("<spine", way, ">", covered('<itemref idref="cover"/>'), F.coalesce(F.array_join(F.col("c.ref"), ""), F.lit("")), "</spine></package>\n")
     return x.select("doc_id", _text(head, items, spine).alias("opf"))
 
 

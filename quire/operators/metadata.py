@@ -10,6 +10,8 @@ from quire.functions import text as T
 COVER_LINES, AUTHOR_WITHIN = 24, 6
 # Parts of names that need no capital.
 PARTICLES = ("de", "del", "da", "van", "von", "la", "le")
+# What lines about the edition hold.
+NOISE = r"all rights reserved|copyright|©|www\.|http://|https://"
 FIELDS = ("title", "author", "publisher", "description", "language")
 
 
@@ -17,7 +19,7 @@ def is_noise(line: Column | str) -> Column:
     """Of a cover line: a page number or nothing, or a line about the edition."""
     x = F.lower(T.col(line))
     starts = F.startswith(x, F.lit("isbn")) | F.startswith(x, F.lit("chapter ")) | x.isin("contents", "table of contents")
-    return (x.rlike("^[0-9]*\\z") & (F.octet_length(x) <= 2)) | starts | x.rlike("rights|copyright|©|www\\.|https?://")
+    return (x.rlike("^[0-9]*\\z") & (F.octet_length(x) <= 2)) | starts | x.rlike(NOISE)
 
 
 def is_name(line: Column | str) -> Column:
@@ -35,8 +37,8 @@ def is_name(line: Column | str) -> Column:
 def cover_lines(pages: DataFrame) -> DataFrame:
     """(doc_id, nth, line): the first lines of a document's first page, cleaned; nth from 1."""
     first = pages.withColumn("_r", F.row_number().over(W.partitionBy("doc_id").orderBy("page_index"))).where("_r = 1")
-    x = first.select("doc_id", F.posexplode(T.lines("markdown")).alias("pos", "raw")).select("doc_id", "pos", T.cover_line("raw").alias("line")).where("line is not null")
-    return x.withColumn("nth", F.row_number().over(W.partitionBy("doc_id").orderBy("pos"))).where(F.col("nth") <= COVER_LINES).select("doc_id", "nth", "line")
+    kept = F.slice(F.filter(F.transform(T.lines("markdown"), lambda x: T.cover_line(x)), lambda x: x.isNotNull()), 1, COVER_LINES)
+    return first.select("doc_id", F.posexplode(kept).alias("pos", "line")).select("doc_id", (F.col("pos") + 1).alias("nth"), "line")
 
 
 def cover_metadata(lines: DataFrame) -> DataFrame:
@@ -72,11 +74,20 @@ def merge(jobs: DataFrame, cover: DataFrame, pdf: DataFrame, generated: DataFram
 
 
 def subjects(sources: DataFrame) -> DataFrame:
-    """(doc_id, subjects) from (doc_id, src, subjects array): in order of src and place, each once whatever its case, as first spelled."""
-    x = sources.select("doc_id", "src", F.posexplode("subjects").alias("pos", "raw")).withColumn("s", T.clean_value("raw")).where("s is not null")
-    x = x.withColumn("nth", F.row_number().over(W.partitionBy("doc_id", F.lower("s")).orderBy("src", "pos"))).where("nth = 1")
-    by = x.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("src", "pos", "s"))).alias("own"))
-    return by.select("doc_id", F.col("own.s").alias("subjects"))
+    """(doc_id, subjects) from (doc_id, src, subjects array): in order of src and place, each once whatever its case, as first spelled; documents with none fall out.
+
+    What is alike is dropped within a source first, so that rows are as short as they can be when a document's sources meet.
+    """
+    alike = F.array_compact(F.transform("subjects", lambda s: T.clean_value(s)))
+
+    def once(every: Column) -> Column:
+        low = F.transform(every, lambda s: F.lower(s))
+        first = F.map_from_arrays(F.array_distinct(low), F.transform(F.array_distinct(low), lambda x: F.array_position(low, x)))
+        return F.transform(F.map_values(first), lambda i: F.element_at(every, i.cast("int")))
+
+    x = sources.select("doc_id", "src", alike.alias("own")).where(F.size("own") > 0)
+    by = x.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("src", "own"))).alias("of"))
+    return by.select("doc_id", F.flatten("of.own").alias("own")).select("doc_id", once(F.col("own")).alias("subjects"))
 
 
 def missing(record: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def asset_names(assets: DataFrame, within: str = "doc_id", order: tuple[str, ...
     x = assets.withColumn("safe", T.asset_name("image_id"))
     nth = F.row_number().over(W.partitionBy(within, "safe").orderBy(*order))
     stem, ext = F.regexp_replace("safe", r"\.[^.]*\z", ""), F.regexp_extract("safe", r"[^.]*\z", 0)
-    other = F.concat(stem, F.lit("-p"), F.lpad((F.col("page_index") + 1).cast("string"), 4, "0"), F.lit("-"), F.lpad((F.col("img_pos") + 1).cast("string"), 2, "0"), F.lit("."), ext)
+    other = F.concat(stem, F.lit("-p"), F.format_string("%04d-%02d", F.col("page_index") + 1, F.col("img_pos") + 1), F.lit("."), ext)
     return x.withColumn("file_name", F.when(nth == 1, F.col("safe")).otherwise(other)).drop("safe")
 
 
@@ -90,35 +90,58 @@ def table_content(table: Column, prefer: str = "html") -> Column:
     return F.when(T.trim(chosen) != "", chosen)
 
 
+def table_identifiers(t: Column, page_index: Column, i: Column, fields: list[str]) -> Column:
+    """What a table's placeholders may call it: its id and the other names it has, none blank, each once, then tbl-PAGE-NUMBER.html, which it always has."""
+    names = [t[k] for k in ("id", "table_id", "file_name", "path", "placeholder") if k in fields]
+    fallback = F.concat(F.lit("tbl-"), page_index.cast("string"), F.lit("-"), i.cast("string"), F.lit(".html"))
+    own = F.filter(F.array(*[T.trim(n) for n in names]), lambda n: n.isNotNull() & (n != ""))
+    return F.array_distinct(F.concat(own, F.array(fallback)))
+
+
 def resolve_tables(pages: DataFrame, prefer: str = "html") -> DataFrame:
-    """Pages whose placeholders for their own tables (array<struct<id, html, markdown, content>>) are exchanged for the tables.
+    """Pages whose placeholders for their own tables (array<struct<id, html, markdown, content>>, and table_id, file_name, path or placeholder if they are there) are exchanged for the tables.
 
-    A placeholder is a link or image to the id, the id in angle brackets, or the id in brackets or bare alone on a line.
+    A placeholder is a link or image to one of a table's identifiers, that in angle brackets, or in brackets or bare alone on a line.
     Content is put in as it is: signs that mean something in a replacement mean nothing here.
     """
 
-    def one(md: Column, t: Column, i: Column) -> Column:
-        name = F.coalesce(t["id"], F.concat(F.lit("tbl-"), F.col("page_index").cast("string"), F.lit("-"), i.cast("string"), F.lit(".html")))
-        q, content = quoted(name), F.concat(F.lit("\n"), table_content(t, prefer), F.lit("\n"))
-        safe = F.replace(F.replace(content, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+    fields = pages.schema["tables"].dataType.elementType.names
+
+    def named(md: Column, name: Column, safe: Column) -> Column:
+        q = quoted(name)
+        # The shapes of a placeholder.
         shapes = [
             F.concat(F.lit(r"!?\[[^\]]*\]\((?:\./)?"), q, F.lit(r"(?:#[^)\s]*)?(?:\s+\"[^\"]*\")?\)")),
             F.concat(F.lit("<"), q, F.lit(">")),
             F.concat(F.lit(r"(?m)^[ \t]*\["), q, F.lit(r"\][ \t]*$")),
             F.concat(F.lit(r"(?m)^[ \t]*"), q, F.lit(r"[ \t]*$")),
         ]
-        new = reduce(lambda m, s: F.regexp_replace(m, s, safe), shapes, md)
-        return F.when(safe.isNotNull(), new).otherwise(md)
+        return reduce(lambda m, s: F.regexp_replace(m, s, safe), shapes, md)
+
+    def one(md: Column, t: Column, i: Column) -> Column:
+        content = F.concat(F.lit("\n"), table_content(t, prefer), F.lit("\n"))
+        safe = F.replace(F.replace(content, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+        every = F.aggregate(table_identifiers(t, F.col("page_index"), i, fields), md, lambda m, name: named(m, name, safe))
+        return F.when(safe.isNotNull(), every).otherwise(md)
 
     indexed = F.transform("tables", lambda t, i: F.struct(t.alias("t"), i.alias("i")))
     return pages.withColumn("markdown", F.coalesce(F.aggregate(indexed, F.col("markdown"), lambda m, e: one(m, e["t"], e["i"])), "markdown"))
 
 
+def cut_bytes(c: Column, most: int) -> Column:
+    """The longest beginning of a text that has at most so many bytes of UTF-8 and ends with a whole character."""
+    b = c.cast("binary")
+    inside = F.hex(F.substring(b, most + 1, 1)).rlike("^[89AB]")  # the next byte continues a character
+    cut = F.make_valid_utf8(F.substring(b, 1, most).cast("string"))
+    return F.when(F.octet_length(b) <= most, c).when(inside, F.regexp_replace(cut, "\ufffd\\z", "")).otherwise(cut)
+
+
 def metadata_sample(pages: DataFrame, most_pages: int = 8, most_bytes: int = 12_000) -> DataFrame:
-    """(doc_id, sample): the first pages, each under its number, up to the page that crosses `most_bytes`."""
+    """(doc_id, sample): the first pages but blank ones, each under its number, until there are `most_bytes`, at which the sample is cut."""
     order = W.partitionBy("doc_id").orderBy("page_index")
-    x = pages.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most_pages)
-    x = x.withColumn("part", F.concat(F.lit("Page "), (F.col("page_index") + 1).cast("string"), F.lit(":\n"), T.trim(F.coalesce("markdown", F.lit("")))))
-    x = x.withColumn("before", F.coalesce(F.sum(F.octet_length("part")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).where(F.col("before") <= most_bytes)
+    text = T.trim(F.coalesce("markdown", F.lit("")))
+    x = pages.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most_pages).withColumn("text", text).where("text <> ''")
+    x = x.withColumn("part", F.concat(F.lit("Page "), (F.col("page_index") + 1).cast("string"), F.lit(":\n"), F.col("text"), F.lit("\n\n")))
+    x = x.withColumn("before", F.coalesce(F.sum(F.octet_length("part")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).where(F.col("before") < most_bytes)
     by = x.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("nth", "part"))).alias("own"))
-    return by.select("doc_id", F.array_join(F.col("own.part"), "\n\n").alias("sample"))
+    return by.select("doc_id", cut_bytes(T.trim(F.array_join(F.col("own.part"), "")), most_bytes).alias("sample"))

@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import os
+import re
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.functions import paths as P, text as T
 from quire.operators import archive as A, batch as B, epub as E, metadata as M
 from quire.operators.pages import metadata_sample
-from quire.session import Staged
+from quire.session import Staged, make_folder
 from quire.sinks import epub as S
 from quire.sources import books as K, payloads as Y, providers as V
+from quire.sources.schemas import METADATA
 
 from . import convert
 
@@ -41,11 +44,13 @@ class Settings(convert.Options):
 def _answers(keyed: DataFrame, contents: DataFrame, cache: str, provider: Callable[[bytes, dict], str] | None, settings: Settings, staged: Staged) -> DataFrame:
     """keyed (doc_id, cache_key ...) with payload and cache_hit. What no cache holds goes to the provider; its answers are in the cache before anything reads them, so no retry of a later step pays twice."""
     spark = keyed.sparkSession
-    os.makedirs(cache, exist_ok=True)
+    make_folder(spark, f"{cache}/answers")
 
     def held() -> DataFrame:
-        stored = spark.read.schema("cache_key string, payload string").option("recursiveFileLookup", True).json(cache)
-        return stored.groupBy("cache_key").agg(F.max("payload").alias("json")).select("cache_key", Y.parsed("json").alias("payload"))
+        stored = spark.read.schema("cache_key string, payload string").json(f"{cache}/answers")
+        own = stored.groupBy("cache_key").agg(F.max("payload").alias("json")).select("cache_key", Y.parsed("json").alias("payload"))
+        files = Y.read_cache(spark, cache).where("payload is not null")  # <key>.ocr.json, of other programs
+        return own.where("payload is not null").unionByName(files.join(own.where("payload is not null"), "cache_key", "left_anti"))
 
     known = held().where("false") if settings.no_cache else held()
     hits = staged.put(B.cached(keyed, known).select("doc_id", "cache_key", "cache_hit"))
@@ -62,13 +67,38 @@ def _settled(out: dict[str, DataFrame], settings: Settings, fixed: bool, staged:
     return own | {"entries": E.entries(own["books"], own["chapters"], own["assets"], settings.modified, fixed)}
 
 
-def convert_folder(spark: SparkSession, folder: str, out: str, cache: str, provider: Callable[[bytes, dict], str] | None = None, settings: Settings | None = None, check: Callable[[str], str | None] | None = None) -> DataFrame:
-    """OUTCOME rows, one for each book of a folder. Files are written below `out` at their places in the folder; one bad book stops no other."""
+def _generated(known: DataFrame, info: DataFrame, cache: str, model: Callable[[bytes, dict], str], settings: Settings, staged: Staged) -> DataFrame:
+    """Metadata by doc_id that the model, or what is kept of its answers, gives for documents that lack some; answers are kept before anything reads them."""
+    spark = known.sparkSession
+    pages = Y.pages(known)
+    cover = M.cover_metadata(M.cover_lines(pages.select("doc_id", "page_index", "markdown")))
+    none = known.select("doc_id", *[F.lit(None).cast("string").alias(f) for f in M.FIELDS])
+    record = M.merge(known.fillna({"language": settings.language}), cover, info, none).join(info.select("doc_id", F.col("language").alias("pdf_language"), "subjects"), "doc_id", "left")
+    jobs = staged.put(M.missing(record).select("doc_id", "needs_generation").join(known.select("doc_id", "cache_key"), "doc_id").where("needs_generation"))
+
+    def held() -> DataFrame:
+        kept = Y.read_cache(spark, cache, "metadata").where("payload is not null")
+        stored = spark.read.schema("cache_key string, payload string").json(f"{cache}/metadata").groupBy("cache_key").agg(F.max("payload").alias("json"))
+        own = stored.select("cache_key", F.from_json("json", METADATA).alias("payload")).where("payload is not null")
+        return own.unionByName(kept.join(own, "cache_key", "left_anti"))
+
+    make_folder(spark, f"{cache}/metadata")
+    asked = jobs if settings.no_cache else jobs.join(held(), "cache_key", "left_anti")
+    said = with_generated(asked, pages, model).join(jobs.select("doc_id", "cache_key"), "doc_id")
+    said.select("cache_key", F.to_json(F.struct(*M.FIELDS, "subjects")).alias("payload")).write.mode("append").json(f"{cache}/metadata")
+    return staged.put(jobs.join(held(), "cache_key").select("doc_id", "payload.*"))
+
+
+def convert_folder(spark: SparkSession, folder: str, out: str, cache: str, provider: Callable[[bytes, dict], str] | None = None, settings: Settings | None = None, check: Callable[[str], str | None] | None = None, model: Callable[[bytes, dict], str] | None = None) -> DataFrame:
+    """OUTCOME rows, one for each book of a folder. Files are written below `out` at their places in the folder; one bad book stops no other.
+
+    provider recognises a file that no cache holds; model is asked for what metadata a recognised book lacks.
+    """
     settings, staged = settings or Settings(), Staged(spark, "folder")
-    root = os.path.abspath(folder)
+    root = folder.rstrip("/") if "://" in folder else os.path.abspath(folder)
     found = K.detected(K.scan(spark, root, settings.recursive))
-    relative = F.substring(F.regexp_replace("path", "^[a-z]+:/*", "/"), len(root) + 2, 2**31 - 1)
-    named = found.select(F.row_number().over(W.orderBy(P.path_key("path"))).alias("input_order"), F.col("path").alias("uri"), relative.alias("path"), "source_hash", "format", F.col("error.message").alias("why"))
+    relative = F.substring(F.regexp_replace("path", "^[a-z]+:/*", "/"), len(re.sub("^[a-z]+:/*", "/", root)) + 2, 2**31 - 1)
+    named = B.numbered(found.select(F.col("path").alias("uri"), relative.alias("path"), "source_hash", "format", F.col("error.message").alias("why")), P.path_key("uri"), "input_order", staged)
     jobs = staged.put(B.unique_paths(named).withColumn("doc_id", F.sha2(F.col("path").cast("binary"), 256)).withColumn("source_path", F.regexp_replace("uri", "^[a-z]+:/*", "/")))
     contents = jobs.where("format is not null").join(found.select(F.col("path").alias("uri"), "content"), "uri")
 
@@ -76,9 +106,10 @@ def convert_folder(spark: SparkSession, folder: str, out: str, cache: str, provi
     blank = [F.lit(getattr(settings, f)).cast("string").alias(f) for f in ("title", "author", "publisher", "language")]
     key = T.cache_key("content", F.lit(settings.model), F.lit(settings.table_format), F.lit(settings.extract_header), F.lit(settings.extract_footer), VERSION)
     ready = _answers(staged.put(pdf.select("doc_id", "path", "source_hash", *blank, key.alias("cache_key"))), pdf, cache, provider, settings, staged)
-    known = ready.where("payload is not null").drop("cache_key", "cache_hit")
+    known = ready.where("payload is not null").drop("cache_hit")
     info = staged.put(K.pdf_metadata(pdf.select(F.col("doc_id").alias("path"), "content")).withColumnRenamed("path", "doc_id"))
-    texts = _settled(convert.recognised(known, settings, info), settings, settings.comic, staged)
+    generated = None if model is None else _generated(known, info, cache, model, settings, staged)
+    texts = _settled(convert.recognised(known.drop("cache_key"), settings, info, generated), settings, settings.comic, staged)
 
     cbz = contents.where("format = 'cbz'").select(F.col("doc_id").alias("path"), "content", "source_hash")
     entries = staged.put(K.entries(cbz))
@@ -91,6 +122,9 @@ def convert_folder(spark: SparkSession, folder: str, out: str, cache: str, provi
     pages = sound.where("media_type is not null").select("archive", F.col("entry_index").alias("source_index"), F.col("path").alias("source_path"), "media_type", "extension", "width", "height", "bytes")
     sources = jobs.where("format = 'cbz'").select(F.col("doc_id").alias("archive"), "source_hash", "path")
     info = staged.put(K.comic_info(sound))
+    bad = info.where("error is not null").select(F.col("archive").alias("doc_id"), F.lit("BadArgs").alias("kind"), F.concat(F.lit("ComicInfo: "), "error").alias("message"))
+    sources = sources.join(bad.select(F.col("doc_id").alias("archive")), "archive", "left_anti")
+    pages = pages.join(bad.select(F.col("doc_id").alias("archive")), "archive", "left_anti")
     comics = _settled(convert.comics(sources, pages, info, settings), settings, True, staged)
 
     both = texts["entries"].unionByName(comics["entries"]).join(jobs.select("doc_id", "output_path", "source_path"), "doc_id")
@@ -102,10 +136,11 @@ def convert_folder(spark: SparkSession, folder: str, out: str, cache: str, provi
 
     told = [
         texts["errors"].select("doc_id", "kind", "message"),
-        ready.where("payload is null").select("doc_id", F.lit("Network").alias("kind"), F.lit("not recognised").alias("message")),
+        ready.where("payload is null").select("doc_id", F.lit("Api").alias("kind"), F.lit("not recognised").alias("message")),
         verdicts.where("broken is not null").select(F.col("archive").alias("doc_id"), F.lit("BadArgs").alias("kind"), F.col("broken").alias("message")),
         entries.where("path is null").select(F.col("archive").alias("doc_id"), F.lit("BadArgs").alias("kind"), F.lit("no archive").alias("message")),
         broken.where("why is not null").select(F.col("archive").alias("doc_id"), F.lit("BadArgs").alias("kind"), F.col("why").alias("message")),
+        bad,
     ]
     errors = reduce(DataFrame.unionByName, told).groupBy("doc_id").agg(F.min("kind").alias("kind"), F.min("message").alias("message"))
     x = jobs
@@ -113,13 +148,16 @@ def convert_folder(spark: SparkSession, folder: str, out: str, cache: str, provi
         x = x.join(part, "doc_id", "left")
     done = F.col("_error").isNull() & F.col("message").isNull() & F.col("why").isNull() & F.col("chapters").isNotNull()
     message = F.when(~done, F.coalesce("why", "message", "_error", F.lit("nothing was written")))
-    kind = F.when(~done, F.when(F.col("why").isNotNull(), "BadArgs").otherwise(F.coalesce("kind", F.when(F.col("_error").isNotNull(), F.lit("Validation")), F.lit("Other"))))
+    kind = F.when(~done, F.when(F.col("why").isNotNull(), "BadArgs").otherwise(F.coalesce("kind", F.when(F.col("_error").isNotNull(), F.lit("Validation")), F.lit("Internal"))))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     shown = x.select("path", F.when(done, F.col("output_path")).alias("output_path"), F.when(done, "done").otherwise("error").alias("status"), kind.alias("kind"), F.when(~done, T.exit_code(kind)).otherwise(0).alias("exit_code"), message.alias("message"), zero("pages"), zero("chapters"), zero("images"), F.coalesce("cache_hit", F.lit(False)).alias("cache_hit"), "input_order", "source_path")
     result = staged.put(shown)
     if settings.delete_sources:
         for r in result.where("status = 'done'").select("source_path").toLocalIterator():
-            os.unlink(unquote(r.source_path))
+            try:
+                os.unlink(unquote(r.source_path))
+            except OSError as e:  # the book is written: this stops no other
+                warnings.warn(f"{r.source_path} was not deleted: {e}", stacklevel=2)
     return result.drop("source_path")
 
 

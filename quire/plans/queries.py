@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quire.functions import paths as P, text as T
 from quire.functions.markdown import markdown_html
 from quire.operators import archive as A, batch as B, chapters as C, epub as E, metadata as M, pages as G
+from quire.session import Staged
 from quire.sources import books as K, providers as V
 
 from . import views as X
@@ -173,7 +174,7 @@ _SAFE = "trim(regexp_replace(image_id, '[^A-Za-z0-9_.-]', '-', 'g'), '-')"
 @query(f"""WITH a AS (SELECT p_size AS doc_id, p_partkey AS asset_no, p_type || CASE WHEN p_partkey % 2 = 0 THEN '.png' ELSE '' END AS image_id, p_partkey % 7 AS page_index, p_partkey % 5 AS img_pos FROM part),
 s AS (SELECT *, CASE WHEN {_SAFE} = '' THEN 'image.bin' WHEN NOT contains({_SAFE}, '.') THEN {_SAFE} || '.bin' ELSE {_SAFE} END AS safe FROM a),
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, safe ORDER BY asset_no) AS r FROM s),
-f AS (SELECT doc_id, asset_no, CASE WHEN r = 1 THEN safe ELSE regexp_replace(safe, '\\.[^.]*$', '') || '-p' || lpad((page_index + 1)::VARCHAR, 4, '0') || '-' || lpad((img_pos + 1)::VARCHAR, 2, '0') || '.' || regexp_extract(safe, '[^.]*$') END AS file_name FROM n)
+f AS (SELECT doc_id, asset_no, CASE WHEN r = 1 THEN safe ELSE regexp_replace(safe, '\\.[^.]*$', '') || '-p' || printf('%04d', page_index + 1) || '-' || printf('%02d', img_pos + 1) || '.' || regexp_extract(safe, '[^.]*$') END AS file_name FROM n)
 SELECT *, CASE WHEN lower(file_name) LIKE '%.png' THEN 'image/png' ELSE 'application/octet-stream' END AS media_type FROM f""")
 def asset_names(spark, d):
     p = X.read(spark, d, "part")
@@ -212,7 +213,7 @@ def comic_page_images(spark, d):
 _CONTENT = "replace(chr(10) || content || chr(10), chr(92), chr(92) || chr(92))"
 
 
-@query(rf"""WITH {X.pages_sql()}, t AS (SELECT doc_id, page_index, 'tbl-' || page_index || '.html' AS id, '<table>' || left(markdown, 40) || ' $1 \1</table>' AS content, markdown FROM pages),
+@query(rf"""WITH {X.pages_sql()}, t AS (SELECT doc_id, page_index, 'tbl-' || page_index || '.html' AS id, '<table>' || markdown || ' $1 \1</table>' AS content, markdown FROM pages),
 s AS (SELECT *, markdown || chr(10) || '[see](./' || id || '#a) and ![x](' || id || ' "t") <' || id || '>' || chr(10) || ' [' || id || '] ' || chr(10) || id || chr(10) || 'not ' || id AS x, replace(id, '.', '\.') AS q FROM t),
 s1 AS (SELECT *, regexp_replace(x, '!?\[[^\]]*\]\((?:\./)?' || q || '(?:#[^)\s]*)?(?:\s+"[^"]*")?\)', {_CONTENT}, 'g') AS x1 FROM s),
 s2 AS (SELECT *, regexp_replace(x1, '<' || q || '>', {_CONTENT}, 'g') AS x2 FROM s1),
@@ -220,10 +221,9 @@ s3 AS (SELECT *, regexp_replace(x2, '(?m)^[ \t]*\[' || q || '\][ \t]*$', {_CONTE
 SELECT doc_id, page_index, md5(regexp_replace(x3, '(?m)^[ \t]*' || q || '[ \t]*$', {_CONTENT}, 'g')) AS body_md5 FROM s3""")
 def resolve_tables(spark, d):
     i = F.concat(F.lit("tbl-"), F.col("page_index").cast("string"), F.lit(".html"))
-    content = F.concat(F.lit("<table>"), F.left(F.col("markdown"), F.lit(40)), F.lit(" $1 \\1</table>"))
+    content = F.concat(F.lit("<table>"), F.col("markdown"), F.lit(" $1 \\1</table>"))
     shown = F.concat("markdown", F.lit("\n[see](./"), i, F.lit("#a) and ![x]("), i, F.lit(' "t") <'), i, F.lit(">\n ["), i, F.lit("] \n"), i, F.lit("\nnot "), i)
-    p = X.pages(spark, d).withColumn("tables", F.array(F.struct(F.when(F.col("page_index") % 2 == 0, i).alias("id"), content.alias("html"), F.lit("| never |").alias("markdown"), F.lit(None).cast("string").alias("content")))).withColumn("markdown", shown)
-    p = p.withColumn("tables", F.transform("tables", lambda t: F.struct(F.coalesce(t["id"], F.concat(F.lit("tbl-"), F.col("page_index").cast("string"), F.lit(".html"))).alias("id"), t["html"].alias("html"), t["markdown"].alias("markdown"), t["content"].alias("content"))))
+    p = X.pages(spark, d).withColumn("tables", F.array(F.struct(F.when(F.col("page_index") % 2 == 0, i).alias("id"), content.alias("html"), F.lit("| never |").alias("markdown"), F.lit(None).cast("string").alias("content"), F.when(F.col("page_index") % 2 == 1, i).alias("file_name")))).withColumn("markdown", shown)
     return G.resolve_tables(p).select("doc_id", "page_index", F.md5("markdown").alias("body_md5"))
 
 
@@ -232,11 +232,13 @@ def strip_images(spark, d):
     return _linked(spark, d).select("doc_id", "page_index", F.md5(T.strip_images("markdown")).alias("body_md5"), T.first_image_target("markdown").alias("target"))
 
 
-@query(rf"""WITH {X.pages_sql()}, o AS (SELECT doc_id, page_index, row_number() OVER (PARTITION BY doc_id ORDER BY page_index) AS nth, 'Page ' || (page_index + 1) || ':' || chr(10) || {trim("coalesce(markdown, '')")} AS part FROM pages),
-k AS (SELECT *, coalesce(sum(strlen(part)) OVER (PARTITION BY doc_id ORDER BY page_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o WHERE nth <= 8)
-SELECT doc_id, md5(string_agg(part, chr(10) || chr(10) ORDER BY nth)) AS sample_md5 FROM k WHERE before <= 3000 GROUP BY doc_id""")
+@query(rf"""WITH {X.pages_sql()}, o AS (SELECT doc_id, page_index, row_number() OVER (PARTITION BY doc_id ORDER BY page_index) AS nth, {trim("coalesce(markdown, '')")} AS md FROM pages),
+k AS (SELECT doc_id, nth, 'Page ' || (page_index + 1) || ':' || chr(10) || md || chr(10) || chr(10) AS part FROM o WHERE nth <= 8 AND md <> ''),
+b AS (SELECT *, coalesce(sum(strlen(part)) OVER (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k),
+s AS (SELECT doc_id, {trim("string_agg(part, '' ORDER BY nth)")} AS x FROM b WHERE before < 12000 GROUP BY doc_id)
+SELECT doc_id, md5(CASE WHEN strlen(x) <= 12000 THEN x ELSE left(x, list_max(list_filter(range(3000, 12001), lambda n: strlen(left(x, n)) <= 12000))) END) AS sample_md5 FROM s""")
 def metadata_sample(spark, d):
-    return G.metadata_sample(X.pages(spark, d), most_bytes=3000).select("doc_id", F.md5("sample").alias("sample_md5"))
+    return G.metadata_sample(X.pages(spark, d)).select("doc_id", F.md5("sample").alias("sample_md5"))
 
 
 @query("""WITH v AS (SELECT doc_id, doc_id % 4 AS kind, to_base64(encode(text)) AS b FROM documents),
@@ -296,7 +298,7 @@ c1 AS (SELECT doc_id, pos, {trim('raw')} AS x FROM c0), c2 AS (SELECT doc_id, po
 c3 AS (SELECT doc_id, pos, {_COVER_LINE} AS line FROM c2 WHERE x <> '' AND NOT starts_with(x, '![') AND NOT starts_with(x, '|')),
 cover_lines AS (SELECT * FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS nth, line FROM c3 WHERE line <> '') WHERE nth <= 24)"""
 _COVERS = "covers AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '# **' || source || '**' || chr(10) || 'by ' || lang || ' Writer' || chr(10) WHEN 1 THEN 'Contents' || chr(10) || '> [A Title](x)' || chr(10) || 'Anna van Dyk-Lee' || chr(10) WHEN 2 THEN '12' || chr(10) || '![i](j)' || chr(10) || '<b>Some: Title</b>' || chr(10) || 'Edited by  unknown ' || chr(10) || 'JOHN Q. PUBLIC' || chr(10) ELSE '' END || text AS markdown FROM documents)"
-_NOISE = "((regexp_matches(lower({x}), '^[0-9]*$') AND strlen({x}) <= 2) OR starts_with(lower({x}), 'isbn') OR starts_with(lower({x}), 'chapter ') OR lower({x}) IN ('contents', 'table of contents') OR regexp_matches(lower({x}), 'rights|copyright|©|www\\.|https?://'))"
+_NOISE = "((regexp_matches(lower({x}), '^[0-9]*$') AND strlen({x}) <= 2) OR starts_with(lower({x}), 'isbn') OR starts_with(lower({x}), 'chapter ') OR lower({x}) IN ('contents', 'table of contents') OR regexp_matches(lower({x}), 'all rights reserved|copyright|©|www\\.|http://|https://'))"
 _NAME = rf"""(NOT {_NOISE.format(x='line')} AND NOT contains(line, ':') AND NOT regexp_matches(line, '[?!]$') AND len(ws) BETWEEN 2 AND 6 AND len(list_filter(ws, lambda w: NOT (w <> '' AND NOT regexp_matches(w, '[0-9]') AND (lower(w) IN ('de', 'del', 'da', 'van', 'von', 'la', 'le') OR regexp_matches(w, '^[A-Z]') OR (upper(w) = w AND lower(w) <> w))))) = 0)"""
 _MARKED = "CASE " + " ".join(f"WHEN starts_with(lower(line), '{m}') THEN {clean(f'substr(line, {len(m) + 1})')}" for m in T.AUTHOR_MARKERS) + " END"
 
@@ -343,13 +345,13 @@ def metadata_merge(spark, d):
     return M.merge(jobs, cover, pdf, gen)
 
 
-@query(f"""WITH s AS (SELECT doc_id, 0 AS src, regexp_split_to_array(replace(left(text, 200), ' ', ';'), '[,;\\n]') AS k FROM documents UNION ALL SELECT doc_id, 1, [upper(lang), source, 'unknown', ' ' || source || ' '] FROM documents),
+@query(f"""WITH s AS (SELECT doc_id, 0 AS src, regexp_split_to_array(replace(text, ' ', ';'), '[,;\\n]') AS k FROM documents UNION ALL SELECT doc_id, 1, [upper(lang), source, 'unknown', ' ' || source || ' '] FROM documents),
 e AS (SELECT doc_id, src, unnest(range(len(k))) AS pos, unnest(k) AS raw FROM s), c AS (SELECT doc_id, src, pos, {clean('raw')} AS s FROM e),
 u AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(s) ORDER BY src, pos) AS nth FROM c WHERE s IS NOT NULL)
 SELECT doc_id, string_agg(s, '|' ORDER BY src, pos) AS subjects FROM u WHERE nth = 1 GROUP BY doc_id""")
 def subjects_union(spark, d):
     x = X.read(spark, d, "documents")
-    own = x.select("doc_id", F.lit(0).alias("src"), F.split(F.replace(F.left(F.col("text"), F.lit(200)), F.lit(" "), F.lit(";")), r"[,;\n]").alias("subjects"))
+    own = x.select("doc_id", F.lit(0).alias("src"), F.split(F.replace(F.col("text"), F.lit(" "), F.lit(";")), r"[,;\n]").alias("subjects"))
     more = x.select("doc_id", F.lit(1).alias("src"), F.array(F.upper("lang"), F.col("source"), F.lit("unknown"), F.concat(F.lit(" "), "source", F.lit(" "))).alias("subjects"))
     return M.subjects(own.unionAll(more)).select("doc_id", F.array_join("subjects", "|").alias("subjects"))
 
@@ -441,7 +443,7 @@ def batch_summary(spark, d):
     return B.summary(X.jobs(spark, d))
 
 
-@query(f"WITH {X.JOBS_SQL} SELECT kind, CASE kind WHEN 'BadArgs' THEN 2 WHEN 'Network' THEN 4 WHEN 'OcrSchema' THEN 5 ELSE 6 END::INT AS exit_code, failures FROM (SELECT arg_min(kind, input_order) AS kind, count(*) AS failures FROM jobs WHERE status = 'error') WHERE failures > 0")
+@query(f"WITH {X.JOBS_SQL} SELECT kind, CASE kind WHEN 'BadArgs' THEN 2 WHEN 'Api' THEN 3 WHEN 'OcrSchema' THEN 4 WHEN 'Epub' THEN 5 WHEN 'Validation' THEN 6 ELSE 1 END::INT AS exit_code, failures FROM (SELECT arg_min(kind, input_order) AS kind, count(*) AS failures FROM jobs WHERE status = 'error') WHERE failures > 0")
 def batch_first_failure(spark, d):
     return B.first_failure(X.jobs(spark, d))
 
@@ -546,7 +548,7 @@ _BOOKS = "books AS (SELECT doc_id, sha256(doc_id::VARCHAR) AS source_hash, min(t
 
 
 def _package(spark, d):
-    chapters = C.file_names(conversation_chapters(spark, d)).withColumn("xhtml", E.page(F.col("title"), T.xml_escape("markdown"), F.lit("en")))
+    chapters = Staged(spark, "package").put(C.file_names(conversation_chapters(spark, d))).withColumn("xhtml", E.page(F.col("title"), T.xml_escape("markdown"), F.lit("en")))
     i, no = F.col("doc_id"), F.lit(None).cast("string")
     books = chapters.groupBy("doc_id").agg(F.min("title").alias("title")).select("doc_id", F.sha2(i.cast("string").cast("binary"), 256).alias("source_hash"), "title", F.when(i % 2 == 0, "A & B").alias("author"), F.lit("en").alias("language"), no.alias("publisher"), no.alias("description"), F.array(F.lit("s<1>")).alias("subjects"), F.when(i % 3 == 0, "image-1.png").alias("cover_image"), F.lit("ltr").alias("direction"))
     assets = books.where("doc_id % 3 <> 2").select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("asset_no")).select("doc_id", "asset_no", F.format_string("image-%d.png", "asset_no").alias("file_name"), F.lit("image/png").alias("media_type"), F.lit(b"\x89PNG").alias("bytes"))
@@ -562,8 +564,8 @@ def nav_document(spark, d):
 
 @query(f"""WITH {X.pages_sql()}, {CHAPTERS}, {NAMED}, {_BOOKS},
 c AS (SELECT doc_id, string_agg('<item id="' || chapter_id || '" href="text/' || file_name || '" media-type="application/xhtml+xml"/>', '' ORDER BY chapter_no) AS items, string_agg('<itemref idref="' || chapter_id || '"/>', '' ORDER BY chapter_no) AS refs FROM filed GROUP BY doc_id)
-SELECT doc_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="id">urn:sha256:' || source_hash || '</dc:identifier><dc:title>' || {escape('title')} || '</dc:title><dc:language>en</dc:language>' || CASE WHEN author IS NULL THEN '' ELSE '<dc:creator>A &amp; B</dc:creator>' END || '<dc:subject>s&lt;1&gt;</dc:subject><meta property="dcterms:modified">{MODIFIED}</meta></metadata><manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="css" href="styles/book.css" media-type="text/css"/>' || items ||
-CASE WHEN doc_id % 3 = 2 THEN '' ELSE '<item id="img-0001" href="images/image-1.png" media-type="image/png"' || CASE WHEN cover_image IS NULL THEN '' ELSE ' properties="cover-image"' END || '/><item id="img-0002" href="images/image-2.png" media-type="image/png"/>' END || '</manifest><spine>' || refs || '</spine></package>' || chr(10) AS opf FROM books JOIN c USING (doc_id)""")
+SELECT doc_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:identifier id="id">urn:sha256:' || source_hash || '</dc:identifier><dc:title>' || {escape('title')} || '</dc:title><dc:language>en</dc:language>' || CASE WHEN author IS NULL THEN '' ELSE '<dc:creator>A &amp; B</dc:creator>' END || '<dc:subject>s&lt;1&gt;</dc:subject><meta property="dcterms:modified">{MODIFIED}</meta></metadata><manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="css" href="styles/book.css" media-type="text/css"/>' || CASE WHEN cover_image IS NULL THEN '' ELSE '<item id="cover" href="text/cover.xhtml" media-type="application/xhtml+xml"/>' END || items ||
+CASE WHEN doc_id % 3 = 2 THEN '' ELSE '<item id="img-0001" href="images/image-1.png" media-type="image/png"' || CASE WHEN cover_image IS NULL THEN '' ELSE ' properties="cover-image"' END || '/><item id="img-0002" href="images/image-2.png" media-type="image/png"/>' END || '</manifest><spine>' || CASE WHEN cover_image IS NULL THEN '' ELSE '<itemref idref="cover"/>' END || refs || '</spine></package>' || chr(10) AS opf FROM books JOIN c USING (doc_id)""")
 def opf_manifest(spark, d):
     books, chapters, assets = _package(spark, d)
     return E.opf(books, chapters, assets, MODIFIED)

@@ -45,12 +45,12 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as jobs: good ones are done, bad ones failed, unlabelled ones wait."""
     d, q = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     status = F.when(F.col("quality") == 1, "done").when(F.col("quality") == 0, "error").otherwise("pending")
-    kinds = F.element_at(F.array(*map(F.lit, ("BadArgs", "Network", "OcrSchema", "Validation"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    kinds = F.element_at(F.array(*map(F.lit, ("BadArgs", "Api", "OcrSchema", "Epub", "Validation", "Internal"))), (F.col("doc_id") % 6 + 1).cast("int"))
     return d.join(q, "doc_id", "left").select("doc_id", F.col("doc_id").alias("input_order"), F.col("source").alias("folder"), F.concat("source", F.lit("/Book "), (F.col("doc_id") % 50).cast("string"), F.when(F.col("doc_id") % 3 == 0, ".PDF").otherwise(".cbz")).alias("path"), status.alias("status"), kinds.alias("kind"), (F.col("doc_id") % 7).alias("pages"), (F.col("doc_id") % 5).alias("chapters"), (F.col("doc_id") % 3).alias("images"), (F.col("doc_id") % 2 == 0).alias("cache_hit"), "text")
 
 
 JOBS_SQL = """jobs AS (SELECT d.doc_id, d.doc_id AS input_order, source AS folder, source || '/Book ' || (d.doc_id % 50) || CASE WHEN d.doc_id % 3 = 0 THEN '.PDF' ELSE '.cbz' END AS path,
-    CASE quality WHEN 1 THEN 'done' WHEN 0 THEN 'error' ELSE 'pending' END AS status, ['BadArgs', 'Network', 'OcrSchema', 'Validation'][d.doc_id % 4 + 1] AS kind,
+    CASE quality WHEN 1 THEN 'done' WHEN 0 THEN 'error' ELSE 'pending' END AS status, ['BadArgs', 'Api', 'OcrSchema', 'Epub', 'Validation', 'Internal'][d.doc_id % 6 + 1] AS kind,
     d.doc_id % 7 AS pages, d.doc_id % 5 AS chapters, d.doc_id % 3 AS images, d.doc_id % 2 = 0 AS cache_hit, text
     FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) q USING (doc_id))"""
 

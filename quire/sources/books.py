@@ -11,6 +11,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
@@ -20,9 +21,9 @@ from quire.session import reachable
 
 
 def scan(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """(path, content, source_hash) of the books in a folder, in order of the parts of their paths. Other files are not read."""
-    files = reachable(spark).read.format("binaryFile").option("pathGlobFilter", "*.{pdf,PDF,Pdf,cbz,CBZ,Cbz}").option("recursiveFileLookup", recursive).load(folder)
-    return files.where(P.is_book("path")).select("path", "content", F.sha2("content", 256).alias("source_hash")).orderBy(P.path_key("path"))
+    """(path, content, source_hash) of the books in a folder, in any order. Other files are not read."""
+    files = reachable(spark).read.format("binaryFile").option("pathGlobFilter", "*.{[pP][dD][fF],[cC][bB][zZ]}").option("recursiveFileLookup", recursive).load(folder)
+    return files.where(P.is_book("path")).select("path", "content", F.sha2("content", 256).alias("source_hash"))
 
 
 def detected(books: DataFrame) -> DataFrame:
@@ -261,18 +262,22 @@ def parse_comic_info(data: bytes) -> dict:
 COMIC_INFO = "archive string, title string, writer string, publisher string, summary string, language string, right_to_left boolean, pages array<struct<image:int,deleted:boolean,front_cover:boolean>>, error string"
 
 
+_INFO_PAGES = pa.list_(pa.struct([("image", pa.int32()), ("deleted", pa.bool_()), ("front_cover", pa.bool_())]))
+
+
 def comic_info(files: DataFrame) -> DataFrame:
     """COMIC_INFO rows from the root ComicInfo.xml files among (archive, path, bytes)."""
+    kinds = {"right_to_left": pa.bool_(), "pages": _INFO_PAGES}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in COMIC_INFO.split(", ")]
         for b in batches:
             rows = []
-            for archive, data in zip(b["archive"], b["bytes"], strict=True):
+            for archive, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
                     rows.append({"archive": archive, **parse_comic_info(data), "error": None})
                 except ValueError as e:
                     rows.append({"archive": archive, "right_to_left": False, "pages": [], "error": str(e)})
-            yield pd.DataFrame(rows, columns=names)
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds.get(n, pa.string())) for n in names], names)
 
-    return reachable(files.sparkSession) and files.where("lower(path) = 'comicinfo.xml' and bytes is not null").select("archive", "bytes").mapInPandas(run, COMIC_INFO)
+    return reachable(files.sparkSession) and files.where("lower(path) = 'comicinfo.xml' and bytes is not null").select("archive", "bytes").mapInArrow(run, COMIC_INFO)

@@ -75,7 +75,7 @@ def test_scalars(spark):
     assert v(T.keywords(lit("a, b;; unknown\nc"))) == ["a", "b", "c"]
     assert [v(T.language(lit(a), lit(b).cast("string"), lit(c).cast("string"))) for a, b, c in (("de", "fr", "es"), ("en", "fr", "es"), ("en", None, "es"), ("en", None, None))] == ["de", "fr", "es", "en"]
     assert v(T.lines(lit("a\r\nb\n"))) == ["a", "b"]
-    assert [v(T.exit_code(lit(k))) for k in ("BadArgs", "Auth", "Network", "OcrSchema", "Validation", "x")] == [2, 3, 4, 5, 6, 1]
+    assert [v(T.exit_code(lit(k))) for k in ("BadArgs", "Api", "OcrSchema", "Epub", "Validation", "Internal", "x")] == [2, 3, 4, 5, 6, 1, 1]
 
 
 def test_cache_key_depends_on_options(spark):
@@ -85,6 +85,9 @@ def test_cache_key_depends_on_options(spark):
 
 
 def test_tables(spark):
+    more = [(1, 0, "[x](f.html) <p> [tbl-0-0.html](tbl-0-0.html) <id>", [("id", "A", None, None, "f.html", " p ")])]
+    u = "struct<id:string,html:string,markdown:string,content:string,file_name:string,placeholder:string>"
+    assert G.resolve_tables(spark.createDataFrame(more, f"doc_id long, page_index long, markdown string, tables array<{u}>")).first().markdown == "\nA\n \nA\n \nA\n \nA\n"
     t = "struct<id:string,html:string,markdown:string,content:string>"
     rows = [(1, 0, "[t1](t1) and ![x](./t1#f \"n\")\n[t1]\nt1\n<t1> not t1", [("t1", "<b>$5 \\1</b>", "m", "c")]), (1, 1, "[tbl-1-0.html](tbl-1-0.html)", [(None, None, "| m |", "c")]), (2, 0, "[b]", [("b", " ", "m", None)]), (3, 0, None, None)]
     got = {(r.doc_id, r.page_index): r.markdown for r in G.resolve_tables(spark.createDataFrame(rows, f"doc_id long, page_index long, markdown string, tables array<{t}>")).collect()}
@@ -119,3 +122,25 @@ def test_markdown():
     assert render("```\n<x>\n```") == "<pre><code>&lt;x&gt;</code></pre>" and render(None) == "" and render("a[^1]\n\n[^1]: note").endswith('<li id="fn-1">note</li></ol></section>')
     assert render("T\n===\n![i](a.png) [l](b)") == '<h1>T</h1>\n<p><img src="a.png" alt="i" /> <a href="b">l</a></p>'
     assert anchored("<h1>A</h1><h2>a</h2><h2>B <em>c</em></h2>") == '<h1 id="a">A</h1><h2 id="a-2">a</h2><h2 id="b-c">B <em>c</em></h2>'
+
+
+def test_sample_is_cut(spark):
+    rows = [(1, 0, "a" * 7000), (1, 1, "  \n"), (1, 2, "é" * 2000), (1, 3, "b" * 3000), (1, 4, "never"), (2, 9, "one"), (3, 0, " ")]
+    rows += [(4, i, "x") for i in range(10)] + [(5, 0, "🙂" * 4000), (6, 0, "a" + "🙂" * 4000)]
+    got = {r.doc_id: r.sample for r in G.metadata_sample(spark.createDataFrame(rows, "doc_id long, page_index long, markdown string")).collect()}
+    whole = "Page 1:\n" + "a" * 7000 + "\n\nPage 3:\n" + "é" * 2000 + "\n\nPage 4:\n" + "b" * 3000
+    assert got[1] == whole.encode()[:12_000].decode() and got[2] == "Page 10:\none" and 3 not in got
+    assert got[4].count("Page") == 8
+    for i, text in ((5, rows[-2][2]), (6, rows[-1][2])):
+        assert got[i] == ("Page 1:\n" + text).encode()[:12_000].decode(errors="ignore")
+
+
+def test_names_of_assets_on_late_pages(spark):
+    rows = [(1, n, 999 + 9001 * n, 0, "x.png") for n in range(3)]
+    got = G.asset_names(spark.createDataFrame(rows, "doc_id long, asset_no int, page_index int, img_pos int, image_id string")).collect()
+    assert sorted(r.file_name for r in got) == ["x-p10001-01.png", "x-p19002-01.png", "x.png"]
+
+
+def test_noise_is_about_the_edition(spark):
+    noise = lambda s: value(spark, M.is_noise(F.lit(s)))
+    assert not noise("The Rights of Man") and noise("ALL RIGHTS RESERVED") and noise("see http://x") and noise("© 2020") and noise("7")

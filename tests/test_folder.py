@@ -29,7 +29,7 @@ def test_folder(spark, tmp_path):
     (src / "fake.pdf").write_bytes(b"text")
     (src / "sub/e.cbz").write_bytes(comic(2))
     rows = {r.path: r for r in D.convert_folder(spark, str(src), str(out), str(cache), provider, D.Settings(recursive=True)).collect()}
-    assert {p: (r.status, r.kind, r.exit_code) for p, r in rows.items()} == {"a.pdf": ("done", None, 0), "bad.pdf": ("error", "Network", 4), "c.cbz": ("done", None, 0), "a.cbz": ("done", None, 0), "junk.cbz": ("error", "BadArgs", 2), "fake.pdf": ("error", "BadArgs", 2), "sub/e.cbz": ("done", None, 0)}
+    assert {p: (r.status, r.kind, r.exit_code) for p, r in rows.items()} == {"a.pdf": ("done", None, 0), "bad.pdf": ("error", "Api", 3), "c.cbz": ("done", None, 0), "a.cbz": ("done", None, 0), "junk.cbz": ("error", "BadArgs", 2), "fake.pdf": ("error", "BadArgs", 2), "sub/e.cbz": ("done", None, 0)}
     assert rows["a.cbz"].output_path == "a.epub" and rows["a.pdf"].output_path == "a-2.epub" and (out / "sub/e.epub").exists()
     assert (rows["a.pdf"].pages, rows["a.pdf"].chapters, rows["c.cbz"].images, rows["a.pdf"].cache_hit) == (2, 2, 2, False)
     assert "Jo Doe" in zipfile.ZipFile(out / "a-2.epub").read("OEBPS/content.opf").decode()
@@ -37,6 +37,60 @@ def test_folder(spark, tmp_path):
     assert again["a.pdf"].cache_hit and again["a.pdf"].status == "done" and not (src / "a.pdf").exists() and (src / "bad.pdf").exists()
 
 
+def test_caches_of_other_programs_and_a_model(spark, tmp_path):
+    import hashlib
+
+    src, out, cache = tmp_path / "in", tmp_path / "out", tmp_path / "cache"
+    src.mkdir()
+    cache.mkdir()
+    (src / "B.pDf").write_bytes(b"%PDF-1.4")
+    (src / "c.CBz").write_bytes(comic())
+    key = hashlib.sha256(b"%PDF-1.4" + b"defaulthtml11" + b"1" + D.VERSION.encode()).hexdigest()
+    (cache / f"{key}.ocr.json").write_text(json.dumps({"pages": [{"index": 0, "markdown": "# Kept\ntext"}]}))
+    (cache / "broken.ocr.json").write_text("{")
+    asked = []
+
+    def model(content: bytes, options: dict) -> str:
+        return json.dumps({"publisher": "House", "subjects": ["s"]})
+
+    rows = {r.path: r for r in D.convert_folder(spark, str(src), str(out), str(cache), None, D.Settings(), model=model).collect()}
+    assert {p: (r.status, r.cache_hit) for p, r in rows.items()} == {"B.pDf": ("done", True), "c.CBz": ("done", False)}
+    assert "<dc:publisher>House</dc:publisher>" in zipfile.ZipFile(out / "B.epub").read("OEBPS/content.opf").decode()
+    again = D.convert_folder(spark, str(src), str(tmp_path / "again"), str(cache), None, D.Settings(), model=lambda *_: asked.append(1) or "{}").collect()
+    assert len(again) == 2 and "House" in zipfile.ZipFile(tmp_path / "again/B.epub").read("OEBPS/content.opf").decode()
+
+
+def test_broken_comic_info_fails_the_book(spark, tmp_path):
+    import io
+
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("1.png", png())
+        z.writestr("ComicInfo.xml", "<ComicInfo><Title>x")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.cbz").write_bytes(data.getvalue())
+    (tmp_path / "in/b.cbz").write_bytes(comic())
+    rows = {r.path: r for r in D.convert_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cache")).collect()}
+    assert (rows["a.cbz"].status, rows["a.cbz"].kind, rows["b.cbz"].status) == ("error", "BadArgs", "done") and not (tmp_path / "out/a.epub").exists()
+
+
+def test_every_file_of_a_package_is_in_its_manifest(spark):
+    import base64
+    import re
+
+    payload = {"pages": [{"index": 0, "markdown": "# One\n![x](i.png)", "images": [{"id": "i.png", "image_base64": base64.b64encode(png()).decode()}]}, {"index": 1, "markdown": "# Two"}]}
+    x = spark.createDataFrame([("d", "in/b.pdf", "00", json.dumps(payload), None, None, None, None)], "doc_id string, path string, source_hash string, json string, title string, author string, publisher string, language string")
+    for comic_mode in (False, True):
+        out = recognised(x.withColumn("payload", Y.parsed("json")).drop("json"), Options(comic=comic_mode))
+        files = {r.path: bytes(r.bytes) for r in out["entries"].collect()}
+        opf = files["OEBPS/content.opf"].decode()
+        hrefs = dict(re.findall(r'<item id="([^"]+)" href="([^"]+)"', opf))
+        assert {f"OEBPS/{h}" for h in hrefs.values()} == set(files) - {"mimetype", "META-INF/container.xml", "OEBPS/content.opf"}
+        refs = re.findall(r'<itemref idref="([^"]+)"', opf)
+        assert set(refs) == {i for i, h in hrefs.items() if h.startswith("text/")} and (refs[0] == "cover") is not comic_mode
+        assert ("rendition:spread" in opf and 'prefix="rendition:' in opf) is comic_mode
+
+
 def test_comic_mode(spark):
     import base64
 
