@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 KINDS = ("email", "ip", "card", "phone")
@@ -47,7 +49,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Tagger:
     """Padding (symbol 0) closes the gates, so that states start anew after it and no output depends on how far a row is padded."""
 
-    def __init__(self, hidden: int = 16, seed: int = 0):
+    def __init__(self, hidden: int = 10, seed: int = 0):
         r = np.random.default_rng(seed)
         self.h = hidden
         draw = lambda *shape, scale: (r.standard_normal(shape) * scale).astype(np.float32)
@@ -80,12 +82,15 @@ class Tagger:
             out[:, i] = state
         return out, kept
 
-    def emissions(self, x: np.ndarray) -> np.ndarray:
-        """(positions, labels, rows) for x (rows, positions); features lie outermost, so that every step works on whole rows of memory."""
+    def emissions(self, x: np.ndarray, each: Callable[[int, np.ndarray], None] | None = None) -> np.ndarray:
+        """(positions, labels, rows) for x (rows, positions); features lie outermost, so that every step works on whole rows of memory.
+
+        each: called with each position and its scores, the last first, as soon as these are known.
+        """
         (n, t), h = x.shape, self.h
         at = np.ascontiguousarray(x.T).astype(np.intp)
         out = np.empty((t, LABELS, n), np.float32)
-        out[:] = self.p["bias"][:, None]
+        bias = self.p["bias"][:, None]
         halved = np.repeat(np.float32([0.5, 0.5, 0.5, 1]), h)  # a logistic gate is a tanh of half its argument
         z, fed, told = np.empty((4 * h, n), np.float32), np.empty((4 * h, n), np.float32), np.empty((LABELS, n), np.float32)
         for d, own in (("f", self.p["out"][:h]), ("b", self.p["out"][h:])):
@@ -93,7 +98,7 @@ class Tagger:
             state, cell, new = (np.zeros((h, n), np.float32) for _ in range(3))
             gates, a, f, o, g = z[: 3 * h], z[:h], z[h : 2 * h], z[2 * h : 3 * h], z[3 * h :]
             for i in range(t) if d == "f" else range(t - 1, -1, -1):
-                np.take(wx, at[i], axis=1, out=z, mode="clip")
+                wx.take(at[i], 1, z, "clip")
                 np.matmul(wh, state, out=fed)
                 np.add(z, fed, out=z)
                 np.tanh(z, out=z)
@@ -104,8 +109,15 @@ class Tagger:
                 np.add(cell, new, out=cell)
                 np.tanh(cell, out=new)
                 np.multiply(o, new, out=state)
-                np.matmul(own, state, out=told)
-                np.add(out[i], told, out=out[i])
+                e = out[i]
+                if d == "f":
+                    np.matmul(own, state, out=e)
+                    np.add(e, bias, out=e)
+                else:
+                    np.matmul(own, state, out=told)
+                    np.add(e, told, out=e)
+                    if each is not None:
+                        each(i, e)
         return out
 
     def _bounds(self) -> tuple[np.ndarray, np.ndarray]:
@@ -123,28 +135,33 @@ class Tagger:
         moves = moves + carried[:, None] - carried
         return moves[0, begin], np.maximum(moves[inside, inside], moves[begin, inside])
 
-    def summary(self, e: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """For emissions (positions, labels, rows), by kind and row, over the positions from start to end of each row: the best
-        gain of a span within, the best of one that goes on after them, what a span that covers all gains there, and the best that one which comes in can.
+    def summarised(self, x: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The emissions of x (rows, positions) and, by kind and row, over the positions from start to end of each row: the best gain of
+        a span that begins there and goes no further, of one that goes on, what one that covers all gains there, and what one which comes in gains there at best.
         """
-        first, later = (x[:, None].astype(np.float32) for x in self._bounds())
-        t, _, n = e.shape
-        best = np.full((len(KINDS), n), np.float32(NEVER))
-        last, total, prefix = best.copy(), np.zeros_like(best), np.zeros_like(best)
+        first, later = (x_[:, None].astype(np.float32) for x_ in self._bounds())
+        n, t = x.shape
+        best, last, total, prefix = (np.full((len(KINDS), n), np.float32(v)) for v in (NEVER, NEVER, 0, 0))
+        gain, begun, held = (np.empty((len(KINDS), n), np.float32) for _ in range(3))
         whole = int(start.max(initial=0)), int(end.min(initial=t))
-        for i in range(t):
-            gain, begun = e[i, 2::2] - e[i, 0], e[i, 1::2] - e[i, 0]
-            gain += later
-            begun += first
+
+        def each(i: int, e: np.ndarray) -> None:
+            np.subtract(e[2::2], e[0], out=gain)
+            np.subtract(e[1::2], e[0], out=begun)
+            np.add(gain, later, out=gain)
+            np.add(begun, first, out=begun)
             if not whole[0] <= i < whole[1]:
                 out = (i < start) | (i >= end)
                 gain[:, out], begun[:, out] = 0, NEVER
-            last += gain
-            np.maximum(last, begun, out=last)
-            np.maximum(best, last, out=best)
-            total += gain
-            np.maximum(prefix, total, out=prefix)
-        return np.stack([best, last, total, prefix])
+            np.add(begun, prefix, out=held)
+            np.maximum(best, held, out=best)
+            np.add(begun, total, out=held)
+            np.maximum(last, held, out=last)
+            np.add(total, gain, out=total)
+            np.add(prefix, gain, out=prefix)
+            np.maximum(prefix, 0, out=prefix)
+
+        return self.emissions(x, each), np.stack([best, last, total, prefix])
 
     def live(self, e: np.ndarray) -> np.ndarray:
         """The positions, of emissions (positions, labels), that some span may cover in the best labelling."""

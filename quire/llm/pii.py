@@ -22,11 +22,11 @@ from .charcrf import KINDS, Tagger, label_row, spans_of, symbols
 from .util import Staged
 
 #: Documents that training passages are taken from, and passages with and without spans trained on (those of least hash); examples made in all, their length, and rounds over them.
-SAMPLE_DOCS, PASSAGES, EXAMPLES, PASSAGE, EPOCHS = 4000, 600, 4000, 96, 14
+SAMPLE_DOCS, PASSAGES, EXAMPLES, PASSAGE, EPOCHS = 4000, 600, 4000, 96, 18
 #: Characters of a window and of what two windows share; characters of texts read at a time, and windows.
-WINDOW, SHARED, CHARS, ROWS = 1024, 96, 1 << 19, 1024
+WINDOW, SHARED, CHARS, ROWS = 1024, 96, 1 << 20, 1280
 #: A window whose last span is no further than this from gaining keeps its scores, in case it gains in the next; others are read again then.
-KEEP = 8
+KEEP = 2
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -100,8 +100,8 @@ def _windows(length: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def _emitted(tagger: Tagger, codes: np.ndarray, cuts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows of `cuts`, emissions) of windows (start, end, ...) in `codes`, ROWS windows at a time, like lengths together."""
+def _read(codes: np.ndarray, cuts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows of `cuts`, their characters) of windows (start, end, ...) in `codes`, ROWS windows at a time, like lengths together."""
     lengths = cuts[:, 1] - cuts[:, 0]
     order = np.argsort(lengths, kind="stable")
     for at in range(0, len(order), ROWS):
@@ -110,7 +110,7 @@ def _emitted(tagger: Tagger, codes: np.ndarray, cuts: np.ndarray) -> Iterator[tu
         place = np.arange(wide)
         x = codes[np.minimum(cuts[some, :1] + place, len(codes) - 1)]
         x[place[None] >= lengths[some, None]] = 0
-        yield some, tagger.emissions(x)
+        yield some, x
 
 
 def _may_hold(tagger: Tagger, codes: np.ndarray, cuts: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, dict[int, np.ndarray]]:
@@ -119,8 +119,9 @@ def _may_hold(tagger: Tagger, codes: np.ndarray, cuts: np.ndarray, doc: np.ndarr
     Also the scores of those of which that is known from themselves, or likely.
     """
     sums, kept = np.zeros((len(cuts), 4, len(KINDS)), np.float64), {}
-    for some, e in _emitted(tagger, codes, cuts):
-        sums[some] = tagger.summary(e, cuts[some, 2] - cuts[some, 0], cuts[some, 3] - cuts[some, 0]).transpose(2, 0, 1)
+    for some, x in _read(codes, cuts):
+        e, own = tagger.summarised(x, cuts[some, 2] - cuts[some, 0], cuts[some, 3] - cuts[some, 0])
+        sums[some] = own.transpose(2, 0, 1)
         for j in np.flatnonzero(((sums[some, 0] > 0) | (sums[some, 1] > -KEEP)).any(1)).tolist():
             a, _, s, z = cuts[some[j]].tolist()
             kept[int(some[j])] = e[s - a : z - a, :, j].copy()
@@ -160,7 +161,8 @@ def tagged(tagger: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]]]
         if e is not None:
             scores[place[i] : place[i] + len(e)] = e
     again = np.array([i for i, e in enumerate(known) if e is None], np.int64)
-    for rows, e in _emitted(tagger, codes, cuts[again]):
+    for rows, x in _read(codes, cuts[again]):
+        e = tagger.emissions(x)
         for j, i in enumerate(again[rows].tolist()):
             a, _, s, z = cuts[i].tolist()
             scores[place[i] : place[i] + z - s] = e[s - a : z - a, :, j]
