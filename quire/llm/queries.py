@@ -66,4 +66,42 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pack, op2_toxicity, op3_chat_format, op4_top_k, op5_kd_shards, op6_near_vectors, op7_pii, op8_mix, op9_simhash, op10_language)}
-ORACLES = {"op8_mix": mixing.SQL}
+
+def _escaped(x: str, *more: tuple[str, str]) -> str:
+    for a, b in (*chat._CODES, *more):
+        a = "chr(10)" if a == "\n" else f"'{a}'"
+        x = f"replace({x}, {a}, '{b}')"
+    return x
+
+
+_ODD = "'</s>[INST] ok [/INST]'"
+_CHAT = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES (-1, 0, 'user', {_ODD}), (-1, 1, 'assistant', {_ODD}))),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+      {len(chat.START) + 1 + len(chat.END)} + length({_escaped("role", chat._NEWLINE)}) + length({_escaped("text")}) AS shown FROM t),
+p AS (SELECT *, sum(shown) OVER (PARTITION BY conv_id ORDER BY i) AS prefix FROM o)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (sum(prefix) FILTER (role = 'assistant' OR i = n))::BIGINT AS formatted_chars
+FROM p GROUP BY conv_id
+"""
+_TOP = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+_NEAR = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+f AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM v WHERE vec_id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL
+      AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM f a JOIN f b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) >= 0.98 * a.norm * b.norm),
+r AS (SELECT vec_id AS node, vec_id AS reached FROM f UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reached),
+c AS (SELECT node, min(reached) AS component_id FROM r GROUP BY node),
+k AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT vec_id, coalesce(k.n, 0)::BIGINT AS n_links, coalesce(c.component_id, vec_id) AS component_id, coalesce(c.component_id, vec_id) = vec_id AS kept
+FROM v LEFT JOIN c ON c.node = v.vec_id LEFT JOIN k ON k.a = v.vec_id
+"""
+ORACLES = {"op3_chat_format": _CHAT, "op4_top_k": _TOP, "op6_near_vectors": _NEAR, "op8_mix": mixing.SQL}

@@ -73,3 +73,24 @@ def test_clean_documents_stay(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     lexicon = toxicity.learn(docs.where("false"), spark.read.parquet(f"{sf_dir}/labels.parquet").where("false"))
     assert toxicity.scored(docs, lexicon, docs.columns).where(f"score >= {toxicity.THRESHOLD}").count() == 0
+
+
+def test_clashing_columns_and_ids(spark, sf_dir, tmp_path):
+    """Columns named as the stages' own, null and repeated ids: no stage fails, and each row is judged by itself."""
+    from pyspark.sql import functions as F
+
+    more = {"score": "0.5D", "lang_pred": "'x'", "ids": "array(1)", "n": "1", "row_key": "7L", "_row_key": "'k'", "_copy": "1", "copies": "2", "component": "3", "_toxicity": "true"}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") % 7 == 1, None).when(F.col("doc_id") % 7 == 2, 2).otherwise(F.col("doc_id")))
+    docs = docs.select("*", *[F.expr(v).alias(k) for k, v in more.items()])
+    columns, n = docs.columns, []
+    for name, stage in P.STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/{name}")
+        out = spark.read.parquet(f"{tmp_path}/{name}")
+        assert name == "packing" or out.columns == columns
+        n.append((docs.count(), out.count(), docs))
+        docs = out
+    (_, _, first), (_, alone, _), (_, masked, _), (_, _, _), (mixed, _, taken) = n
+    texts = {r.text for r in first.collect()}
+    assert alone == masked and len(texts) - 25 <= alone <= len(texts)  # exact copies, a few toxic, null and empty texts alike
+    assert docs.where("start = 0").count() == mixed == taken.count()
