@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, gridjoin, kdshard, langid, mixing, packing, pii, simhash, topk, toxicity
+from . import chat, gridjoin, kdshard, langid, lexsearch, mixing, packing, passages, pii, simhash, topk, toxicity, whitening
 from .util import crc32_text, table
 
 
@@ -65,7 +65,20 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_toxicity, op3_chat_format, op4_top_k, op5_kd_shards, op6_near_vectors, op7_pii, op8_mix, op9_simhash, op10_language)}
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.without_repeats(table(spark, sf_dir, "documents"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexsearch.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pack, op2_toxicity, op3_chat_format, op4_top_k, op5_kd_shards, op6_near_vectors, op7_pii, op8_mix, op9_simhash, op10_language, op11_whiten, op12_passages, op13_search)}
+
 
 def _escaped(x: str, *more: tuple[str, str]) -> str:
     for a, b in (*chat._CODES, *more):
@@ -104,4 +117,4 @@ k AS (SELECT a, count(*) AS n FROM e GROUP BY a)
 SELECT vec_id, coalesce(k.n, 0)::BIGINT AS n_links, coalesce(c.component_id, vec_id) AS component_id, coalesce(c.component_id, vec_id) = vec_id AS kept
 FROM v LEFT JOIN c ON c.node = v.vec_id LEFT JOIN k ON k.a = v.vec_id
 """
-ORACLES = {"op3_chat_format": _CHAT, "op4_top_k": _TOP, "op6_near_vectors": _NEAR, "op8_mix": mixing.SQL}
+ORACLES = {"op3_chat_format": _CHAT, "op4_top_k": _TOP, "op6_near_vectors": _NEAR, "op8_mix": mixing.SQL, "op12_passages": passages.SQL, "op13_search": lexsearch.SQL}

@@ -1,0 +1,100 @@
+"""op13 against a plain ranking over all documents."""
+
+import math
+import random
+import re
+from collections import Counter
+
+import pytest
+
+from quire.llm import lexsearch as L
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def plain_terms(text):
+    return TERM.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def plain(docs, items, k=20):
+    counted = [(i, Counter(plain_terms(t))) for i, t in docs]
+    counted = [(i, c, sum(c.values())) for i, c in counted if c]
+    n, total = len(counted), sum(s for *_, s in counted)
+    df = Counter(t for _, c, _ in counted for t in c)
+    out = []
+    for item, text in items:
+        want = Counter(plain_terms(text))
+        scores = []
+        for i, c, size in counted:
+            m = 75 + 25 * size * n // total
+            score = sum(times * math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 12 * m)) for t, times in want.items() if t in c)
+            if score > 0:
+                scores.append((-score, i is None, i or 0, i))
+        out += [(item, r, s[3], -s[0]) for r, s in enumerate(sorted(scores)[:k], 1)]
+    return sorted(out, key=repr)
+
+
+def made(seed, n):
+    rng = random.Random(seed)
+    words = [f"w{j}" for j in range(200)] + ["Über", "naïve", "ÉTÉ", "x1", "日本"]
+    text = lambda m: " ".join(words[min(int(rng.expovariate(0.03)), 204)] + rng.choice(["", ".", ",", "-a"]) for _ in range(m))
+    docs = [(i, text(rng.choice([1, 5, 30, 200]))) for i in range(n)]
+    docs += [(n + i, docs[0][1]) for i in range(n // 2)]  # a third of all rows alike: ties
+    docs += [(None, text(20)), (None, docs[0][1]), (3, text(9)), (3, docs[3][1]), (-5, None), (-6, ""), (-7, " .,;!"), (-8, text(9000))]
+    items = [(i, text(12)) for i in range(15)] + [(3, text(4)), (3, text(4)), (50, None), (51, "?!"), (52, "w1 w1 W1 w1 unknownterm"), (None, text(3))]
+    return docs, items
+
+
+def shown(df):
+    return sorted(((r.item_id, r.rank, r.doc_id, r.score) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("vocabulary", [True, False])
+def test_same_as_plain(spark, vocabulary, monkeypatch):
+    docs, items = made(4, 120)
+    d = spark.createDataFrame([(*x, 1, "y") for x in docs], "doc_id long, text string, TERM int, q string").repartition(3)
+    i = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, rank int")
+    found = L.ranked(d, i) if vocabulary else L.search(L.index(d), i)
+    assert shown(found) == plain(docs, items)
+
+
+def test_blocks_of_queries(spark, monkeypatch):
+    docs, items = made(9, 60)
+    monkeypatch.setattr(L, "QUERIES", 4)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame(items, "item_id long, text string")
+    assert shown(L.ranked(d, i, 5)) == plain(docs, items, 5)
+
+
+def test_bounds_hold():
+    """A byte's bounds enclose the exact score, and no impact needs more than a byte."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    tfs, sizes = rng.integers(1, 5000, 2000), rng.integers(75, 3000, 2000)
+    exact = L._impacts(tfs, sizes)
+    rounded = -(-exact // L.STEP)
+    assert rounded.max() <= 255 and -(-999_999 // L.STEP) <= 255
+    low, high = L._bounds([(0, 0, 7)], 1, 2000, np.array([0, 2000]), np.arange(2000), rounded)
+    assert (low[0] <= 7 * exact).all() and (7 * exact <= high[0]).all()
+
+
+def test_few_documents_are_rescored(spark):
+    """Bounds leave most documents out: those above the cutoff are few."""
+    import numpy as np
+
+    docs, items = made(7, 600)
+    found = L.index(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert found.n == sum(bool(plain_terms(t)) for _, t in docs) and found.total == sum(len(plain_terms(t)) for _, t in docs)
+    got = {bytes(r.term).decode(): r.df for r in found.frequencies.collect()}
+    assert got == Counter(t for _, x in docs for t in set(plain_terms(x)))
+    assert all(np.frombuffer(r.impacts, np.uint8).min(initial=255) > 0 for r in found.blocks.collect())
+
+
+def test_empty(spark):
+    docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    assert L.ranked(docs, items).count() == 0
+    some = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    assert L.ranked(some, items.where("item_id > 1")).count() == 0
+    assert shown(L.ranked(some, items)) == plain([(1, "a b"), (2, None)], [(1, "a b")])
+    assert L.ranked(some.where("doc_id = 2"), items).count() == 0

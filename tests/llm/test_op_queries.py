@@ -27,6 +27,9 @@ COLUMNS = {
     "op8_mix": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
     "op9_simhash": "doc_id bigint, fingerprint string, component_id bigint",
     "op10_language": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op11_whiten": "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double",
+    "op12_passages": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
+    "op13_search": "item_id bigint, rank int, doc_id bigint, score bigint",
 }
 
 
@@ -48,7 +51,7 @@ def rows(spark):
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "labels", "conversations"):
+    for t in ("documents", "embeddings", "labels", "conversations", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     return con
 

@@ -1,0 +1,99 @@
+"""op11 against exact rational covariances and plain numpy."""
+
+import random
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from quire.llm import whitening
+
+
+def plain(rows, components=16):
+    """The same from Python's integers; rows: (vec_id, list or None)."""
+    sound = [(i, [int(np.floor(64 * float(c))) + 1_000_000 for c in v]) for i, v in rows if v is not None and all(c is not None and np.isfinite(c) for c in v)]
+    d = max(len(x) for _, x in sound)
+    sound = [(i, (*x, *[1_000_000] * (d - len(x)))) for i, x in sound]
+    fit = sorted({x for _, x in sound})
+    n, sums = len(fit), [sum(c) for c in zip(*fit, strict=True)]
+    y = {x: [n * a - s for a, s in zip(x, sums, strict=True)] for x in fit}
+    cov = [[Fraction(sum(y[x][i] * y[x][j] for x in fit), n**3) for j in range(d)] for i in range(d)]
+    e, v = np.linalg.eigh(np.array([[float(c) for c in r] for r in cov]))
+    e, v = e[::-1], v[:, ::-1]
+    trace = float(sum(cov[i][i] for i in range(d)))
+    return [(i, k, n, sum(c * c for c in y[x]), float(np.array([c / n for c in y[x]]) @ v[:, k] / np.sqrt(e[k])), e[k] / trace) for i, x in sound for k in range(min(components, d))]
+
+
+def test_same_as_plain(spark):
+    rng = random.Random(5)
+    scale = [0.9**j for j in range(20)]
+    rows = [(i, [float(np.float32(rng.gauss(0, s))) for s in scale]) for i in range(300)]
+    rows += [(400 + i, rows[i % 3][1]) for i in range(150)]  # a third are copies
+    rows += [(600, None), (601, [1.0, None] * 10), (602, [float("nan")] * 20), (603, [float("inf")] * 20), (None, rows[0][1]), (5, rows[7][1]), (604, [0.25]), (605, [])]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, X string")
+    got = whitening.whiten(df).collect()
+    want = plain(rows)
+    key = lambda r: (r[0] is None, r[0] or 0, r[3], r[1])
+    got = sorted(((r.vec_id, r.component - 1, r.n, r.deviation, r.whitened, r.explained) for r in got), key=key)
+    want = sorted(want, key=key)
+    assert [g[:4] for g in got] == [w[:4] for w in want]
+    signs = {}
+    for g, w in zip(got, want, strict=True):
+        sign = signs.setdefault(g[1], 1 if g[4] * w[4] > 0 else -1)
+        assert g[4] == pytest.approx(sign * w[4], abs=1e-7) and g[5] == pytest.approx(w[5], rel=1e-9)
+
+
+def test_identity_error_is_one_small_value(spark):
+    rng = random.Random(2)
+    df = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(100)], "vec_id long, embedding array<double>")
+    got = whitening.whiten(df, components=3).collect()
+    assert {r.component for r in got} == {1, 2, 3} and len(got) == 300
+    assert len({r.identity_error for r in got}) == 1 and got[0].identity_error < 1e-9
+
+
+def test_limbs_are_exact():
+    rng = random.Random(1)
+    for bits in (5, 19, 20, 21, 40, 61, 70, 130):
+        rows = [[rng.randrange(-(1 << bits), 1 << bits) for _ in range(3)] for _ in range(50)]
+        y = np.array(rows, np.int64 if bits < 63 else object)
+        want = [[sum(r[i] * r[j] for r in rows) for j in range(3)] for i in range(3)]
+        assert whitening.gram(y).tolist() == want
+    edge = np.array([[-(1 << 20), (1 << 20) - 1, -1, -(1 << 40)]], np.int64)
+    assert whitening.gram(edge).tolist() == [[int(a) * int(b) for b in edge[0]] for a in edge[0]]
+
+
+def test_entries_of_any_size(spark):
+    rows = [(i, [1e300 * (-1) ** i, 1e15 * i, float(i * i)]) for i in range(9)]
+    got = whitening.whiten(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(got) == 27 and all(r.deviation is None for r in got)
+    assert all(np.isfinite(r.whitened) for r in got if r.component == 1)
+
+
+def test_close_eigenvalues_are_parted():
+    """Vectors of eigenvalues a billionth apart are found to double precision."""
+    d = 6
+    q, _ = np.linalg.qr(np.random.default_rng(3).normal(size=(d, d)))
+    e = np.array([1 + 1e-9 * i for i in range(d)])
+    wide = q.astype(np.longdouble)
+    for _ in range(3):  # orthonormal to the last bit of an extended double
+        wide = wide @ (1.5 * np.eye(d, dtype=np.longdouble) - 0.5 * wide.T @ wide)
+    exact = (wide * e.astype(np.longdouble)) @ wide.T
+    scaled = [[int(np.rint(x * np.longdouble(2) ** 63)) for x in row] for row in exact]
+    _, v, _ = whitening.eigen(scaled)
+    order = np.argsort(-e)
+    assert np.abs(np.abs((v.T @ wide[:, order]).astype(float)) - np.eye(d)).max() < 1e-8
+
+
+def test_what_does_not_differ(spark):
+    same = spark.createDataFrame([(i, [0.5, 0.25]) for i in range(5)], "vec_id long, embedding array<float>")
+    got = whitening.whiten(same).collect()
+    assert len(got) == 10 and all((r.whitened, r.explained, r.identity_error, r.deviation, r.n) == (None, 0.0, 0.0, 0, 1) for r in got)
+    flat = spark.createDataFrame([(i, [float(i), 2.0 * i]) for i in range(5)], "vec_id long, embedding array<float>")
+    got = whitening.whiten(flat).collect()
+    assert {r.component for r in got if r.whitened is None} == {2} and all(r.identity_error < 1e-12 for r in got)
+
+
+def test_empty(spark):
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert whitening.whiten(none).count() == 0
+    assert whitening.whiten(spark.createDataFrame([(1, []), (2, None)], "vec_id long, embedding array<float>")).count() == 0
