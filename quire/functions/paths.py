@@ -81,10 +81,12 @@ def version_parts(version: Column | str) -> Column:
     return F.transform(F.split(x, r"\."), lambda p: F.coalesce(p.try_cast("bigint"), F.lit(0).cast("bigint")))
 
 
-def is_newer(version: Column | str, than: Column | str, parts: int = 8) -> Column:
-    """Compares number by number; missing ones are 0."""
-    pad = lambda v: F.slice(F.concat(version_parts(v), F.array_repeat(F.lit(0).cast("bigint"), parts)), 1, parts)
-    return pad(version) > pad(than)
+def is_newer(version: Column | str, than: Column | str) -> Column:
+    """Compares number by number, however many there are; missing ones are 0."""
+    a, b = version_parts(version), version_parts(than)
+    pair = F.zip_with(a, b, lambda x, y: F.struct(F.coalesce(x, F.lit(0)).alias("a"), F.coalesce(y, F.lit(0)).alias("b")))
+    differs = F.filter(pair, lambda p: p["a"] != p["b"])
+    return F.coalesce(F.get(differs, F.lit(0))["a"] > F.get(differs, F.lit(0))["b"], F.lit(False))
 
 
 def is_release_url(url: Column | str, host: str = "github.com", root: str = "/") -> Column:

@@ -81,9 +81,12 @@ def subjects(sources: DataFrame) -> DataFrame:
     alike = F.array_compact(F.transform("subjects", lambda s: T.clean_value(s)))
 
     def once(every: Column) -> Column:
-        low = F.transform(every, lambda s: F.lower(s))
-        first = F.map_from_arrays(F.array_distinct(low), F.transform(F.array_distinct(low), lambda x: F.array_position(low, x)))
-        return F.transform(F.map_values(first), lambda i: F.element_at(every, i.cast("int")))
+        """Each text's first spelling, in the order of their places: sorted, what equals the one before goes."""
+        placed = F.sort_array(F.transform(every, lambda s, i: F.struct(F.lower(s).alias("low"), i.alias("at"), s.alias("text"))))
+        none = F.array(F.lit(None).cast("struct<low:string,at:int,text:string>"))
+        met = F.arrays_zip(placed.alias("own"), F.concat(none, F.slice(placed, 1, F.greatest(F.size(every) - 1, F.lit(0)))).alias("before"))
+        first = F.filter(met, lambda m: ~m["own"]["low"].eqNullSafe(m["before"]["low"]))
+        return F.transform(F.sort_array(F.transform(first, lambda m: F.struct(m["own"]["at"].alias("at"), m["own"]["text"].alias("text")))), lambda m: m["text"])
 
     x = sources.select("doc_id", "src", alike.alias("own")).where(F.size("own") > 0)
     by = x.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("src", "own"))).alias("of"))

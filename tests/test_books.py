@@ -23,7 +23,7 @@ def test_scan_and_formats(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     for name, data in (("b.pdf", b"%PDF-1.4\n"), ("a.CBZ", b"PK\x03\x04x"), ("c.pdf", b"nothing"), ("d.txt", b"%PDF-"), ("sub/e.pdf", b"%PDF-1.7")):
         (tmp_path / name).write_bytes(data)
-    flat = K.detected(K.scan(spark, str(tmp_path))).collect()
+    flat = K.detected(K.scan(spark, str(tmp_path))).orderBy(P.path_key("path")).collect()
     assert [(r.path.rpartition("/")[2], r.format, r.error and r.error.exit_code) for r in flat] == [("a.CBZ", "cbz", None), ("b.pdf", "pdf", None), ("c.pdf", None, 2)]
     assert K.scan(spark, str(tmp_path), recursive=True).count() == 4
 
