@@ -6,7 +6,6 @@ import io
 import re
 import struct
 import xml.parsers.expat as expat
-import zipfile
 import zlib
 from collections.abc import Iterator
 
@@ -19,6 +18,8 @@ from quire.functions import paths as P, text as T
 from quire.operators import archive as A
 from quire.session import reachable
 
+from . import archives as Z
+
 
 def scan(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
     """(path, content, source_hash) of the books in a folder, in any order. Other files are not read."""
@@ -92,58 +93,52 @@ def pdf_metadata(books: DataFrame) -> DataFrame:
     return x.select("path", F.coalesce(info("Title"), xmp("dc:title")).alias("title"), F.coalesce(info("Author"), xmp("dc:creator")).alias("author"), F.coalesce(info("Publisher"), xmp("dc:publisher")).alias("publisher"), F.coalesce(info("Subject"), xmp("dc:description")).alias("description"), F.coalesce(info("Lang"), xmp("dc:language")).alias("language"), subjects.alias("subjects"))
 
 
-ENTRY = "archive string, entry_index int, path string, is_dir boolean, unix_mode int, encrypted boolean, declared_size long, compressed_size long"
+ENTRY = Z.ENTRY
 
 
 def entries(books: DataFrame) -> DataFrame:
     """ENTRY rows from the central directories of (path, content); what is no archive has one row without path."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in ENTRY.split(", ")]
         for b in batches:
-            for archive, content in zip(b["path"], b["content"], strict=True):
+            for archive, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                data = content.as_py()
                 try:
-                    infos = zipfile.ZipFile(io.BytesIO(content)).infolist()
-                    rows = [(archive, i, x.filename, x.is_dir(), x.external_attr >> 16, bool(x.flag_bits & 1), x.file_size, x.compress_size) for i, x in enumerate(infos)]
-                except zipfile.BadZipFile:
-                    rows = [(archive, None, None, None, None, None, None, None)]
-                yield pd.DataFrame(rows, columns=names)
+                    rows = [(archive, e.index, e.path, e.is_dir, e.unix_mode, e.encrypted, e.declared, e.compressed) for e in Z.directory(io.BytesIO(data), len(data))]
+                except Z.BadArchive:
+                    rows = [(archive, *[None] * 7)]
+                yield Z.batch(rows, names, ENTRY)
 
     reachable(books.sparkSession)
-    return books.select("path", "content").mapInPandas(run, ENTRY)
+    return books.select("path", "content").mapInArrow(run, ENTRY)
 
 
 def contents(books: DataFrame, entry_rows: DataFrame | None = None) -> DataFrame:
-    """(archive, entry_index, path, bytes, error): each file read within its limits, its checksum and declared size held against what came out.
+    """(archive, entry_index, path, bytes, error): each file read within its limits, its checksum, ratio and declared size held against what came out. Of what no page can be, the bytes are checked and not kept.
 
-    Archives that break a rule of their directory are not opened: entry_rows, if given, are checked first.
+    Archives that break a rule of their directory are not opened: entry_rows, if given, are checked first. Archives too large for a row are read by sources.archives.
     """
     if entry_rows is not None:
         bad = A.verdicts(entry_rows).where("broken is not null").select(F.col("archive").alias("path"))
         books = books.join(bad, "path", "left_anti")
+    kinds = "archive string, entry_index int, path string, bytes binary, error string"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in kinds.split(", ")]
         for b in batches:
-            for archive, content in zip(b["path"], b["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    total = 0
-                    for i, x in enumerate(z.infolist()):
-                        if x.is_dir():
-                            continue
-                        data, why = None, None
-                        try:
-                            most = min(A.MAX_ENTRY, A.MAX_TOTAL - total) + 1
-                            with z.open(x) as f:
-                                data = f.read(min(most, x.file_size + 1))
-                                why = "size differs from declared" if len(data) != x.file_size or f.read(1) else None
-                            total += len(data)
-                            why = why or ("too large" if len(data) >= most else None)
-                        except (zipfile.BadZipFile, RuntimeError, zlib.error, NotImplementedError, EOFError) as e:
-                            why = f"{type(e).__name__}: {e}"
-                        yield pd.DataFrame([(archive, i, x.filename, None if why else data, why)], columns=["archive", "entry_index", "path", "bytes", "error"])
+            for archive, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                data = content.as_py()
+                f = io.BytesIO(data)
+                try:
+                    files = [e for e in Z.directory(io.BytesIO(data), len(data)) if not e.is_dir]
+                except Z.BadArchive:
+                    continue
+                for e in files:
+                    yield Z.batch([(archive, e.index, e.path, *Z.content(f, e, not Z.is_junk(e.path)))], names, kinds)
 
     reachable(books.sparkSession)
-    return books.select("path", "content").mapInPandas(run, "archive string, entry_index int, path string, bytes binary, error string")
+    return books.select("path", "content").mapInArrow(run, kinds)
 
 
 def probe_image(data: bytes | None) -> tuple:
