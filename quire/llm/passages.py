@@ -100,6 +100,11 @@ def around(found: np.ndarray, n: int, width: int, cover: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(marks)[: max(0, n - width + 1)])
 
 
+def positions(at: pa.Scalar, every: pa.Scalar) -> np.ndarray:
+    """What _repeated() found in a document."""
+    return np.concatenate([np.array(at.as_py() or [], np.int64), *(np.frombuffer(x, "<i4") for x in every.as_py() or [])])
+
+
 def pack(text: bytes) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(text)
 
@@ -109,9 +114,10 @@ def unpack(packed: bytes) -> bytes:
 
 
 def _repeated(docs: DataFrame, starts: Callable[[np.ndarray, int], np.ndarray], width: int, lanes: int) -> DataFrame:
-    """(row, at array<int>, every array<int>): positions of each of `docs` (row, packed, found, settled) whose window of `width` words occurs elsewhere among the positions that starts() gives.
+    """(row, at array<int>, every array<binary>): positions, `every` as 32-bit integers, of each of `docs` (row, packed, at, every, settled) whose window of `width` words occurs elsewhere among the positions that starts() gives.
 
-    `settled` documents only tell others: all of theirs are known to recur. `at` comes from meeting others' windows, `every` from those in the same task.
+    `settled` documents only tell others: all of theirs are known to recur. `at` comes from meeting others' windows, `every` from those in the same task
+    (as bytes: rows with arrays are slow to hand over).
     """
     keys = [f"h{i}" for i in range(lanes)]
     names = [*keys, "row", "at", "known", "every"]
@@ -139,13 +145,13 @@ def _repeated(docs: DataFrame, starts: Callable[[np.ndarray, int], np.ndarray],
             by = np.split(at[twice], np.flatnonzero(np.diff(doc[twice])) + 1) if len(own) else []
             m = len(own)
             spread = [pa.array(np.concatenate([x[one], ids[own]])) for x in h]  # rows with positions go anywhere
-            every = pa.array([*[None] * len(one), *[x.astype(np.int32) for x in by]], pa.list_(pa.int32()))
+            every = pa.array([*[None] * len(one), *[x.astype("<i4").tobytes() for x in by]], pa.binary())
             return pa.RecordBatch.from_arrays([*spread, pa.array(np.concatenate([ids[doc[one]], ids[own]])), pa.array(np.concatenate([at[one], np.full(m, -1)]).astype(np.int32)), pa.array(np.concatenate([often, np.ones(m, bool)])), every], names)
 
         for b in batches:
-            for row, packed, found, known in zip(*(b.column(i) for i in range(4)), strict=True):
+            for row, packed, at, every, known in zip(*(b.column(i) for i in range(5)), strict=True):
                 words = words_of(unpack(packed.as_py()))
-                where = starts(np.array(found.as_py() or [], np.int64), len(words))
+                where = starts(positions(at, every), len(words))
                 if len(where):
                     held.append((row.as_py(), where, hasher.windows(words, where, width, lanes), known.as_py()))
                     n += len(where)
@@ -160,7 +166,7 @@ def _repeated(docs: DataFrame, starts: Callable[[np.ndarray, int], np.ndarray],
         last: tuple | None = None  # the hashes of the row before, its document and position, and whether it may still wait for an answer
 
         def answer(row: list, at: list, every: pa.Array | None = None) -> pa.RecordBatch:
-            every = pa.nulls(len(row), pa.list_(pa.int32())) if every is None else every
+            every = pa.nulls(len(row), pa.binary()) if every is None else every
             return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(at, pa.int32()), every], ["row", "at", "every"])
 
         for b in batches:
@@ -187,9 +193,9 @@ def _repeated(docs: DataFrame, starts: Callable[[np.ndarray, int], np.ndarray],
             last = (h[:, -1].copy(), int(row[-1]), int(at[-1]), wait)
             yield answer(row[hit], at[hit])
 
-    told = docs.select("row", "packed", "found", "settled").mapInArrow(tell, ", ".join([*(f"{k} long" for k in keys), "row long", "at int", "known boolean", "every array<int>"]))
-    met = told.repartition(parts(docs.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(meet, "row long, at int, every array<int>")
-    return met.groupBy("row").agg(F.collect_list("at").alias("at"), F.flatten(F.collect_list("every")).alias("every"))
+    told = docs.select("row", "packed", "at", "every", "settled").mapInArrow(tell, ", ".join([*(f"{k} long" for k in keys), "row long", "at int", "known boolean", "every binary"]))
+    met = told.repartition(parts(docs.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(meet, "row long, at int, every binary")
+    return met.groupBy("row").agg(F.collect_list("at").alias("at"), F.collect_list("every").alias("every"))
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
@@ -235,22 +241,22 @@ def without_repeats(docs: DataFrame, width: int = 35, texts: bool = False) -> Da
     # documents with the same words: all of them go if they have a window, and one tells the others
     same = rows.where(long).groupBy("words_sha256", "n_words").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     copies = staged.put(rows.join(same, ["words_sha256", "n_words"]).select("row", (F.col("row") == F.col("first")).alias("tells")))
-    empty = F.array().cast("array<int>")
-    near = _repeated(whole.where(long).select("row", "packed", empty.alias("found"), F.lit(False).alias("settled")), lambda _, n: anchors(n, width, cover), width - cover + 1, 1)
-    marked = near.select("row", F.concat("at", "every").alias("found"), F.lit(None).cast("boolean").alias("tells")).unionAll(copies.select("row", empty, "tells"))
-    marked = marked.groupBy("row").agg(F.flatten(F.collect_list("found")).alias("found"), F.max("tells").alias("tells"))
-    asking = staged.put(whole.select("row", "packed").join(marked.where("tells IS NULL OR tells"), "row").select("row", "packed", "found", F.coalesce("tells", F.lit(False)).alias("settled")))
+    none, nothing = F.array().cast("array<int>").alias("at"), F.array().cast("array<binary>").alias("every")
+    near = _repeated(whole.where(long).select("row", "packed", none, nothing, F.lit(False).alias("settled")), lambda _, n: anchors(n, width, cover), width - cover + 1, 1)
+    marked = near.select("row", "at", "every", F.lit(None).cast("boolean").alias("tells")).unionAll(copies.select("row", none, nothing, "tells"))
+    marked = marked.groupBy("row").agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("every")).alias("every"), F.max("tells").alias("tells"))
+    asking = staged.put(whole.select("row", "packed").join(marked.where("tells IS NULL OR tells"), "row").select("row", "packed", "at", "every", F.coalesce("tells", F.lit(False)).alias("settled")))
     if not texts:
         staged.drop(whole)
     found = _repeated(asking, lambda found, n: around(found, n, width, cover), width, 2)
-    own = asking.where("not settled").select("row", "packed").join(found.select("row", F.concat("at", "every").alias("found")), "row")
+    own = asking.where("not settled").select("row", "packed").join(found, "row")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 some = b.slice(at, 256)
                 before = [words_of(unpack(p.as_py())) for p in some.column(1)]
-                after = [_kept_words(w, np.array(f.as_py(), np.int64), width) for w, f in zip(before, some.column(2), strict=True)]
+                after = [_kept_words(w, positions(x, y), width) for w, x, y in zip(before, some.column(2), some.column(3), strict=True)]
                 kept = [b" ".join(w) for w in after]
                 columns = [some.column(0), pa.array([len(x) - len(y) for x, y in zip(before, after, strict=True)], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
                 shown = [pa.array([k.decode() for k in kept], pa.string())] if texts else []
