@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from quire.functions import paths as P, text as T
 from quire.session import Staged
@@ -65,23 +64,40 @@ def output_paths(jobs: DataFrame) -> DataFrame:
 
 
 def unique_paths(jobs: DataFrame) -> DataFrame:
-    """As output_paths, but probing past names that other jobs have taken before. A folder's jobs are settled together, one at a time."""
-
-    def settle(group):
-        group = group.sort_values("input_order", kind="stable")
-        used: set[str] = set()
-        out = []
-        for path in group["candidate"]:
-            stem, n, now = path.removesuffix(".epub"), 2, path
-            while now.lower() in used:
-                now, n = f"{stem}-{n}.epub", n + 1
-            used.add(now.lower())
-            out.append(now)
-        return group.assign(output_path=out)
-
-    x = jobs.withColumn("candidate", P.with_extension("path")).withColumn("_dir", F.lower(F.regexp_replace("candidate", r"[^/]*\z", "")))
-    kinds = StructType([*x.schema.fields, StructField("output_path", StringType())])
-    return x.groupBy("_dir").applyInPandas(settle, kinds).drop("_dir")
+    """As output_paths, but probing past names that other jobs have taken before: each job, in input order (which must be unique), takes the first of candidate, candidate-2, candidate-3 ... that is free.
+
+    Found by rounds over tables: each job asks for a name, the earliest in input order holds it, and the others ask for a later one. As all names prefer
+    the same jobs, that ends where taking turns would. A job starts at its place among those of its own candidate, which no
+    turn can undercut, and skips whole runs of numbers that earlier jobs hold, so rounds are few. Only names that could meet take part.
+    """
+    staged = Staged(jobs.sparkSession, "paths")
+    x = jobs.withColumn("candidate", P.with_extension("path")).withColumn("_low", F.lower(F.regexp_replace("candidate", r"\.epub\z", "")))
+    x = staged.put(x.withColumn("_root", F.regexp_replace("_low", r"(-[0-9]+)+\z", "")))
+    shared = x.groupBy("_root", "_low").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_root").distinct()
+    own = W.partitionBy("low").orderBy("at")
+    state = x.join(shared, "_root", "left_semi").select(F.col("input_order").alias("at"), F.col("_low").alias("low"))
+    state = staged.put(state.withColumn("n", F.row_number().over(own).cast("long")))
+    while True:
+        asked = state.withColumn("name", F.when(F.col("n") == 1, F.col("low")).otherwise(F.concat("low", F.lit("-"), F.col("n").cast("string"))))
+        asked = staged.put(asked.withColumn("holder", F.min("at").over(W.partitionBy("name"))))
+        lost = asked.where("at <> holder")
+        if lost.isEmpty():
+            break
+        # runs of numbers that are held by jobs before all of a name's losers
+        least = lost.groupBy("low").agg(F.min("at").alias("least"))
+        held = asked.where("at = holder").select("at", F.regexp_extract("name", r"^(.*)-([1-9][0-9]{0,17})\z", 1).alias("low"), F.regexp_extract("name", r"-([1-9][0-9]{0,17})\z", 1).try_cast("long").alias("k")).where("k > 1")
+        held = held.join(least, "low").where("at < least").select("low", "k").withColumn("run", F.col("k") - F.row_number().over(W.partitionBy("low").orderBy("k")))
+        runs = held.groupBy(F.col("low").alias("_l"), "run").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
+        moved = lost.join(runs, (F.col("low") == F.col("_l")) & (F.col("n") + 1 >= F.col("lo")) & (F.col("n") + 1 <= F.col("hi")), "left").select("at", "low", (F.coalesce("hi", "n") + 1).alias("n"))
+        after = asked.where("at = holder").select("at", "low", "n").unionByName(moved)
+        rank = F.row_number().over(own)
+        after = staged.put(after.select("at", "low", (rank + F.max(F.col("n") - rank).over(own.rowsBetween(W.unboundedPreceding, 0))).alias("n")))
+        staged.drop(state)
+        staged.drop(asked)
+        state = after
+    numbered = F.concat(F.regexp_replace("candidate", r"\.epub\z", ""), F.lit("-"), F.col("n").cast("string"), F.lit(".epub"))
+    met = x.join(state.select(F.col("at").alias("input_order"), "n"), "input_order", "left")
+    return met.withColumn("output_path", F.when(F.coalesce("n", F.lit(1)) == 1, F.col("candidate")).otherwise(numbered)).select(*jobs.columns, "candidate", "output_path")
 
 
 def validation(reports: DataFrame, fail_on_warnings: bool = False) -> DataFrame:

@@ -17,8 +17,7 @@ from quire.operators import archive as A, batch as B, epub as E, metadata as M
 from quire.operators.pages import metadata_sample
 from quire.session import Staged, make_folder
 from quire.sinks import epub as S
-from quire.sources import books as K, payloads as Y, providers as V
-from quire.sources.schemas import METADATA
+from quire.sources import archives as Z, books as K, payloads as Y, providers as V
 
 from . import convert
 
@@ -44,20 +43,14 @@ class Settings(convert.Options):
 def _answers(keyed: DataFrame, contents: DataFrame, cache: str, provider: Callable[[bytes, dict], str] | None, settings: Settings, staged: Staged) -> DataFrame:
     """keyed (doc_id, cache_key ...) with payload and cache_hit. What no cache holds goes to the provider; its answers are in the cache before anything reads them, so no retry of a later step pays twice."""
     spark = keyed.sparkSession
-    make_folder(spark, f"{cache}/answers")
-
-    def held() -> DataFrame:
-        stored = spark.read.schema("cache_key string, payload string").json(f"{cache}/answers")
-        own = stored.groupBy("cache_key").agg(F.max("payload").alias("json")).select("cache_key", Y.parsed("json").alias("payload"))
-        files = Y.read_cache(spark, cache).where("payload is not null")  # <key>.ocr.json, of other programs
-        return own.where("payload is not null").unionByName(files.join(own.where("payload is not null"), "cache_key", "left_anti"))
-
-    known = held().where("false") if settings.no_cache else held()
-    hits = staged.put(B.cached(keyed, known).select("doc_id", "cache_key", "cache_hit"))
+    place = f"{staged.root}/answers" if settings.no_cache else cache
+    make_folder(spark, place)
+    held = lambda: Y.read_cache(spark, place).where("payload is not null")
+    hits = staged.put(B.cached(keyed, held()).select("doc_id", "cache_key", "cache_hit"))
     if provider is not None:
         missing = hits.where("not cache_hit").join(contents.select("doc_id", "content"), "doc_id")
-        answers = V.recognised(missing, provider, {"model": settings.model, "table_format": settings.table_format})
-        answers.where("json is not null").select("cache_key", F.col("json").alias("payload")).write.mode("append").json(f"{cache}/answers")
+        answers = V.recognised(missing, provider, {"model": settings.model, "table_format": settings.table_format, "extract_header": settings.extract_header, "extract_footer": settings.extract_footer})
+        Y.write_cache(answers.where("json is not null").select("cache_key", "json"), place)
     return staged.put(keyed.join(held(), "cache_key", "left").join(hits.select("doc_id", "cache_hit"), "doc_id"))
 
 
@@ -76,16 +69,11 @@ def _generated(known: DataFrame, info: DataFrame, cache: str, model: Callable[[b
     record = M.merge(known.fillna({"language": settings.language}), cover, info, none).join(info.select("doc_id", F.col("language").alias("pdf_language"), "subjects"), "doc_id", "left")
     jobs = staged.put(M.missing(record).select("doc_id", "needs_generation").join(known.select("doc_id", "cache_key"), "doc_id").where("needs_generation"))
 
-    def held() -> DataFrame:
-        kept = Y.read_cache(spark, cache, "metadata").where("payload is not null")
-        stored = spark.read.schema("cache_key string, payload string").json(f"{cache}/metadata").groupBy("cache_key").agg(F.max("payload").alias("json"))
-        own = stored.select("cache_key", F.from_json("json", METADATA).alias("payload")).where("payload is not null")
-        return own.unionByName(kept.join(own, "cache_key", "left_anti"))
-
-    make_folder(spark, f"{cache}/metadata")
-    asked = jobs if settings.no_cache else jobs.join(held(), "cache_key", "left_anti")
-    said = with_generated(asked, pages, model).join(jobs.select("doc_id", "cache_key"), "doc_id")
-    said.select("cache_key", F.to_json(F.struct(*M.FIELDS, "subjects")).alias("payload")).write.mode("append").json(f"{cache}/metadata")
+    place = f"{staged.root}/metadata" if settings.no_cache else cache
+    make_folder(spark, place)
+    held = lambda: Y.read_cache(spark, place, "metadata").where("payload is not null")
+    said = with_generated(jobs.join(held(), "cache_key", "left_anti"), pages, model).join(jobs.select("doc_id", "cache_key"), "doc_id")
+    Y.write_cache(said.select("cache_key", F.to_json(F.struct(*M.FIELDS, "subjects")).alias("json")), place, "metadata")
     return staged.put(jobs.join(held(), "cache_key").select("doc_id", "payload.*"))
 
 
@@ -96,13 +84,17 @@ def convert_folder(spark: SparkSession, folder: str, out: str, cache: str, provi
     """
     settings, staged = settings or Settings(), Staged(spark, "folder")
     root = folder.rstrip("/") if "://" in folder else os.path.abspath(folder)
-    found = K.detected(K.scan(spark, root, settings.recursive))
-    relative = F.substring(F.regexp_replace("path", "^[a-z]+:/*", "/"), len(re.sub("^[a-z]+:/*", "/", root)) + 2, 2**31 - 1)
-    named = B.numbered(found.select(F.col("path").alias("uri"), relative.alias("path"), "source_hash", "format", F.col("error.message").alias("why")), P.path_key("uri"), "input_order", staged)
-    jobs = staged.put(B.unique_paths(named).withColumn("doc_id", F.sha2(F.col("path").cast("binary"), 256)).withColumn("source_path", F.regexp_replace("uri", "^[a-z]+:/*", "/")))
-    contents = jobs.where("format is not null").join(found.select(F.col("path").alias("uri"), "content"), "uri")
-
-    pdf = contents.where("format = 'pdf'")
+    plain = lambda c: F.regexp_replace(c, "^[a-z]+:/*", "/")
+    relative = lambda c: F.substring(plain(c), len(re.sub("^[a-z]+:/*", "/", root)) + 2, 2**31 - 1)
+    doc_id = lambda c: F.sha2(relative(c).cast("binary"), 256)  # noqa: E731  of a path alone: nothing is joined to bytes for it
+    pdfs = K.scan(spark, root, settings.recursive, "[pP][dD][fF]")
+    found = K.detected(pdfs.unionByName(Z.read(spark, root, "files", settings.recursive, extensions=".cbz").select("path", "content", "source_hash")))
+    refused = F.when((F.col("format") == "cbz") & settings.comic, F.lit("comic mode is for PDF files alone: archives are always rendered as page images"))
+    rows = found.select(F.col("path").alias("uri"), relative("path").alias("path"), "source_hash", "format", F.coalesce("error.message", refused).alias("why"))
+    named = B.numbered(rows, P.path_key("uri"), "input_order", staged)
+    jobs = staged.put(B.unique_paths(named).withColumn("doc_id", doc_id("uri")).withColumn("source_path", plain("uri")))
+
+    pdf = K.detected(pdfs).where("format = 'pdf'").select(doc_id("path").alias("doc_id"), relative("path").alias("path"), "source_hash", "content")
     blank = [F.lit(getattr(settings, f)).cast("string").alias(f) for f in ("title", "author", "publisher", "language")]
     key = T.cache_key("content", F.lit(settings.model), F.lit(settings.table_format), F.lit(settings.extract_header), F.lit(settings.extract_footer), VERSION)
     ready = _answers(staged.put(pdf.select("doc_id", "path", "source_hash", *blank, key.alias("cache_key"))), pdf, cache, provider, settings, staged)
@@ -111,16 +103,18 @@ def convert_folder(spark: SparkSession, folder: str, out: str, cache: str, provi
     generated = None if model is None else _generated(known, info, cache, model, settings, staged)
     texts = _settled(convert.recognised(known.drop("cache_key"), settings, info, generated), settings, settings.comic, staged)
 
-    cbz = contents.where("format = 'cbz'").select(F.col("doc_id").alias("path"), "content", "source_hash")
-    entries = staged.put(K.entries(cbz))
+    wanted = jobs.where("format = 'cbz' AND why IS NULL").select(F.col("doc_id").alias("archive"))
+    named_ = lambda x: x.withColumn("archive", doc_id("archive")).join(wanted, "archive", "left_semi")
+    entries = staged.put(named_(Z.read(spark, root, "directory", settings.recursive, extensions=".cbz")))
     verdicts = A.verdicts(entries.where("path is not null"))
-    readable = cbz.join(entries.where("path is null").select(F.col("archive").alias("path")), "path", "left_anti")
-    files = staged.put(K.probed(K.contents(readable, entries)))
+    contents = named_(Z.read(spark, root, "content", settings.recursive, extensions=".cbz").where("path is not null"))
+    contents = contents.join(verdicts.where("broken is not null").select("archive"), "archive", "left_anti")
+    files = staged.put(K.probed(contents.select("archive", "entry_index", "path", "bytes", "error")))
     fault = F.coalesce("error", "probe_error")
     broken = files.groupBy("archive").agg(F.min_by(fault, F.when(fault.isNotNull(), F.col("entry_index"))).alias("why"))
     sound = files.join(broken.where("why is null").select("archive"), "archive", "left_semi")
     pages = sound.where("media_type is not null").select("archive", F.col("entry_index").alias("source_index"), F.col("path").alias("source_path"), "media_type", "extension", "width", "height", "bytes")
-    sources = jobs.where("format = 'cbz'").select(F.col("doc_id").alias("archive"), "source_hash", "path")
+    sources = jobs.where("format = 'cbz' AND why IS NULL").select(F.col("doc_id").alias("archive"), "source_hash", "path")
     info = staged.put(K.comic_info(sound))
     bad = info.where("error is not null").select(F.col("archive").alias("doc_id"), F.lit("BadArgs").alias("kind"), F.concat(F.lit("ComicInfo: "), "error").alias("message"))
     sources = sources.join(bad.select(F.col("doc_id").alias("archive")), "archive", "left_anti")

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from quire.functions import paths as P, text as T
 from quire.functions.markdown import markdown_html
 from quire.operators import archive as A, batch as B, chapters as C, epub as E, metadata as M, pages as G
 from quire.session import Staged
-from quire.sources import books as K, providers as V
+from quire.sources import archives as Z, books as K, providers as V
 
 from . import views as X
 
@@ -465,7 +465,8 @@ def output_paths(spark, d):
     return B.output_paths(X.jobs(spark, d)).select("doc_id", "output_path")
 
 
-@query()
+@query(f"""WITH {X.JOBS_SQL}, c AS (SELECT doc_id, input_order, regexp_replace(path, '[.][^.]*$', '') AS stem FROM jobs), n AS (SELECT *, row_number() OVER (PARTITION BY lower(stem) ORDER BY input_order) AS n FROM c)
+SELECT doc_id, stem || CASE WHEN n = 1 THEN '' ELSE '-' || n END || '.epub' AS output_path FROM n""")
 def output_paths_probed(spark, d):
     return B.unique_paths(X.jobs(spark, d).select("doc_id", "path", "input_order")).select("doc_id", "output_path")
 
@@ -578,40 +579,53 @@ def epub_entries(spark, d):
     return E.entries(*_package(spark, d), MODIFIED).select("doc_id", "entry_no", "path", "method")
 
 
-# --- binary sources, on files made here -------------------------------------------------------------------
-
+# --- archives that a sink has written from documents --------------------------------------------------------
 
-def _sample_books(spark, d):
-    """One archive for each region, made where the rows are: pages, comic info, a resource fork."""
-    from quire.plans.samples import comic
+_ARCHIVES = """docs AS (SELECT DISTINCT ON (doc_id) doc_id, text, lang, source FROM documents WHERE doc_id >= 0 ORDER BY doc_id, text, lang, source),
+a AS (SELECT *, printf('book-%04d.cbz', (doc_id // 40)::BIGINT) AS archive, doc_id % 40 AS n, octet_length(encode(coalesce(text, ''))) AS size FROM docs),
+broken AS (SELECT archive, bool_or(doc_id % 277 = 5 AND doc_id % 2 = 1) AS broken FROM a GROUP BY archive)"""
 
-    rows = [(f"{r.r_name}.cbz", comic(r.r_regionkey)) for r in X.read(spark, d, "region").collect()]
-    return spark.createDataFrame(rows, "path string, content binary")
 
-
-@query()
+@query(f"""WITH {_ARCHIVES}, e AS (SELECT archive, n AS entry_index, CASE WHEN doc_id % 2 = 0 THEN 'texts/' || doc_id || '.txt' ELSE 'pages/' || doc_id || '.png' END AS path, CASE WHEN doc_id % 2 = 0 THEN size END AS declared_size, doc_id FROM a)
+SELECT archive, path, declared_size::BIGINT AS declared_size, false AS is_dir, false AS encrypted, 33188 AS unix_mode, (row_number() OVER (PARTITION BY archive ORDER BY entry_index))::INT AS entry_index FROM e WHERE path LIKE 'texts/%'
+UNION ALL SELECT archive, 'ComicInfo.xml', NULL, false, false, 33188, 0 FROM broken""")
 def zip_entries(spark, d):
-    return K.entries(_sample_books(spark, d)).orderBy("archive", "entry_index")
+    """Directories of archives that hold every document; the ratio of deflated texts is no SQL's business, so sizes are compared alone."""
+    x = Z.read(spark, X.archives(spark, d)).where("path LIKE 'texts/%' OR path = 'ComicInfo.xml'").where("compressed_size > 0")
+    name = F.regexp_extract("archive", "[^/]*$", 0).alias("archive")
+    n = F.row_number().over(W.partitionBy("archive").orderBy("entry_index")) - 1
+    return x.select(name, "path", F.when(F.col("path") != "ComicInfo.xml", F.col("declared_size")).alias("declared_size"), "is_dir", "encrypted", "unix_mode", n.alias("entry_index"))
 
 
-@query()
+@query(f"""WITH {_ARCHIVES} SELECT archive, 'Book & ' || arg_min(coalesce(source, 'none'), doc_id) AS title, 'W' || count(*) AS writer, NULL::VARCHAR AS publisher, NULL::VARCHAR AS summary, arg_min(coalesce(lang, 'xx'), doc_id) AS language, min(doc_id) % 80 = 0 AS right_to_left, NULL::VARCHAR AS error FROM a GROUP BY archive""")
 def comicinfo_parse(spark, d):
-    return K.comic_info(K.contents(_sample_books(spark, d))).drop("pages")
+    files = Z.read(spark, X.archives(spark, d), "content").where("path = 'ComicInfo.xml'")
+    info = K.comic_info(files.select("archive", "path", "bytes")).drop("pages")
+    return info.withColumn("archive", F.regexp_extract("archive", "[^/]*$", 0))
 
 
-@query()
+@query(f"""WITH {_ARCHIVES} SELECT archive, 'pages/' || doc_id || '.png' AS path, 'image/png' AS media_type, CASE WHEN doc_id % 277 <> 5 THEN 1 + doc_id % 7 END::INT AS width, CASE WHEN doc_id % 277 <> 5 THEN 1 + size % 5 END::INT AS height, CASE WHEN doc_id % 277 = 5 THEN 'no end' END AS probe_error FROM a WHERE doc_id % 2 = 1""")
 def png_probe(spark, d):
-    return K.probed(K.contents(_sample_books(spark, d))).select("archive", "path", "media_type", "width", "height", "probe_error")
+    files = Z.read(spark, X.archives(spark, d), "content").where(F.col("path").startswith("pages/"))
+    return K.probed(files.select("archive", "path", "bytes")).select(F.regexp_extract("archive", "[^/]*$", 0).alias("archive"), "path", "media_type", "width", "height", "probe_error")
 
 
-@query()
+@query(f"""WITH {_ARCHIVES}, p AS (SELECT archive, row_number() OVER (PARTITION BY archive ORDER BY doc_id) AS page FROM a JOIN broken USING (archive) WHERE doc_id % 2 = 1 AND NOT broken),
+kept AS (SELECT archive, page - 1 AS page FROM p WHERE page > 1), books AS (SELECT DISTINCT archive FROM kept), f AS (SELECT unnest(['mimetype', 'META-INF/container.xml', 'OEBPS/styles/book.css', 'OEBPS/nav.xhtml', 'OEBPS/content.opf']) AS path, unnest(range(5)) AS entry_no)
+SELECT archive AS doc_id, entry_no::BIGINT AS entry_no, path, CASE WHEN entry_no = 0 THEN 'stored' ELSE 'deflated' END AS method FROM books, f
+UNION ALL SELECT archive, page + 5, printf('OEBPS/text/page-%04d.xhtml', page), 'deflated' FROM kept UNION ALL SELECT archive, 4294967296 + page, printf('OEBPS/images/page-%04d.png', page), 'stored' FROM kept""")
 def comic_packages(spark, d):
+    """Packages of those archives whose pages are all sound; the first page of each is marked as deleted."""
     from quire.plans.convert import comics
 
-    books = _sample_books(spark, d).withColumn("source_hash", F.sha2("content", 256))
-    files = K.contents(books, K.entries(books))
-    pages = K.probed(files).where("media_type is not null and probe_error is null").select("archive", F.col("entry_index").alias("source_index"), F.col("path").alias("source_path"), "media_type", "extension", "width", "height", "bytes")
-    return comics(books.select(F.col("path").alias("archive"), "source_hash"), pages, K.comic_info(files))["entries"].select("doc_id", "entry_no", "path", "method", F.octet_length("bytes").alias("n_bytes"))
+    folder = X.archives(spark, d)
+    files = K.probed(Z.read(spark, folder, "content").select("archive", "entry_index", "path", "bytes", "error"))
+    bad = files.where("error is not null or probe_error is not null").select("archive").distinct()
+    sound = files.join(bad, "archive", "left_anti")
+    pages = sound.where("media_type is not null").select("archive", F.col("entry_index").alias("source_index"), F.col("path").alias("source_path"), "media_type", "extension", "width", "height", "bytes")
+    books = Z.read(spark, folder, "files").select(F.col("path").alias("archive"), "source_hash").join(bad, "archive", "left_anti")
+    out = comics(books, pages, K.comic_info(sound.select("archive", "path", "bytes")))["entries"]
+    return out.select(F.regexp_extract("doc_id", "[^/]*$", 0).alias("doc_id"), "entry_no", "path", "method")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

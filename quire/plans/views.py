@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.session import reachable
+from quire.plans.samples import png
+from quire.session import Staged, reachable
+from quire.sinks.files import write_packages
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,3 +68,27 @@ def archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ARCHIVE_SQL = "archive_pages AS (SELECT p_brand AS archive, p_partkey AS source_index, 'Ch' || (p_size % 12) || '/' || CASE WHEN p_partkey % 2 = 0 THEN 'Page' ELSE 'page' END || CASE WHEN p_partkey % 3 = 0 THEN '0' ELSE '' END || (p_partkey % 120) || '.png' AS source_path FROM part)"
+
+
+def archives(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of archives that a sink has written, forty documents to each: even ones as texts, odd ones as pages of a size that their text gives, cut short here and there, and comic info."""
+    docs = read(spark, sf_dir, "documents").where("doc_id >= 0").select("doc_id", "text", "lang", "source").dropDuplicates(["doc_id"])
+    archive = F.format_string("book-%04d.cbz", F.floor(F.col("doc_id") / 40).cast("long"))
+    own = docs.select(archive.alias("name"), "doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), "lang", "source")
+
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = zip(b.column("doc_id").to_pylist(), b.column("size").to_pylist(), strict=True)
+            images = [png(1 + i % 7, 1 + n % 5)[: -12 if i % 277 == 5 else None] for i, n in sizes]
+            yield pa.RecordBatch.from_arrays([b.column("name"), b.column("doc_id"), pa.array(images, pa.binary())], ["name", "doc_id", "bytes"])
+
+    number = (F.col("doc_id") % 40 + 1).alias("entry_no")
+    text = own.where("doc_id % 2 = 0").select("name", number, F.concat(F.lit("texts/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.lit("deflated").alias("method"), F.col("text").alias("bytes"))
+    image = own.where("doc_id % 2 = 1").select("name", "doc_id", F.octet_length("text").alias("size")).mapInArrow(pages, "name string, doc_id long, bytes binary")
+    image = image.select("name", number, F.concat(F.lit("pages/"), F.col("doc_id").cast("string"), F.lit(".png")).alias("path"), F.lit("stored").alias("method"), "bytes")
+    by = own.groupBy("name").agg(F.min_by(F.coalesce("source", F.lit("none")), "doc_id").alias("source"), F.min_by(F.coalesce("lang", F.lit("xx")), "doc_id").alias("lang"), F.count(F.lit(1)).cast("string").alias("n"), (F.min("doc_id") % 80 == 0).alias("rtl"))
+    said = F.concat(F.lit('<?xml version="1.0"?><ComicInfo><Title>Book &amp; '), "source", F.lit("</Title><Writer>W"), "n", F.lit("</Writer><LanguageISO>"), "lang", F.lit("</LanguageISO><Manga>"), F.when(F.col("rtl"), "YesAndRightToLeft").otherwise("Yes"), F.lit('</Manga><Pages><Page Image="0" Type="Deleted"/></Pages></ComicInfo>'))
+    info = by.select("name", F.lit(0).cast("long").alias("entry_no"), F.lit("ComicInfo.xml").alias("path"), F.lit("deflated").alias("method"), said.cast("binary").alias("bytes"))
+    folder = f"{Staged(spark, 'archives').root}/books"
+    write_packages(text.unionByName(image).unionByName(info), folder)
+    return folder

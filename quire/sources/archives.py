@@ -194,11 +194,11 @@ def is_junk(path: str) -> bool:
 
 def opened(uri: str) -> tuple[BinaryIO, int]:
     """A file on whatever file system its path names, open for reading anywhere in it, and its size."""
-    system, path = _system(uri)
+    system, path = file_system(uri)
     return system.open_input_file(path), system.get_file_info(path).size
 
 
-def _system(uri: str) -> tuple[pafs.FileSystem, str]:
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     if uri.startswith("file:") or "://" not in uri:
         return pafs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/") if uri.startswith("file:") else uri
     return pafs.FileSystem.from_uri(uri)
@@ -206,7 +206,7 @@ def _system(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def listed(folder: str, recursive: bool, extensions: tuple[str, ...]) -> list[tuple[str, int]]:
     """(uri, size) of the archives in a folder, or of the one file that the path names, in the order of their paths."""
-    system, path = _system(folder)
+    system, path = file_system(folder)
     scheme = "file:" if isinstance(system, pafs.LocalFileSystem) else folder.split("://", 1)[0] + "://" + (folder.split("://", 1)[1].split("/", 1)[0] if system.type_name != "s3" else "")
     one = system.get_file_info(path)
     found = [one] if one.type == pafs.FileType.File else system.get_file_info(pafs.FileSelector(path, recursive=recursive))

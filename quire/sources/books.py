@@ -21,9 +21,9 @@ from quire.session import reachable
 from . import archives as Z
 
 
-def scan(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
+def scan(spark: SparkSession, folder: str, recursive: bool = False, extensions: str = "[pP][dD][fF],[cC][bB][zZ]") -> DataFrame:
     """(path, content, source_hash) of the books in a folder, in any order. Other files are not read."""
-    files = reachable(spark).read.format("binaryFile").option("pathGlobFilter", "*.{[pP][dD][fF],[cC][bB][zZ]}").option("recursiveFileLookup", recursive).load(folder)
+    files = reachable(spark).read.format("binaryFile").option("pathGlobFilter", f"*.{{{extensions}}}").option("recursiveFileLookup", recursive).load(folder)
     return files.where(P.is_book("path")).select("path", "content", F.sha2("content", 256).alias("source_hash"))
 
 

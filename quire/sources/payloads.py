@@ -35,14 +35,12 @@ def read_cache(spark: SparkSession, folder: str, kind: str = "ocr") -> DataFrame
     return files.select(key.alias("cache_key"), payload.alias("payload"))
 
 
-def write_cache(payloads: DataFrame, table: str) -> None:
-    """Appends (cache_key, payload) to a table of JSON files by the key's first two characters; rows are written by Spark's own commit, or not at all."""
-    payloads.withColumn("key_prefix", F.substring("cache_key", 1, 2)).write.mode("append").partitionBy("key_prefix").json(table)
-
+def cache_file(key: Column | str, kind: str = "ocr") -> Column:
+    return F.concat(F.col(key) if isinstance(key, str) else key, F.lit(f".{kind}.json"))
 
-def read_cache_table(spark: SparkSession, table: str, kind: str = "ocr") -> DataFrame:
-    return spark.read.schema(f"cache_key string, payload {PAYLOAD if kind == 'ocr' else METADATA}, key_prefix string").json(table).drop("key_prefix").where("payload is not null")
 
+def write_cache(answers: DataFrame, folder: str, kind: str = "ocr") -> None:
+    """Each answer (cache_key, json) as a file <key>.<kind>.json of the folder, which read_cache() and other programs read. A failed task leaves none."""
+    from quire.sinks.files import write_files
 
-def cache_file(key: Column | str, kind: str = "ocr") -> Column:
-    return F.concat(F.col(key) if isinstance(key, str) else key, F.lit(f".{kind}.json"))
+    write_files(answers.select(cache_file("cache_key", kind).alias("name"), F.col("json").alias("bytes")), folder)

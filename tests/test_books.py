@@ -137,8 +137,6 @@ def test_payloads_and_caches(spark, tmp_path):
     cache = Y.read_cache(spark, str(tmp_path))
     assert {r.cache_key: r.cache_hit for r in B.cached(wanted, cache).collect()} == {"k1": True, "k2": False, "k3": False}
     assert {r.cache_key for r in B.to_recognise(wanted, cache).collect()} == {"k2", "k3"}
-    Y.write_cache(cache.where("payload is not null"), str(tmp_path / "table"))
-    assert Y.read_cache_table(spark, str(tmp_path / "table")).first().cache_key == "k1"
 
 
 def test_retries():
