@@ -13,7 +13,7 @@ from urllib.parse import unquote
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quire.functions import paths as P, text as T
-from quire.operators import archive as A, batch as B, epub as E, metadata as M
+from quire.operators import archive as A, batch as B, epub as E, metadata as M, packages as C
 from quire.operators.pages import metadata_sample
 from quire.session import Staged, make_folder
 from quire.sinks import epub as S
@@ -38,6 +38,7 @@ class Settings(convert.Options):
     recursive: bool = False
     no_cache: bool = False
     delete_sources: bool = False
+    check_packages: bool = False
 
 
 def _answers(keyed: DataFrame, contents: DataFrame, cache: str, provider: Callable[[bytes, dict], str] | None, settings: Settings, staged: Staged) -> DataFrame:
@@ -122,6 +123,11 @@ def convert_folder(spark: SparkSession, folder: str, out: str, cache: str, provi
     comics = _settled(convert.comics(sources, pages, info, settings), settings, True, staged)
 
     both = texts["entries"].unionByName(comics["entries"]).join(jobs.select("doc_id", "output_path", "source_path"), "doc_id")
+    faults = None
+    if settings.check_packages:  # what a package refers to and hasn't got, before anything is written
+        both = staged.put(both)
+        faults = staged.put(C.faults(both).groupBy("doc_id").agg(F.min(F.concat_ws(": ", "rule", "path", "detail")).alias("message")))
+        both = both.join(faults.select("doc_id"), "doc_id", "left_anti")
     written = staged.put(S.write_books(both, out, check).select("doc_id", F.col("error").alias("_error")))
 
     def counted(name: str, *tables: DataFrame) -> DataFrame:
@@ -135,7 +141,7 @@ def convert_folder(spark: SparkSession, folder: str, out: str, cache: str, provi
         entries.where("path is null").select(F.col("archive").alias("doc_id"), F.lit("BadArgs").alias("kind"), F.lit("no archive").alias("message")),
         broken.where("why is not null").select(F.col("archive").alias("doc_id"), F.lit("BadArgs").alias("kind"), F.col("why").alias("message")),
         bad,
-    ]
+    ] + ([] if faults is None else [faults.select("doc_id", F.lit("Validation").alias("kind"), "message")])
     errors = reduce(DataFrame.unionByName, told).groupBy("doc_id").agg(F.min("kind").alias("kind"), F.min("message").alias("message"))
     x = jobs
     for part in (written, errors, counted("pages", Y.pages(known), comics["chapters"]), counted("chapters", texts["chapters"], comics["chapters"]), counted("images", texts["assets"], comics["assets"]), ready.select("doc_id", "cache_hit")):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from quire.functions import paths as P, text as T
 from quire.functions.markdown import markdown_html
-from quire.operators import archive as A, batch as B, chapters as C, epub as E, metadata as M, pages as G
+from quire.operators import archive as A, batch as B, chapters as C, epub as E, metadata as M, packages as C_, pages as G
 from quire.session import Staged
 from quire.sources import archives as Z, books as K, providers as V
 
@@ -579,6 +579,21 @@ def epub_entries(spark, d):
     return E.entries(*_package(spark, d), MODIFIED).select("doc_id", "entry_no", "path", "method")
 
 
+@query(f"""WITH {X.pages_sql()}, {CHAPTERS}, {NAMED}, {_BOOKS}, opf AS (SELECT doc_id, 'OEBPS/content.opf' AS path FROM books)
+SELECT doc_id::VARCHAR AS doc_id, path, 'item_missing' AS rule, 'images/image-2.png' AS detail FROM opf WHERE doc_id % 5 = 1 AND doc_id % 3 <> 2
+UNION ALL SELECT doc_id::VARCHAR, path, 'item_missing', 'nav.xhtml' FROM opf WHERE doc_id % 7 = 2
+UNION ALL SELECT doc_id::VARCHAR, path, 'no_nav', NULL FROM opf WHERE doc_id % 7 = 2
+UNION ALL SELECT doc_id::VARCHAR, 'OEBPS/text/extra.xhtml', 'undeclared', NULL FROM opf WHERE doc_id % 11 = 3
+UNION ALL SELECT doc_id::VARCHAR, 'OEBPS/text/extra.xhtml', 'link_missing', 'none.xhtml' FROM opf WHERE doc_id % 11 = 3""")
+def package_faults(spark, d):
+    """Packages of all conversations, some of which lack a file or have one too many."""
+    entries = E.entries(*_package(spark, d), MODIFIED)
+    k = F.col("doc_id")
+    gone = ((k % 5 == 1) & F.col("path").endswith("/image-2.png")) | ((k % 7 == 2) & F.col("path").endswith("/nav.xhtml"))
+    more = entries.where((k % 11 == 3) & (F.col("path") == "mimetype")).select("doc_id", F.lit(1 << 40).alias("entry_no"), F.lit("OEBPS/text/extra.xhtml").alias("path"), "method", F.lit(b'<html><a href="none.xhtml">x</a></html>').alias("bytes"))
+    return C_.faults(entries.where(~gone).unionByName(more))
+
+
 # --- archives that a sink has written from documents --------------------------------------------------------
 
 _ARCHIVES = """docs AS (SELECT DISTINCT ON (doc_id) doc_id, text, lang, source FROM documents WHERE doc_id >= 0 ORDER BY doc_id, text, lang, source),

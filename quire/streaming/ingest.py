@@ -31,10 +31,10 @@ def latest(events: DataFrame) -> DataFrame:
     return events.groupBy("doc").agg(F.max_by("stage", "seq").alias("stage"), F.max("seq").alias("seq"))
 
 
-def each_batch(stream: DataFrame, work: Callable[[DataFrame], DataFrame], table: str, checkpoint: str) -> StreamingQuery:
+def each_batch(stream: DataFrame, work: Callable[[DataFrame], DataFrame], table: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Runs `work` on what has arrived and appends its rows to a Parquet table, in a folder for each batch: a batch that is run again replaces its own."""
 
     def run(batch: DataFrame, number: int) -> None:
         work(batch).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
-    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.outputMode(mode).foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
