@@ -6,11 +6,11 @@ import os
 import re
 import warnings
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quire.functions import paths as P, text as T
 from quire.operators import archive as A, batch as B, epub as E, metadata as M, packages as C
@@ -78,24 +78,61 @@ def _generated(known: DataFrame, info: DataFrame, cache: str, model: Callable[[b
     return staged.put(jobs.join(held(), "cache_key").select("doc_id", "payload.*"))
 
 
+def plain_path(uri: Column | str) -> Column:
+    return F.regexp_replace(uri, "^[a-z]+:/*", "/")
+
+
+def book_id(uri: Column | str, root: str) -> Column:
+    """A book's id: of its path below the root alone, so that nothing is joined to its bytes for it."""
+    return F.sha2(relative(uri, root).cast("binary"), 256)
+
+
+def relative(uri: Column | str, root: str) -> Column:
+    return F.substring(plain_path(uri), len(re.sub("^[a-z]+:/*", "/", root)) + 2, 2**31 - 1)
+
+
+def rooted(folder: str) -> str:
+    return folder.rstrip("/") if "://" in folder else os.path.abspath(folder)
+
+
+def queue(spark: SparkSession, folder: str, settings: Settings, staged: Staged) -> DataFrame:
+    """The books of a folder as jobs: (uri, path, source_hash, format, why, input_order, candidate, output_path, doc_id, source_path); why says what stands against one."""
+    root = rooted(folder)
+    pdfs = K.scan(spark, root, settings.recursive, "[pP][dD][fF]")
+    found = K.detected(pdfs.unionByName(Z.read(spark, root, "files", settings.recursive, extensions=".cbz").select("path", "content", "source_hash")))
+    refused = F.when((F.col("format") == "cbz") & settings.comic, F.lit("comic mode is for PDF files alone: archives are always rendered as page images"))
+    rows = found.select(F.col("path").alias("uri"), relative("path", root).alias("path"), "source_hash", "format", F.coalesce("error.message", refused).alias("why"))
+    named = B.numbered(rows, P.path_key("uri"), "input_order", staged)
+    return staged.put(B.unique_paths(named).withColumn("doc_id", book_id("uri", root)).withColumn("source_path", plain_path("uri")))
+
+
 def convert_folder(spark: SparkSession, folder: str, out: str, cache: str, provider: Callable[[bytes, dict], str] | None = None, settings: Settings | None = None, check: Callable[[str], str | None] | None = None, model: Callable[[bytes, dict], str] | None = None) -> DataFrame:
     """OUTCOME rows, one for each book of a folder. Files are written below `out` at their places in the folder; one bad book stops no other.
 
     provider recognises a file that no cache holds; model is asked for what metadata a recognised book lacks.
     """
     settings, staged = settings or Settings(), Staged(spark, "folder")
-    root = folder.rstrip("/") if "://" in folder else os.path.abspath(folder)
-    plain = lambda c: F.regexp_replace(c, "^[a-z]+:/*", "/")
-    relative = lambda c: F.substring(plain(c), len(re.sub("^[a-z]+:/*", "/", root)) + 2, 2**31 - 1)
-    doc_id = lambda c: F.sha2(relative(c).cast("binary"), 256)  # noqa: E731  of a path alone: nothing is joined to bytes for it
-    pdfs = K.scan(spark, root, settings.recursive, "[pP][dD][fF]")
-    found = K.detected(pdfs.unionByName(Z.read(spark, root, "files", settings.recursive, extensions=".cbz").select("path", "content", "source_hash")))
-    refused = F.when((F.col("format") == "cbz") & settings.comic, F.lit("comic mode is for PDF files alone: archives are always rendered as page images"))
-    rows = found.select(F.col("path").alias("uri"), relative("path").alias("path"), "source_hash", "format", F.coalesce("error.message", refused).alias("why"))
-    named = B.numbered(rows, P.path_key("uri"), "input_order", staged)
-    jobs = staged.put(B.unique_paths(named).withColumn("doc_id", doc_id("uri")).withColumn("source_path", plain("uri")))
+    return convert_jobs(spark, folder, queue(spark, folder, settings, staged), out, cache, provider, settings, check, model)
+
+
+def convert_file(spark: SparkSession, path: str, out: str, cache: str, provider: Callable[[bytes, dict], str] | None = None, settings: Settings | None = None, formats: tuple[str, ...] = ("pdf", "cbz"), model: Callable[[bytes, dict], str] | None = None) -> DataFrame:
+    """OUTCOME's one row for one book, which is written to the file `out`. A book of another format than `formats` is refused; a path that is there but is no book, too."""
+    settings, staged = settings or Settings(), Staged(spark, "folder")
+    folder, name = os.path.split(rooted(path))
+    place, target = os.path.split(rooted(out))
+    refused = F.when(F.col("why").isNull() & ~F.col("format").isin(*formats), F.concat(F.lit(" or ".join(formats)), F.lit(" is expected")))
+    jobs = queue(spark, folder, replace(settings, recursive=False), staged).where(F.col("path") == name)
+    jobs = staged.put(jobs.withColumn("output_path", F.lit(target)).withColumn("why", F.coalesce("why", refused)))
+    return convert_jobs(spark, folder, jobs, place, cache, provider, settings, None, model)
+
+
+def convert_jobs(spark: SparkSession, folder: str, jobs: DataFrame, out: str, cache: str, provider: Callable[[bytes, dict], str] | None = None, settings: Settings | None = None, check: Callable[[str], str | None] | None = None, model: Callable[[bytes, dict], str] | None = None) -> DataFrame:
+    """OUTCOME rows for jobs that queue() gave, or some of them. Only their files are converted."""
+    settings, staged, root = settings or Settings(), Staged(spark, "folder"), rooted(folder)
+    doc_id = lambda c: book_id(c, root)
+    pdfs = K.scan(spark, root, settings.recursive, "[pP][dD][fF]").join(jobs.where("why IS NULL").select(F.col("uri").alias("path")), "path", "left_semi")
 
-    pdf = K.detected(pdfs).where("format = 'pdf'").select(doc_id("path").alias("doc_id"), relative("path").alias("path"), "source_hash", "content")
+    pdf = K.detected(pdfs).where("format = 'pdf'").select(doc_id("path").alias("doc_id"), relative("path", root).alias("path"), "source_hash", "content")
     blank = [F.lit(getattr(settings, f)).cast("string").alias(f) for f in ("title", "author", "publisher", "language")]
     key = T.cache_key("content", F.lit(settings.model), F.lit(settings.table_format), F.lit(settings.extract_header), F.lit(settings.extract_footer), VERSION)
     ready = _answers(staged.put(pdf.select("doc_id", "path", "source_hash", *blank, key.alias("cache_key"))), pdf, cache, provider, settings, staged)
