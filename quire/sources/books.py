@@ -18,7 +18,7 @@ from quire.functions import paths as P, text as T
 from quire.operators import archive as A
 from quire.session import reachable
 
-from . import archives as Z
+from . import archives as Z, jpeg
 
 
 def scan(spark: SparkSession, folder: str, recursive: bool = False, extensions: str = "[pP][dD][fF],[cC][bB][zZ]") -> DataFrame:
@@ -142,7 +142,7 @@ def contents(books: DataFrame, entry_rows: DataFrame | None = None) -> DataFrame
 
 
 def probe_image(data: bytes | None) -> tuple:
-    """(media type, extension, width, height, error). The signature decides, not a name; PNG data is checked and decoded, of JPEG the frame header is read."""
+    """(media type, extension, width, height, error). The signature decides, not a name; the data of both kinds is read to its end."""
     if data is None or len(data) < 4:
         return None, None, None, None, None
     if data.startswith(b"\x89PNG\r\n\x1a\n"):
@@ -191,20 +191,11 @@ def _png(data: bytes) -> tuple:
 
 
 def _jpeg(data: bytes) -> tuple:
-    at = 2
-    while at + 9 < len(data):
-        if data[at] != 0xFF:
-            break
-        marker = data[at + 1]
-        if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-            h, w = struct.unpack(">HH", data[at + 5 : at + 9])
-            bad = not w or not h or w * h > A.MAX_PIXELS or w * h * data[at + 9] > A.MAX_DECODED
-            return ("image/jpeg", "jpg", None, None, "too large") if bad else ("image/jpeg", "jpg", w, h, None)
-        if marker == 0xFF:
-            at += 1
-            continue
-        at += 2 + (struct.unpack(">H", data[at + 2 : at + 4])[0] if not 0xD0 <= marker <= 0xD9 else 0)
-    return "image/jpeg", "jpg", None, None, "no frame"
+    try:
+        w, h = jpeg.size_of(data, A.MAX_PIXELS)
+    except jpeg.BadImage as e:
+        return "image/jpeg", "jpg", None, None, str(e)
+    return ("image/jpeg", "jpg", None, None, "too large") if 4 * w * h > A.MAX_DECODED else ("image/jpeg", "jpg", w, h, None)
 
 
 def probed(files: DataFrame) -> DataFrame:

