@@ -24,7 +24,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .util import Staged, columns
 
-#: Labelled documents of each class that the lexicon is learned from at most (those of least hash of doc_id). Its size follows from them; nothing else cuts it.
+#: Labelled documents of each class that the lexicon is learned from at most (those of least hash of doc_id). Its size follows from them; an entry must be in two toxic ones and more often in these than in clean ones, whatever their number.
 SAMPLE = 8000
 #: Entries are beginnings of words, of these lengths, or whole words; log odds that an entry needs, and standard errors taken off them.
 PREFIXES, LEAST_ODDS, CAUTION = range(4, 13), 1.5, 1.5
@@ -32,30 +32,33 @@ THRESHOLD = 0.3
 
 # Letters of other scripts that look like Latin ones, and signs that stand for letters.
 HOMOGLYPHS = {
-    "а": "a", "в": "b", "с": "c", "е": "e", "ё": "e", "һ": "h", "і": "i", "ї": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "н": "h", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x",
-    "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ı": "i", "ɑ": "a", "ɡ": "g", "ſ": "s", "ⅼ": "l", "ø": "o", "đ": "d", "ł": "l",
+    "а": "a", "в": "b", "с": "c", "е": "e", "ё": "e", "һ": "h", "і": "i", "ї": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "н": "h", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ԁ": "d", "ԛ": "q", "ԝ": "w", "г": "r", "ѵ": "v",
+    "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ı": "i", "ɑ": "a", "ɡ": "g", "ſ": "s", "ⅼ": "l", "ø": "o", "đ": "d", "ł": "l", "ϲ": "c", "ϳ": "j",
+    "Ꭺ": "a", "Ᏼ": "b", "Ꮯ": "c", "Ꭰ": "d", "Ꭼ": "e", "Ꮐ": "g", "Ꮋ": "h", "Ꭵ": "i", "Ꭻ": "j", "Ꮶ": "k", "Ꮮ": "l", "Ꮇ": "m", "Ꮲ": "p", "Ꭱ": "r", "Ꮪ": "s", "Ꭲ": "t", "Ꮩ": "v", "Ꮃ": "w", "Ꮍ": "y", "Ꮓ": "z",
+    "ա": "w", "զ": "q", "հ": "h", "յ": "j", "ո": "n", "ս": "u", "ց": "g", "օ": "o", "ք": "f", "Ս": "u", "Տ": "s", "Օ": "o", "Լ": "l",
+    "ᴀ": "a", "ʙ": "b", "ᴄ": "c", "ᴅ": "d", "ᴇ": "e", "ꜰ": "f", "ɢ": "g", "ʜ": "h", "ɪ": "i", "ᴊ": "j", "ᴋ": "k", "ʟ": "l", "ᴍ": "m", "ɴ": "n", "ᴏ": "o", "ᴘ": "p", "ʀ": "r", "ꜱ": "s", "ᴛ": "t", "ᴜ": "u", "ᴠ": "v", "ᴡ": "w", "ʏ": "y", "ᴢ": "z",
 }
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "|": "i", "!": "i"}
 
 
-def _folds() -> dict[int, str | None]:
-    out: dict[int, str | None] = {}
-    for c in range(0x250):
-        out[c] = chr(c)
-    for c in [*range(0x1E00, 0x1F00), *range(0xFF00, 0xFFF0), *range(0x370, 0x530), *range(0x2100, 0x2190)]:
-        out[c] = chr(c)
-    for c in list(out):
-        plain = "".join(x for x in unicodedata.normalize("NFKD", chr(c)).lower() if not unicodedata.combining(x))
-        plain = "".join(HOMOGLYPHS.get(x, x) for x in plain)
-        plain = "".join(SUBSTITUTES.get(x, x) for x in plain)
-        plain = "".join(x if x.isalnum() or x == "'" else " " for x in plain) or " "
-        out[c] = plain.replace("'", "").replace("l", "i")  # 1, l and i are one letter
-    out.update(dict.fromkeys([*range(0x300, 0x370), 0xAD, *range(0x200B, 0x2010), 0x2060, 0xFEFF, 0x27, 0x2019]))
-    out.update({c: " " for c in [*range(0x2010, 0x2019), *range(0x201A, 0x2060), 0x3000]})
-    return out
+class _Folds(dict):
+    """What each character of Unicode becomes, worked out when it is first met."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        if c in "'\u2019" or unicodedata.category(c) in ("Cf", "Mn", "Me"):  # apostrophes, what isn't seen, what stands on letters
+            out = ""
+        else:
+            plain = "".join(HOMOGLYPHS.get(x, x) for x in unicodedata.normalize("NFKD", c)).lower()
+            plain = "".join(HOMOGLYPHS.get(x, x) for x in plain if not unicodedata.combining(x))
+            plain = "".join(SUBSTITUTES.get(x, x) for x in plain)
+            plain = "".join(x if x.isalnum() else " " for x in plain if x != "'") or " "
+            out = plain.replace("l", "i")  # 1, l and i are one letter
+        self[code] = out
+        return out
 
 
-_FOLDS = _folds()
+_FOLDS = _Folds()
 
 
 #: Signs that stand for letters only before a letter or digit.
@@ -154,11 +157,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
         keys = list(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[pa.array([c[k] for k in keys], pa.int64()) for c in seen]], ["feature", "clean", "toxic"])
 
-    least = max(2, n[1] // 500)
     counted = sample.mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     # log odds less CAUTION standard errors: few sightings prove little
     odds = lambda toxic, clean: np.log((toxic + 0.5) / (n[1] + 1)) - np.log((clean + 0.5) / (n[0] + 1)) - CAUTION * np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
-    rows = [(f, float(odds(t, c)), t) for f, c, t in counted.where((F.col("toxic") >= least) & (F.col("toxic") > F.col("clean"))).collect()]
+    rows = [(f, float(odds(t, c)), t) for f, c, t in counted.where((F.col("toxic") >= 2) & (F.col("toxic") > F.col("clean"))).collect()]
     entries: dict[str, float] = {}
     for f, w, _ in sorted((r for r in rows if r[1] >= LEAST_ODDS), key=lambda r: (len(r[0].rstrip()), r[0])):
         shorter = [entries[f[:k]] for k in range(2, len(f)) if f[:k] in entries]
