@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quire.functions import text as T
 
-#: Lines of a first page that count, and lines after the title that may name an author.
-COVER_LINES, AUTHOR_WITHIN = 24, 6
+#: Lines of a first page that count, lines after the title that may name an author, and lines that are cleaned first, in the hope that they suffice.
+COVER_LINES, AUTHOR_WITHIN, FIRST_LINES = 24, 6, 64
 # Parts of names that need no capital.
 PARTICLES = ("de", "del", "da", "van", "von", "la", "le")
 # What lines about the edition hold.
@@ -37,7 +37,9 @@ def is_name(line: Column | str) -> Column:
 def cover_lines(pages: DataFrame) -> DataFrame:
     """(doc_id, nth, line): the first lines of a document's first page, cleaned; nth from 1."""
     first = pages.withColumn("_r", F.row_number().over(W.partitionBy("doc_id").orderBy("page_index"))).where("_r = 1")
-    kept = F.slice(F.filter(F.transform(T.lines("markdown"), lambda x: T.cover_line(x)), lambda x: x.isNotNull()), 1, COVER_LINES)
+    cleaned = lambda lines: F.slice(F.filter(F.transform(lines, lambda x: T.cover_line(x)), lambda x: x.isNotNull()), 1, COVER_LINES)
+    first = first.select("doc_id", T.lines("markdown").alias("_all")).select("doc_id", F.when(F.size("_all") > FIRST_LINES, F.col("_all")).alias("_all"), cleaned(F.slice("_all", 1, FIRST_LINES)).alias("_some"))
+    kept = F.when((F.size("_some") == COVER_LINES) | F.col("_all").isNull(), F.col("_some")).otherwise(cleaned(F.col("_all")))
     return first.select("doc_id", F.posexplode(kept).alias("pos", "line")).select("doc_id", (F.col("pos") + 1).alias("nth"), "line")
 
 

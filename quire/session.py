@@ -56,7 +56,7 @@ class Staged:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.n = reachable(spark), f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
         atexit.register(self._end)
 
     def _end(self) -> None:

@@ -124,6 +124,18 @@ def test_markdown():
     assert anchored("<h1>A</h1><h2>a</h2><h2>B <em>c</em></h2>") == '<h1 id="a">A</h1><h2 id="a-2">a</h2><h2 id="b-c">B <em>c</em></h2>'
 
 
+@pytest.mark.parametrize(("text", "shown"), [
+    ('[the site][1], [Other], [none][x] ![pic][1]\n\n[1]: https://e.org/?b=1&c=2 "T"\n[other]: <o.html>', '<p><a href="https://e.org/?b=1&amp;c=2">the site</a>, <a href="o.html">Other</a>, [none][x] <img src="https://e.org/?b=1&amp;c=2" alt="pic" /></p>'),
+    ("[A  b][]\n\n> [a B]\n\n[a b]: one\n[A B]: two", '<p><a href="one">A  b</a></p>\n<aside class="callout">\n<p><a href="one">a B</a></p>\n</aside>'),
+    ("a &nbsp;b &copy; &amp; &unknown; & &#65; &lt;", "<p>a \u00a0b © &amp; &amp;unknown; &amp; &#65; &lt;</p>"),
+    ("text\n\n    code <x>\n\n      more\n\nend", "<p>text</p>\n<pre><code>code &lt;x&gt;\n\n  more\n</code></pre>\n<p>end</p>"),
+    ("```\n[a]: b\n```\n[a]", "<pre><code>[a]: b</code></pre>\n<p>[a]</p>"),
+    ("- [x] done [l][r]\n\n[r]: u", '<ul>\n<li><input type="checkbox" disabled="disabled" checked="checked" /> done <a href="u">l</a></li>\n</ul>'),
+])
+def test_markdown_links_code_and_entities(text, shown):
+    assert render(text) == shown
+
+
 def test_sample_is_cut(spark):
     rows = [(1, 0, "a" * 7000), (1, 1, "  \n"), (1, 2, "é" * 2000), (1, 3, "b" * 3000), (1, 4, "never"), (2, 9, "one"), (3, 0, " ")]
     rows += [(4, i, "x") for i in range(10)] + [(5, 0, "🙂" * 4000), (6, 0, "a" + "🙂" * 4000)]
