@@ -14,9 +14,9 @@ from __future__ import annotations
 import itertools
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .util import Staged, rank_within
+from .util import Staged, rank_within, running_sums
 
 #: Bins of a histogram, for each node of a level; units around a cut that are dealt one by one; the share of a shard's bytes that a group of equal texts may have to stay together.
 BINS, FEW, PART = 4096, 64, 0.5
@@ -58,14 +58,14 @@ def metadata(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.monotonically_increasing_id().alias("row"), size.alias("size"), crc.alias("text_crc32"), same.alias("same"), value("source"), value("lang"))
 
 
-def _ranks(meta: DataFrame, name: str) -> DataFrame:
-    """(_name, d_name): where the bytes of the values before each one end, as a share of all. A table of one row for each value."""
+def _ranks(meta: DataFrame, name: str, total: int, staged: Staged) -> DataFrame:
+    """(_name, d_name): where the bytes of the values before each one end, as a share of all. A table of one row for each value, dealt by ranges of it."""
     by = meta.groupBy(F.col(name).alias(f"_{name}")).agg(F.sum("size").alias("n"))
-    before = F.coalesce(F.sum("n").over(W.orderBy(f"_{name}").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return by.select(f"_{name}", F.floor(before / F.sum("n").over(W.partitionBy()) * (_STEPS - 1)).cast("long").alias(f"d_{name}"))
+    by = running_sums(by, [F.col(f"_{name}").asc()], {"_before_": F.col("n")}, staged)
+    return by.select(f"_{name}", F.floor(F.col("_before_") / F.lit(max(total, 1)) * (_STEPS - 1)).cast("long").alias(f"d_{name}"))
 
 
-def units(meta: DataFrame, shards: int) -> DataFrame:
+def units(meta: DataFrame, shards: int, staged: Staged) -> DataFrame:
     """`meta` with each row's unit (tie), whether its text's rows were too many to stay together (parted), and the dimensions, which a unit's rows share."""
     low, high, total = meta.agg(F.min("doc_id"), F.max("doc_id"), F.sum("size")).first()
     low, span = low or 0, max(1, (high or 0) - (low or 0))
@@ -78,7 +78,7 @@ def units(meta: DataFrame, shards: int) -> DataFrame:
     tie = F.when(F.col("alone"), F.xxhash64("doc_id", "row")).otherwise(F.xxhash64("same"))
     met = met.select("doc_id", "row", "size", "text_crc32", F.coalesce("parted", F.lit(False)).alias("parted"), own("source", "_s").alias("source"), own("lang", "_l").alias("lang"), own("doc_id", "_i").alias("id"), F.pmod(tie, F.lit(_TIES)).alias("tie"))
     for name in ("source", "lang"):
-        ranks = _ranks(meta, name)
+        ranks = _ranks(meta, name, total or 0, staged)
         met = met.join(ranks, F.col(name) == F.col(f"_{name}"), "left")
     where = ((F.col("id") - F.lit(low)) / F.lit(float(span)) * (_STEPS - 1)).cast("long")
     return met.select("doc_id", "row", "size", "text_crc32", "parted", "tie", F.coalesce("d_source", F.lit(0)).alias("d_source"), F.coalesce("d_lang", F.lit(0)).alias("d_lang"), F.coalesce(where, F.lit(0)).alias("d_id"))
@@ -177,7 +177,7 @@ def kd_shards(docs: DataFrame, shards: int = 24) -> DataFrame:
     """
     staged = Staged(docs.sparkSession, "kdshard")
     meta = staged.put(metadata(docs))
-    rows = staged.put(units(meta, shards))
+    rows = staged.put(units(meta, shards, staged))
     of = staged.put(rows.groupBy("tie", *DIMENSIONS).agg(F.sum("size").alias("size")))
     placed = rows.withColumn("shard", _place(grow(of, shards)).cast("int")).select("doc_id", "size", "text_crc32", "shard", "parted", "row")
     return rank_within(placed, ["shard"], ["doc_id", "text_crc32", "size", "row"], "slot", staged).drop("row")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .util import Staged, columns, md5_number, rank_within, unused
+from .util import Staged, columns, md5_number, rank_within, running_sums, unused
 
 #: Words are what stands between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,18 +18,21 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
     Sources by code point, null last, take the weights in turn and share the whole size by them. No
     target exceeds `most` times its source's size; what is cut off goes to the others by weight, until
     none is above. With sources in order of size over weight, those cut off come first, so running sums
-    over this table of one row for each source find them at once.
+    over this table of one row for each source find them at once. It may have any number of sources: they are dealt by ranges.
     """
+    staged = Staged(sizes.sparkSession, "targets")
+    first = lambda df, *aggs: [x or 0 for x in df.agg(*aggs).first()]
+    name = F.col("source").asc_nulls_last()
     by = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
-    turn = (F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)
-    by = by.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (turn + 1).cast("int")))
-    order = W.orderBy(F.col("source_size") / F.col("w"), F.col("source").asc_nulls_last())
-    before, whole = order.rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
-    by = by.withColumn("cap", F.col("source_size") * most).withColumn("total", F.sum("source_size").over(whole))
-    by = by.withColumn("left", F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0))).withColumn("left_w", F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0)))
-    by = by.withColumn("cut", F.col("left").cast("double") * F.col("w") > F.col("cap").cast("double") * F.col("left_w"))
-    by = by.withColumn("rest", F.col("total") - F.sum(F.when(F.col("cut"), F.col("cap")).otherwise(0)).over(whole)).withColumn("rest_w", F.sum(F.when(F.col("cut"), 0).otherwise(F.col("w"))).over(whole))
-    target = F.when(F.col("cut"), F.col("cap").cast("double")).otherwise(F.col("rest").cast("double") * F.col("w") / F.col("rest_w"))
+    by = running_sums(by, [name], {"_turn": F.lit(1)}, staged)
+    by = by.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.col("_turn") % len(weights) + 1).cast("int"))).withColumn("cap", F.col("source_size") * most)
+    by = running_sums(by.drop("_turn").withColumn("_by", F.col("source_size") / F.col("w")), [F.col("_by").asc(), name], {"_caps": F.col("cap"), "_ws": F.col("w")}, staged)
+    by = staged.put(by)
+    total, whole_w = first(by, F.sum("source_size"), F.sum("w"))
+    cut = (F.lit(total) - F.col("_caps")).cast("double") * F.col("w") > F.col("cap").cast("double") * (F.lit(whole_w) - F.col("_ws"))
+    by = by.withColumn("cut", cut)
+    gone, rest_w = first(by, F.sum(F.when(F.col("cut"), F.col("cap"))), F.sum(F.when(~F.col("cut"), F.col("w"))))
+    target = F.when(F.col("cut"), F.col("cap").cast("double")).otherwise(F.lit(float(total - gone)) * F.col("w") / F.lit(max(rest_w, 1)))
     return by.select("source", "source_size", target.alias("target"))
 
 
@@ -43,16 +46,19 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3,
 
     Texts are read once, whole, of any length. Null texts have size 0; null sources are one source. Rows that repeat a doc_id count one by one. A
     source without words has target 0. An empty table gives an empty result. Other columns are ignored, whatever their names, but
-    those of `keep`, which aren't named as a column above, part rows that are alike in source, size and doc_id.
+    those of `keep`, which aren't named as a column above, part rows that are alike in source, size and doc_id; rows alike in all of these, of which any
+    number is ranked in parts too, are taken in any order.
     """
     staged = Staged(docs.sparkSession, "mixing")
-    sizes = staged.put(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *columns(keep)))
+    key = unused(["doc_id", "source", "size", *keep], "_row_number")
+    sizes = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *columns(keep))
+    sizes = staged.put(sizes.withColumn(key, F.monotonically_increasing_id()))
     goals = targets(sizes, weights, most)
     goals = goals.withColumn("_seeded", F.concat(F.coalesce("source", F.lit("")), F.lit(f"#{seed}"))).withColumn("_u", md5_number("_seeded") / F.lit(float(1 << 32)))
     goals = goals.select(F.col("source").alias("_source"), "source_size", "target", "_u")
     buckets = max(1, -(-sizes.count() // BUCKET))
     down = sizes.withColumn("_down", -F.col("size")).withColumn("_bucket", md5_number("doc_id") % buckets)
-    ranked = rank_within(down, ["source"], ["_down", "_bucket", "doc_id", *keep], "_rank", staged)
+    ranked = rank_within(down, ["source"], ["_down", "_bucket", "doc_id", *keep, key], "_rank", staged)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     crossed = F.floor((F.col("_rank") + 1) * rate + F.col("_u")) - F.floor(F.col("_rank") * rate + F.col("_u"))
     met = ranked.join(goals, F.col("source").eqNullSafe(F.col("_source")))

@@ -58,6 +58,21 @@ def rank_within(df: DataFrame, group: list[str], order: list[str], out: str, sta
     return met.select(*columns(df.columns, "l."), (F.col(f"l.{at}") + F.col(f"r.{before}")).cast("long").alias(out))
 
 
+def running_sums(df: DataFrame, order: list["F.Column"], sums: dict[str, "F.Column"], staged: Staged) -> DataFrame:
+    """Adds each name of `sums`: what its values add up to over the rows before, in `order`, 0 for the first.
+
+    Rows are dealt by ranges of the order, and the ranges' totals, a row for each, give what came before: no task sees all rows. Rows equal in the order come in any.
+    """
+    part = unused(df.columns, "_part")
+    dealt = staged.put(df.repartitionByRange(parts(df.sparkSession), *order).withColumn(part, F.spark_partition_id()))
+    within = W.partitionBy(part).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)
+    totals = dealt.groupBy(part).agg(*[F.sum(v).alias(k) for k, v in sums.items()])
+    totals = totals.select(F.col(part).alias("_of"), *[F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(f"_{k}_before") for k in sums])  # a row for each range
+    met = dealt.withColumns({k: F.coalesce(F.sum(v).over(within), F.lit(0)) for k, v in sums.items()}).join(F.broadcast(totals), F.col(part) == F.col("_of"))
+    return met.select(*columns(df.columns), *[(F.col(k) + F.col(f"_{k}_before")).alias(k) for k in sums])
+
+
 def connected_components(edges: DataFrame, staged: Staged) -> DataFrame:
     """(node, component) for every node of `edges` (a long, b long); the component is its smallest node.
 

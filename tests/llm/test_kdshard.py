@@ -82,7 +82,7 @@ def test_against_a_plain_tree(spark, monkeypatch):
     monkeypatch.setattr(kdshard, "BINS", 64)
     rows = corpus(700) + [(5000 + i, "the same text" * (1 + i % 3), "en", "b") for i in range(60)]
     staged = kdshard.Staged(spark, "test")
-    made = staged.put(kdshard.units(staged.put(kdshard.metadata(frame(spark, rows))), 7))
+    made = staged.put(kdshard.units(staged.put(kdshard.metadata(frame(spark, rows))), 7, staged))
     of = staged.put(made.groupBy("tie", *kdshard.DIMENSIONS).agg(F.sum("size").alias("size")))
     got = {r.tie: r.shard for r in of.withColumn("shard", kdshard._place(kdshard.grow(of, 7))).collect()}
     units = [(r.tie, r["size"], {d: r[d] for d in kdshard.DIMENSIONS}) for r in of.collect()]
