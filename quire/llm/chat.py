@@ -40,7 +40,8 @@ def examples(turns: DataFrame) -> DataFrame:
     Turns go by number, null first, ties by role and text. Null roles and texts count as empty. Rows
     that repeat a turn are turns of their own; rows without conv_id are one conversation. loss_start and
     loss_length (code points of `text`, from 0) mark the escaped reply; 0 and 0 where there is no target.
-    Prefixes are made as the examples stream out: a task holds one conversation and one example at a time.
+    Prefixes are made as the examples stream out: a task holds one conversation and one example at a time, so texts may be very
+    long, but a conversation with its longest example must fit. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     said = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     convs = turns.select("conv_id", said.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
@@ -66,7 +67,11 @@ def turns_of(text: Column) -> Column:
 
 
 def digests(shown: DataFrame) -> DataFrame:
-    """One row for each conversation, from the examples alone: the longest holds all its turns, and each gives its target."""
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) of each conversation, from the examples alone: the longest holds all its turns, and each gives its target.
+
+    Rows without conv_id are one conversation. A conversation without an assistant's turn has a loss of no characters; null and empty
+    texts were made empty by examples(), and are read back so. A conversation must fit in a task. An empty table gives an empty result; columns of other names are ignored.
+    """
     loss = unescape(F.substr("text", F.col("loss_start") + 1, F.col("loss_length")))
     own = shown.select("conv_id", "example", "n_turns", F.length("text").cast("long").alias("chars"), F.struct("example", loss.alias("loss")).alias("loss"), F.when(F.col("example") == F.col("n_turns"), F.col("text")).alias("whole"))
     by = own.groupBy("conv_id").agg(F.sort_array(F.collect_list("loss")).alias("loss"), F.sum("chars").alias("formatted_chars"), F.max("whole").alias("whole"))

@@ -129,7 +129,7 @@ def drop_near_copies(docs: DataFrame, width: int = WIDTH, similarity: float = SI
     """`docs` (doc_id, text, any others) with one row of each group of near copies: that of the smallest doc_id, null last, ties by a hash of the text.
 
     Groups are the connected components of the texts that are similar; texts are read whole. Texts without words are alike. Rows
-    that repeat a doc_id, and rows without one, are documents of their own. An empty table gives an empty result.
+    that repeat a doc_id, and rows without one, are documents of their own. An empty table gives an empty result. Other columns come along, whatever their names.
     """
     staged, key = Staged(docs.sparkSession, "nearcopies"), unused(docs.columns, "_row_key")
     whole = staged.put(docs.withColumn(key, F.monotonically_increasing_id()))

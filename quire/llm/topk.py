@@ -119,7 +119,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024) -> DataF
     query's own vec_id doesn't count; a vec_id that repeats among candidates is listed as often, one that repeats among
     queries is one query, by the smallest of its vectors. Vectors may differ in length: missing components are 0; very long ones
     are held whole, CANDIDATES of them at a time. Components of any size are scored exactly, up to the range of a long.
-    An empty table, or one without queries, gives an empty result. Other columns are ignored, whatever their names.
+    Rows without vec_id, whose entries could not be named, are neither queries nor candidates. An empty table, or one without queries, gives an empty result. Other columns are ignored, whatever their names.
     """
     spark = vectors.sparkSession
     staged = Staged(spark, "topk")
