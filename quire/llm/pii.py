@@ -3,16 +3,16 @@
 The network is trained on passages of a bounded sample of the documents. Their labelled spans are the patterns' own and, put
 into passages in the places of these or between words, spans of the same kinds that are written as no pattern has
 them: with "at" and "dot", signs in brackets, other separators, without a country's plus, in words for digits. Beside
-them stand harmless strings of digits. The network reads every character of every text, in overlapping windows: a
+them stand harmless strings of digits. The network reads texts of any length in overlapping windows: a
 position's scores come from the window in whose middle it lies, and one decoding over the whole text, with the
-transitions, settles what the windows say.
+transitions, settles what the windows say. Windows without the digits, signs and words that a plausible span is made of are left out of that.
 """
 
 from __future__ import annotations
 
 import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from .charcrf import KINDS, Tagger, label_row, spans_of, symbols
 from .util import Staged
 
 #: Documents that training passages are taken from, and passages with and without spans trained on (those of least hash); examples made in all, their length, and rounds over them.
-SAMPLE_DOCS, PASSAGES, EXAMPLES, PASSAGE, EPOCHS = 4000, 600, 4000, 96, 18
+SAMPLE_DOCS, PASSAGES, EXAMPLES, PASSAGE, EPOCHS = 4000, 600, 5000, 96, 12
 #: Characters of a window and of what two windows share; characters of texts read at a time, and windows.
 WINDOW, SHARED, CHARS, ROWS = 1024, 96, 1 << 20, 1280
 #: A window whose last span is no further than this from gaining keeps its scores, in case it gains in the next; others are read again then.
@@ -39,6 +39,20 @@ _SPOKEN = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight
 _AS_WORD = re.compile(rf"\b({'|'.join(_SPOKEN)})\b", re.IGNORECASE)
 
 
+_AT, _DOT = re.compile(r"[@＠#]|\bat\b", re.IGNORECASE), re.compile(r"\.|\bdot\b", re.IGNORECASE)
+_LETTER, _WORD = re.compile(r"\w"), re.compile(r"[^\W\d_]+")
+#: Words that may stand between the digits of a kind.
+_BETWEEN = {"ip": {"dot"}, "card": {"dot", *_SPOKEN}, "phone": {"plus", "dot", *_SPOKEN}}
+#: Numbers that have digits enough for a telephone: days, with a time or another day after them, years, and numbers grouped by thousands.
+_DAY = r"(\d{4}([-./ ])\d\d?\2\d\d?|\d\d?([-./ ])\d\d?\3(\d{4}|\d\d))"
+_YEAR = r"(1[5-9]|20)\d\d"
+_NO_PHONE = re.compile(rf"{_DAY}(\W+(\d\d?:\d\d(:\d\d)?|\d{{1,4}}[-./ ]\d\d?[-./ ]\d{{1,4}}))?|{_YEAR}(\W+{_YEAR})+|\d{{1,3}}(?P<by>[ ,.'\u00a0])\d{{3}}((?P=by)\d{{3}})*((?!(?P=by))[.,]\d+)?")
+# Endings of names in the network's name system, as addresses that are spelled out have them.
+ENDINGS = frozenset("com org net edu gov mil int info biz io co ai app dev me tv eu uk de fr es it nl be ch at pt pl se no dk fi ie ru ua cz gr ro hu us ca mx br ar cl au nz jp cn kr in za example test".split())
+#: What before a number says that it numbers a thing, not a telephone.
+_THING = re.compile(r"\b(order|invoice|ticket|case|ref|reference|serial|isbn|issn|part|item|tracking|article|patent)\b\W*((number|no|nr|num|id)\b)?\W*\Z", re.IGNORECASE)
+
+
 def luhn(digits: str) -> bool:
     back = [int(c) for c in reversed(digits)]
     return sum(back[0::2]) % 10 == -sum(d * 2 - 9 * (d > 4) for d in back[1::2]) % 10
@@ -77,18 +91,55 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def plausible(kind: str, text: str) -> bool:
-    """What a span that only the network proposes must be: the digits or words that its kind has, whatever stands between them."""
-    if len(text) > 120 or "\n" in text:
-        return False
+    """What a span that only the network proposes must be: the digits or words that its kind has, and between them signs and the words that stand for some, nothing else."""
     if kind == "email":
-        return bool(re.fullmatch(r"\w.*?(@|＠|\bat\b).*?\w.*?(\.|\bdot\b)\W*\w.*", text, re.IGNORECASE))
+        at = _AT.search(text)
+        dot = at and _DOT.search(text, at.end())
+        if not (dot and text[0].isalnum() and _LETTER.search(text, 0, at.start()) and _LETTER.search(text, at.end(), dot.start()) and _LETTER.search(text, dot.end())):
+            return False
+        last = _WORD.findall(text)[-1]
+        return at[0] in "@＠#" or last.lower() in ENDINGS and last in (last.lower(), last.upper())  # words are believed only of a name that there can be
+    if any(w.lower() not in _BETWEEN[kind] for w in _WORD.findall(text)):
+        return False
     d = _DIGITS.findall(text)
     if kind == "ip":
         return len(d) == 4 and _octets(".".join(d))
-    d = "".join(d)
+    digits = "".join(d)
     if kind == "card":
-        return 13 <= len(d) <= 19 and luhn(d)
-    return 7 <= len(d) + len(_AS_WORD.findall(text)) <= 15
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    return 7 <= len(digits) + len(_AS_WORD.findall(text)) <= 15 and not _NO_PHONE.fullmatch(text)
+
+
+#: What plausible spans are made of: digits and words for them, signs that stand for an at-sign, the word, and a dot before an ending.
+_MAKINGS = {
+    "digits": re.compile("[0-9]+"),
+    "spoken": _AS_WORD,
+    "sign": re.compile("[@＠#]"),
+    "at": re.compile(r"\b[aA][tT]\b"),
+    "ending": re.compile(rf"(?:\.|\b[dD][oO][tT]\b)\W*(?:{'|'.join(sorted(ENDINGS))}|{'|'.join(sorted(x.upper() for x in ENDINGS))})\b"),
+}
+
+
+def _near(counts: np.ndarray) -> np.ndarray:
+    """Sums over each window and those beside it."""
+    out = counts.copy()
+    out[1:] += counts[:-1]
+    out[:-1] += counts[1:]
+    return out
+
+
+def sought(text: str, windows: list[tuple[int, int, int, int]]) -> np.ndarray:
+    """The windows of a text that have, with those beside them, the makings of a plausible span, and their neighbours: such a span, if it is no longer than a window, lies in these alone."""
+    cuts = np.array(windows, np.int64)
+    has = {}
+    for name, pattern in _MAKINGS.items():
+        own = [m.span() for m in pattern.finditer(text)]
+        at = np.array([x for x, _ in own], np.int64)
+        sums = np.concatenate(([0], np.cumsum([z - x if name == "digits" else 1 for x, z in own], dtype=np.int64)))
+        has[name] = sums[np.searchsorted(at, cuts[:, 1])] - sums[np.searchsorted(at, cuts[:, 0])]
+    numbers = has["digits"] + has["spoken"]
+    some = (has["sign"] > 0) | (_near(numbers) >= 4) & (numbers > 0) | (has["at"] > 0) & (_near(has["ending"]) > 0)
+    return _near(some.astype(np.int64)) > 0
 
 
 def _windows(length: int) -> list[tuple[int, int, int, int]]:
@@ -135,8 +186,8 @@ def _may_hold(tagger: Tagger, codes: np.ndarray, cuts: np.ndarray, doc: np.ndarr
     return ((best > 0) | (last + after > 0)).any(1), kept
 
 
-def tagged(tagger: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]]]:
-    """The network's spans of each text: the best labelling of the whole of it.
+def tagged(tagger: Tagger, texts: list[str], wanted: Callable[[str, list], np.ndarray] | None = None) -> list[list[tuple[str, int, int]]]:
+    """The network's spans of each text: the best labelling of the whole of it, with O where windows are not `wanted`.
 
     All windows are read for bounds on what spans can gain in them, a few numbers each; the scores of those that
     a span may touch are kept or found again, and decoded where one may lie.
@@ -144,7 +195,11 @@ def tagged(tagger: Tagger, texts: list[str]) -> list[list[tuple[str, int, int]]]
     coded = [symbols(t) for t in texts]
     starts = np.concatenate(([0], np.cumsum([len(c) for c in coded])))
     codes = np.concatenate([*coded, np.zeros(1, np.uint8)])
-    own = [(a + w[0], a + w[1], a + w[2], a + w[3], i) for i, (a, c) in enumerate(zip(starts.tolist(), coded, strict=False)) if len(c) for w in _windows(len(c))]
+    own = []
+    for i, (a, c) in enumerate(zip(starts.tolist(), coded, strict=False)):
+        cuts = _windows(len(c)) if len(c) else []
+        some = wanted(texts[i], cuts) if wanted and cuts else np.ones(len(cuts), bool)
+        own += [(a + w[0], a + w[1], a + w[2], a + w[3], i) for w, chosen in zip(cuts, some.tolist(), strict=True) if chosen]
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     if not own:
         return out
@@ -198,14 +253,18 @@ def _pieces(texts: list[str | None]) -> Iterator[list[int]]:
 
 
 def added_spans(text: str, found: list[tuple[str, int, int]], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """The network's spans without the space and stops at their ends, if they are plausible, are no part of a word and overlap no span of the patterns."""
+    """The network's spans without the space and stops at their ends, if they are no part of a word and overlap no span of the patterns, each of its own kind if it is plausible as that, else of the first kind of number that it is plausible as."""
     out = []
     for kind, s, e in found:
         while s < e and (text[s].isspace() or text[s] in ".,;:-"):
             s += 1
         while s < e and (text[e - 1].isspace() or text[e - 1] in ".,;:-"):
             e -= 1
-        if s < e and not any(x < e and s < y for _, x, y in base) and plausible(kind, text[s:e]) and not text[max(0, s - 1) : s].isalnum() and not text[e : e + 1].isalnum():
+        if s == e or any(x < e and s < y for _, x, y in base) or text[max(0, s - 1) : s].isalnum() or text[e : e + 1].isalnum():
+            continue
+        kinds = [kind] if kind == "email" else [kind, *(k for k in KINDS[1:] if k != kind)]
+        kind = next((k for k in kinds if plausible(k, text[s:e])), None)
+        if kind and (kind != "phone" or not _THING.search(text, max(0, s - 40), s)):
             out.append((kind, s, e))
     return out
 
@@ -217,7 +276,7 @@ def all_spans(tagger: Tagger | None, texts: list[str | None]) -> list[tuple[list
         return [(b, b) for b in base]
     out: list[tuple[list, list]] = []
     for own in _pieces(texts):
-        for i, found in zip(own, tagged(tagger, [texts[i] or "" for i in own]), strict=True):
+        for i, found in zip(own, tagged(tagger, [texts[i] or "" for i in own], sought), strict=True):
             more = added_spans(texts[i], found, base[i]) if found else []
             out.append((base[i], sorted([*base[i], *more], key=lambda s: (s[1], KINDS.index(s[0]), s[2])) if more else base[i]))
     return out
@@ -237,7 +296,7 @@ def disguised(r: np.random.Generator, kind: str, words: list[str]) -> str:
         name = _one(r, "", "", ".", "_").join([_one(r, *words).lower() for _ in range(int(r.integers(1, 3)))]) + _one(r, "", "", _number(r, 2))
         parts = [_one(r, *words).lower(), *([_one(r, *words).lower()] if r.random() < 0.2 else []), _one(r, "com", "org", "net", "edu", "io", "de", "fr", "co", "info", "example", "test")]
         a, z = _one(r, "()", "[]", "{}", "<>")
-        at = _one(r, " at ", " AT ", f" {a}at{z} ", f"{a}at{z}", f" {a}AT{z} ", " @ ", f"{a}@{z}", f" {a}@{z} ", "＠", " @", "@ ")
+        at = _one(r, " at ", " AT ", f" {a}at{z} ", f"{a}at{z}", f" {a}AT{z} ", " @ ", f"{a}@{z}", f" {a}@{z} ", "＠", " @", "@ ", "#", " # ", f" {a}at{z} ", " at ")
         dot = _one(r, " dot ", " DOT ", f" {a}dot{z} ", f"{a}dot{z}", f"{a}.{z}", " . ", ".") if at.strip() not in ("@", "＠") else _one(r, " . ", ".", " .", " dot ")
         return (name if name.strip("._") else "info") + (" @ " if at == "@ " and dot == "." else at) + dot.join(parts)
     if kind == "ip":
@@ -262,8 +321,8 @@ def disguised(r: np.random.Generator, kind: str, words: list[str]) -> str:
 def harmless(r: np.random.Generator, words: list[str]) -> str:
     """A string with digits, signs or words of those that is no personal data."""
     n = lambda a, b: str(r.integers(a, b))
-    way = int(r.integers(18))
-    if way > 13:
+    way = int(r.integers(21))
+    if way > 15:
         return " ".join("".join(chr(97 + c) for c in r.integers(0, 26, int(r.integers(1, 10)))) for _ in range(int(r.integers(1, 6))))
     return (
         lambda: f"{n(1900, 2100)}-{n(10, 13)}-{n(10, 29)}",
@@ -276,10 +335,12 @@ def harmless(r: np.random.Generator, words: list[str]) -> str:
         lambda: f"{n(0, 99)}.{n(0, 9999)}",
         lambda: "".join(_one(r, *"0123456789abcdef") for _ in range(int(r.integers(8, 33)))),
         lambda: f"{_one(r, '#', 'no. ', 'id ', 'AB-')}{_number(r, int(r.integers(3, 9)))}",
-        lambda: f"{_one(r, *words)} at {_one(r, *words)} " + _one(r, "", f"dot {_one(r, *words)} ", f"at {_one(r, *words)}"),
+        lambda: f"{_one(r, *words)} at {_one(r, *words)} " + _one(r, "", f"at {_one(r, *words)}"),
         lambda: f"{_one(r, *_SPOKEN)} {_one(r, *words)} {_one(r, 'and', 'or', 'of')} {_one(r, *_SPOKEN)}",
         lambda: f"@{_one(r, *words)}",
         lambda: f"{n(1, 99)}, {n(1, 99)}, {n(1, 99)}" + _one(r, "", f", {n(1, 99)}", f" and {n(1, 99)}"),
+        lambda: f"{n(1900, 2100)}-{n(10, 13)}-{n(10, 29)}" + _one(r, " ", " to ", " we met ", "/", ", ") + _one(r, f"{n(1900, 2100)}-{n(10, 13)}-{n(10, 29)}", f"{n(10, 24)}:{n(10, 60)}:{n(10, 60)}", n(1, 99)),
+        lambda: f"{_one(r, 'section', 'chapter', 'version', 'table', 'fig.')} {n(1, 20)}.{n(1, 20)}" + _one(r, "", f".{n(1, 20)}", f".{n(1, 20)}.{n(1, 300)}"),
     )[way]()
 
 
@@ -328,9 +389,9 @@ def train(docs: DataFrame, seed: int = 0) -> Tagger | None:
             rows = []
             for text in b.column(0).to_pylist():
                 spans, taken = base_spans(text), set()
-                for _, x, y in spans[:8]:
+                for _, x, y in spans:
                     taken.add(max(0, min(x, (x + y - PASSAGE) // 2)))
-                for at in range(0, min(len(text), 50 * PASSAGE), 5 * PASSAGE):
+                for at in range(0, len(text), 5 * PASSAGE):
                     taken.add(at)
                 for at in sorted(taken):
                     own = [f"{k}:{x - at}:{y - at}" for k, x, y in spans if x >= at and y <= at + PASSAGE]

@@ -95,3 +95,39 @@ def test_address_parts_of_any_length():
     assert pii.base_spans("0" * 201 + "1.2.3.4") == [("ip", 0, 208)]
     assert pii.base_spans("1.2.3." + "0" * 5000 + "255") == [("ip", 0, 5009)]
     assert pii.base_spans("1.2.3." + "0" * 5000 + "256") == []
+
+
+def test_windows_without_makings_hold_no_plausible_span(tagger, monkeypatch):
+    monkeypatch.setattr(pii, "WINDOW", 200)
+    monkeypatch.setattr(pii, "SHARED", 100)
+    r, gen = random.Random(8), np.random.default_rng(11)
+    plain = [w for w in WORDS if w != "one"]
+    prose = lambda r, n: " ".join(r.choice(plain) for _ in range(n))
+    texts = [prose(r, 120) for _ in range(20)]
+    for _ in range(60):
+        put = pii.disguised(gen, r.choice(pii.KINDS), WORDS) if r.random() < 0.6 else pii.harmless(gen, WORDS)
+        texts.append(f"{prose(r, r.randrange(150))} {put} {prose(r, r.randrange(150))}")
+    sparse = dense = 0
+    for t in texts:
+        cuts = pii._windows(len(t))
+        dense, sparse = dense + len(cuts), sparse + int(pii.sought(t, cuts).sum())
+        base = pii.base_spans(t)
+        assert pii.added_spans(t, pii.tagged(tagger, [t], pii.sought)[0], base) == pii.added_spans(t, pii.tagged(tagger, [t])[0], base)
+    assert sparse < 0.7 * dense
+
+
+@pytest.mark.parametrize(("kind", "text", "told"), [
+    ("email", "john (at) example (dot) com", True), ("email", "home at last. Then", False), ("email", "maria at gmail dot com", True), ("email", "a@b.verylong", True), ("email", "meet at noon dot the", False),
+    ("email", "x at\ny dot org", True), ("phone", "2021-03-04 we met 12", False), ("phone", "2021-03-04", False), ("phone", "1914-1918", False), ("phone", "1,250,000", False), ("phone", "415-555-2671", True),
+    ("phone", "five five five one two three four", True), ("phone", "212.555.0187", True), ("phone", "12", False), ("ip", "10 dot 0 dot 0 dot 7", True), ("ip", "10 of 0 of 0 of 7", False), ("ip", "10.0.0.256", False),
+    ("card", "4111.1111.1111.1111", True), ("card", "4111.1111.1111.1112", False), ("card", "4111 or 1111 or 1111 or 1111", False), ("phone", "4 1 5 5 5 5 2 6 7 1" + " " * 200, True),
+])
+def test_plausible(kind, text, told):
+    assert pii.plausible(kind, text) is told
+
+
+def test_numbers_of_things_are_no_telephones():
+    for before in ("order number ", "Invoice # ", "ticket: ", "ISBN "):
+        text = f"{before}123-456-7890"
+        assert pii.added_spans(text, [("phone", len(before), len(text))], []) == []
+    assert pii.added_spans("call 123-456-7890", [("card", 5, 17)], []) == [("phone", 5, 17)]
