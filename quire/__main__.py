@@ -17,6 +17,7 @@ from pyspark.sql import SparkSession
 from quire.operators import batch as B
 from quire.plans import folder as D
 from quire.plans.runs import Run
+from quire.sinks.epub import checker
 
 COMMANDS = ("convert", "convert-pdf", "folder")
 
@@ -55,6 +56,9 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--table-format", type=table_format)
         for field in ("model", "title", "author", "publisher", "language"):
             c.add_argument(f"--{field}")
+        c.add_argument("--debug", help="a folder for payloads and chapters to look at")
+        c.add_argument("--epubcheck", help="a program that is run on each package before it is moved into place")
+        c.add_argument("--fail-on-warn", action="store_true")
         for field in ("extract-header", "extract-footer"):
             c.add_argument(f"--{field}", action=argparse.BooleanOptionalAction, default=True)
         for field in ("no-cache", "comic", "delete-sources", "no-images", "check-packages", "quiet"):
@@ -76,15 +80,16 @@ def main(args: list[str] | None = None) -> int:
         args.insert(0, "folder")
     a = parser().parse_args(args)
     settings, provider, model = settings_of(a), loaded(a.provider), loaded(a.metadata_model)
+    check = checker(a.epubcheck, a.fail_on_warn) if a.epubcheck else None
     spark = SparkSession.builder.appName("quire").getOrCreate()
     if a.command == "folder" and a.run:
         run = Run(spark, a.run)
-        run.convert(a.input, a.output, a.cache, provider, settings, model=model)
+        run.convert(a.input, a.output, a.cache, provider, settings, model=model, check=check)
         out = run.outcomes()
     elif a.command == "folder":
-        out = D.convert_folder(spark, a.input, a.output, a.cache, provider, settings, model=model)
+        out = D.convert_folder(spark, a.input, a.output, a.cache, provider, settings, check, model)
     else:
-        out = D.convert_file(spark, a.input, a.output or os.path.splitext(a.input)[0] + ".epub", a.cache, provider, settings, ("pdf",) if a.command == "convert-pdf" else ("pdf", "cbz"), model)
+        out = D.convert_file(spark, a.input, a.output or os.path.splitext(a.input)[0] + ".epub", a.cache, provider, settings, ("pdf",) if a.command == "convert-pdf" else ("pdf", "cbz"), model, check)
     if not a.quiet:
         print("\n".join(B.report(out)))
     failure = B.first_failure(out).first()

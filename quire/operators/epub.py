@@ -7,7 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quire.functions import text as T
 
 CONTAINER = '<?xml version="1.0" encoding="UTF-8"?>\n<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>\n'
-CSS = "body { margin: 5%; line-height: 1.5; }\nimg { max-width: 100%; height: auto; }\ntable { border-collapse: collapse; }\ntd, th { border: 1px solid; padding: 0.2em 0.5em; }\naside.callout { margin: 1em; padding-left: 1em; border-left: 3px solid; }\n"
+CSS = (
+    "body { margin: 5%; line-height: 1.5; }\nimg { max-width: 100%; height: auto; }\ntable { border-collapse: collapse; }\ntd, th { border: 1px solid; padding: 0.2em 0.5em; }\naside.callout { margin: 1em; padding-left: 1em; border-left: 3px solid; }\n"
+    "body.whole-page { margin: 0; padding: 0; text-align: center; }\nbody.whole-page img { display: block; margin: 0 auto; width: 100%; max-height: 100%; object-fit: contain; }\n"
+)
 #: Media that are stored as they are; everything else is deflated.
 STORED = ("image/jpeg", "image/png", "image/gif", "image/webp")
 
@@ -16,10 +19,10 @@ def _text(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
-def page(title: Column, body: Column, language: Column) -> Column:
-    """A whole XHTML document."""
+def page(title: Column, body: Column, language: Column, whole: bool = False) -> Column:
+    """A whole XHTML document; a whole page has no margins."""
     lang = T.xml_escape(language)
-    head = _text('<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE html>\n<html xmlns="http://www.w3.org/1999/xhtml" lang="', lang, '" xml:lang="', lang, '">\n<head><title>', T.xml_escape(title), '</title><link rel="stylesheet" type="text/css" href="../styles/book.css"/></head>\n<body>\n')
+    head = _text('<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE html>\n<html xmlns="http://www.w3.org/1999/xhtml" lang="', lang, '" xml:lang="', lang, '">\n<head><title>', T.xml_escape(title), '</title><link rel="stylesheet" type="text/css" href="../styles/book.css"/></head>\n<body', ' class="whole-page"' if whole else "", ">\n")
     return _text(head, body, "\n</body>\n</html>\n")
 
 
@@ -27,17 +30,18 @@ def comic_page(title: Column, image: Column, language: Column, width: Column, he
     """A page that is one image, in a viewport of its size."""
     lang = T.xml_escape(language)
     size = _text("width=", width.cast("string"), ", height=", height.cast("string"))
-    return _text('<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE html>\n<html xmlns="http://www.w3.org/1999/xhtml" lang="', lang, '" xml:lang="', lang, '">\n<head><title>', T.xml_escape(title), '</title><meta name="viewport" content="', size, '"/></head>\n<body><img src="', T.xml_escape(image), '" alt="', T.xml_escape(title), '"/></body>\n</html>\n')
+    return _text('<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE html>\n<html xmlns="http://www.w3.org/1999/xhtml" lang="', lang, '" xml:lang="', lang, '">\n<head><title>', T.xml_escape(title), '</title><meta name="viewport" content="', size, '"/><link rel="stylesheet" type="text/css" href="../styles/book.css"/></head>\n<body class="whole-page"><img src="', T.xml_escape(image), '" alt="', T.xml_escape(title), '"/></body>\n</html>\n')
 
 
 def nav(chapters: DataFrame, books: DataFrame, fixed: bool = False) -> DataFrame:
     """(doc_id, nav): the contents of each book from (doc_id, chapter_no, title, file_name); a fixed layout has the list of pages too."""
     item = _text('<li><a href="text/', T.xml_escape("file_name"), '">', T.xml_escape("title"), "</a></li>")
     by = chapters.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chapter_no", item.alias("item")))).alias("own"))
-    x = by.join(books.select("doc_id", F.col("title").alias("_title")), "doc_id")
-    items = F.array_join(F.col("own.item"), "")
-    pages = _text('<nav epub:type="page-list"><ol>', items, "</ol></nav>") if fixed else F.lit("")
-    whole = _text('<?xml version="1.0" encoding="UTF-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><head><title>', T.xml_escape("_title"), '</title></head><body><nav epub:type="toc"><ol>', items, "</ol></nav>", pages, "</body></html>\n")
+    x = by.join(books.select("doc_id", F.col("language").alias("_lang")), "doc_id")
+    items, lang = F.array_join(F.col("own.item"), ""), T.xml_escape(F.coalesce("_lang", F.lit("")))
+    pages = _text('<nav epub:type="page-list" id="page-list"><h2>Pages</h2><ol>', items, "</ol></nav>") if fixed else F.lit("")
+    head = _text('<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE html>\n<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops" lang="', lang, '" xml:lang="', lang, '"><head><title>Contents</title><link rel="stylesheet" type="text/css" href="styles/book.css"/></head>')
+    whole = _text(head, '<body><nav epub:type="toc" id="toc"><h1>Contents</h1><ol>', items, "</ol></nav>", pages, "</body></html>\n")
     return x.select("doc_id", whole.alias("nav"))
 
 
@@ -75,7 +79,7 @@ def entries(books: DataFrame, chapters: DataFrame, assets: DataFrame, modified:
     """
     row = lambda no, path, method, data: F.struct(F.lit(no).cast("long").alias("entry_no"), F.lit(path).alias("path"), F.lit(method).alias("method"), (data if isinstance(data, Column) else F.lit(data)).cast("binary").alias("bytes"))
     heads = books.select("doc_id", "title", "language", "cover_image").join(nav(chapters, books, fixed), "doc_id", "left").join(opf(books, chapters, assets, modified, fixed), "doc_id")
-    cover = page(F.lit("Cover"), _text('<img src="../images/', T.xml_escape("cover_image"), '" alt="', T.xml_escape("title"), '"/>'), F.col("language"))
+    cover = page(F.col("title"), _text('<img src="../images/', T.xml_escape("cover_image"), '" alt="', T.xml_escape("title"), '"/>'), F.col("language"), whole=True)
     fixed_rows = [row(0, "mimetype", "stored", "application/epub+zip"), row(1, "META-INF/container.xml", "deflated", CONTAINER), row(2, "OEBPS/styles/book.css", "deflated", CSS), row(3, "OEBPS/nav.xhtml", "deflated", F.col("nav")), row(4, "OEBPS/content.opf", "deflated", F.col("opf"))]
     if not fixed:
         fixed_rows.append(row(5, "OEBPS/text/cover.xhtml", "deflated", F.when(F.col("cover_image").isNotNull(), cover)))

@@ -17,6 +17,7 @@ from quire.operators import archive as A, batch as B, epub as E, metadata as M,
 from quire.operators.pages import metadata_sample
 from quire.session import Staged, make_folder
 from quire.sinks import epub as S
+from quire.sinks.files import write_files
 from quire.sources import archives as Z, books as K, payloads as Y, providers as V
 
 from . import convert
@@ -39,6 +40,7 @@ class Settings(convert.Options):
     no_cache: bool = False
     delete_sources: bool = False
     check_packages: bool = False
+    debug: str | None = None
 
 
 def _answers(keyed: DataFrame, contents: DataFrame, cache: str, provider: Callable[[bytes, dict], str] | None, settings: Settings, staged: Staged) -> DataFrame:
@@ -115,7 +117,7 @@ def convert_folder(spark: SparkSession, folder: str, out: str, cache: str, provi
     return convert_jobs(spark, folder, queue(spark, folder, settings, staged), out, cache, provider, settings, check, model)
 
 
-def convert_file(spark: SparkSession, path: str, out: str, cache: str, provider: Callable[[bytes, dict], str] | None = None, settings: Settings | None = None, formats: tuple[str, ...] = ("pdf", "cbz"), model: Callable[[bytes, dict], str] | None = None) -> DataFrame:
+def convert_file(spark: SparkSession, path: str, out: str, cache: str, provider: Callable[[bytes, dict], str] | None = None, settings: Settings | None = None, formats: tuple[str, ...] = ("pdf", "cbz"), model: Callable[[bytes, dict], str] | None = None, check: Callable[[str], str | None] | None = None) -> DataFrame:
     """OUTCOME's one row for one book, which is written to the file `out`. A book of another format than `formats` is refused; a path that is there but is no book, too."""
     settings, staged = settings or Settings(), Staged(spark, "folder")
     folder, name = os.path.split(rooted(path))
@@ -123,7 +125,7 @@ def convert_file(spark: SparkSession, path: str, out: str, cache: str, provider:
     refused = F.when(F.col("why").isNull() & ~F.col("format").isin(*formats), F.concat(F.lit(" or ".join(formats)), F.lit(" is expected")))
     jobs = queue(spark, folder, replace(settings, recursive=False), staged).where(F.col("path") == name)
     jobs = staged.put(jobs.withColumn("output_path", F.lit(target)).withColumn("why", F.coalesce("why", refused)))
-    return convert_jobs(spark, folder, jobs, place, cache, provider, settings, None, model)
+    return convert_jobs(spark, folder, jobs, place, cache, provider, settings, check, model)
 
 
 def convert_jobs(spark: SparkSession, folder: str, jobs: DataFrame, out: str, cache: str, provider: Callable[[bytes, dict], str] | None = None, settings: Settings | None = None, check: Callable[[str], str | None] | None = None, model: Callable[[bytes, dict], str] | None = None) -> DataFrame:
@@ -178,6 +180,7 @@ def convert_jobs(spark: SparkSession, folder: str, jobs: DataFrame, out: str, ca
         entries.where("path is null").select(F.col("archive").alias("doc_id"), F.lit("BadArgs").alias("kind"), F.lit("no archive").alias("message")),
         broken.where("why is not null").select(F.col("archive").alias("doc_id"), F.lit("BadArgs").alias("kind"), F.col("why").alias("message")),
         bad,
+        pages.select(F.col("archive").alias("doc_id")).distinct().join(comics["chapters"].select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit("BadArgs").alias("kind"), F.lit("the comic info marks every page as deleted").alias("message")),
     ] + ([] if faults is None else [faults.select("doc_id", F.lit("Validation").alias("kind"), "message")])
     errors = reduce(DataFrame.unionByName, told).groupBy("doc_id").agg(F.min("kind").alias("kind"), F.min("message").alias("message"))
     x = jobs
@@ -189,6 +192,8 @@ def convert_jobs(spark: SparkSession, folder: str, jobs: DataFrame, out: str, ca
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     shown = x.select("path", F.when(done, F.col("output_path")).alias("output_path"), F.when(done, "done").otherwise("error").alias("status"), kind.alias("kind"), F.when(~done, T.exit_code(kind)).otherwise(0).alias("exit_code"), message.alias("message"), zero("pages"), zero("chapters"), zero("images"), F.coalesce("cache_hit", F.lit(False)).alias("cache_hit"), "input_order", "source_path")
     result = staged.put(shown)
+    if settings.debug:
+        write_files(S.dumps(texts["chapters"], known, jobs), settings.debug)
     if settings.delete_sources:
         for r in result.where("status = 'done'").select("source_path").toLocalIterator():
             try:

@@ -557,7 +557,7 @@ def _package(spark, d):
 
 
 @query(f"""WITH {X.pages_sql()}, {CHAPTERS}, {NAMED}, {_BOOKS}, i AS (SELECT doc_id, string_agg('<li><a href="text/' || {escape('file_name')} || '">' || {escape('title')} || '</a></li>', '' ORDER BY chapter_no) AS items FROM filed GROUP BY doc_id)
-SELECT doc_id, md5('<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops"><head><title>' || {escape('title')} || '</title></head><body><nav epub:type="toc"><ol>' || items || '</ol></nav></body></html>' || chr(10)) AS nav_md5 FROM i JOIN books USING (doc_id)""")
+SELECT doc_id, md5('<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<!DOCTYPE html>' || chr(10) || '<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops" lang="' || language || '" xml:lang="' || language || '"><head><title>Contents</title><link rel="stylesheet" type="text/css" href="styles/book.css"/></head><body><nav epub:type="toc" id="toc"><h1>Contents</h1><ol>' || items || '</ol></nav></body></html>' || chr(10)) AS nav_md5 FROM i JOIN books USING (doc_id)""")
 def nav_document(spark, d):
     books, chapters, _ = _package(spark, d)
     return E.nav(chapters, books).select("doc_id", F.md5("nav").alias("nav_md5"))

@@ -65,7 +65,7 @@ class Run:
     def cancelled(self) -> bool:
         return self._exists("stop")
 
-    def convert(self, folder: str, out: str, cache: str, provider: Callable[[bytes, dict], str] | None = None, settings: D.Settings | None = None, batch: int = 1000, retry: bool = False, model: Callable[[bytes, dict], str] | None = None) -> dict[str, int]:
+    def convert(self, folder: str, out: str, cache: str, provider: Callable[[bytes, dict], str] | None = None, settings: D.Settings | None = None, batch: int = 1000, retry: bool = False, model: Callable[[bytes, dict], str] | None = None, check: Callable[[str], str | None] | None = None) -> dict[str, int]:
         """Converts what is pending (with `retry`, what failed too), `batch` books at a time, until the end or until it is cancelled; returns the counts.
 
         A batch's outcomes are written at once when its books are, so a book whose batch was interrupted is tried again, and no other.
@@ -81,7 +81,7 @@ class Run:
                 break
             self.spark.addTag(self.tag)
             try:
-                got = D.convert_jobs(self.spark, folder, left.where(chunk == r.n), out, cache, provider, settings, None, model)
+                got = D.convert_jobs(self.spark, folder, left.where(chunk == r.n), out, cache, provider, settings, check, model)
                 number = self.spark.range(1).select(F.date_format(F.current_timestamp(), "yyyyMMddHHmmssSSSSSS")).first()[0]
                 got.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in OUTCOME.split(", ")]).coalesce(1).write.parquet(f"{self.place}/outcomes/batch={number}")
             except Exception:

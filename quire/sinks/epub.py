@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import os
+import subprocess
 import tempfile
 import zipfile
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from quire.session import reachable
 
@@ -69,9 +70,27 @@ def write_books(entries: DataFrame, folder: str, check: Callable[[str], str | No
     return entries.groupBy("doc_id").applyInPandas(one, RESULT)
 
 
-def dumps(chapters: DataFrame) -> DataFrame:
-    """(doc_id, text): a document's chapters as one markdown text, to look at."""
-    from pyspark.sql import functions as F
+def checker(program: str, fail_on_warnings: bool = False) -> Callable[[str], str | None]:
+    """A check for write_books() that runs a program on each package: what it says of one that doesn't pass. As operators.batch.validation, a program that ends well is believed whatever it prints, but for warnings if these are to fail."""
 
-    by = chapters.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chapter_no", F.concat(F.lit("# "), "title", F.lit("\n\n"), "markdown", F.lit("\n")).alias("t")))).alias("own"))
-    return by.select("doc_id", F.array_join(F.col("own.t"), "\n").alias("text"))
+    def check(path: str) -> str | None:
+        try:
+            done = subprocess.run([program, path], capture_output=True, check=False)
+        except OSError as e:
+            return f"{program} can't be run: {e.strerror}"
+        said = b"\n".join(x for x in (done.stdout, done.stderr) if x).decode("utf-8", "replace")
+        warnings, errors = said.count("WARNING"), said.count("ERROR")
+        if done.returncode == 0 and not (fail_on_warnings and warnings):
+            return None
+        return f"{errors} errors, {warnings} warnings" + (f"\n{said}" if said.strip() else "")
+
+    return check
+
+
+def dumps(chapters: DataFrame, payloads: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, bytes) of files to look at: for each of `names` (doc_id, path) its chapters as one markdown text, and the recognition's payload as JSON."""
+    text = F.concat(F.lit("# "), "title", F.lit("\n\n"), "markdown", F.lit("\n"))
+    by = chapters.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("chapter_no", text.alias("t")))).alias("own"))
+    shown = by.select("doc_id", F.lit("normalized_chapters.md").alias("file"), F.array_join(F.col("own.t"), "\n").cast("binary").alias("bytes"))
+    said = payloads.select("doc_id", F.lit("ocr_payload.json").alias("file"), F.to_json("payload").cast("binary").alias("bytes"))
+    return shown.unionByName(said).join(names.select("doc_id", "path"), "doc_id").select(F.concat_ws("/", "path", "file").alias("name"), "bytes")

@@ -170,6 +170,20 @@ def test_publish(tmp_path):
     assert S.publish(str(place), write) is None and place.read_text() == "new" and sorted(p.name for p in tmp_path.iterdir()) == ["link.epub", "out.epub"]
 
 
+def test_a_program_checks_packages(tmp_path):
+    def program(text, code):
+        place = tmp_path / f"check-{code}-{len(text)}"
+        place.write_text(f"#!/bin/sh\necho '{text}'\necho \"$1\" >&2\nexit {code}\n")
+        place.chmod(0o755)
+        return str(place)
+
+    assert S.checker(program("fine", 0))("x") is None
+    assert S.checker(program("WARNING a", 0))("x") is None
+    assert S.checker(program("WARNING a", 0), fail_on_warnings=True)("x").startswith("0 errors, 1 warnings\nWARNING a")
+    assert S.checker(program("ERROR a ERROR b", 1))("the.epub") == "2 errors, 0 warnings\nERROR a ERROR b\n\nthe.epub\n"
+    assert "can't be run" in S.checker(str(tmp_path / "none"))("x")
+
+
 def test_output_paths(spark):
     x = spark.createDataFrame([(1, "a/Book.pdf"), (2, "a/book.CBZ"), (3, "a/book-2.pdf"), (4, "b/book"), (5, "a/BOOK.pdf")], "input_order int, path string")
     got = {r.input_order: r.output_path for r in B.unique_paths(x).collect()}

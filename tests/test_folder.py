@@ -33,7 +33,8 @@ def test_folder(spark, tmp_path):
     assert rows["a.cbz"].output_path == "a.epub" and rows["a.pdf"].output_path == "a-2.epub" and (out / "sub/e.epub").exists()
     assert (rows["a.pdf"].pages, rows["a.pdf"].chapters, rows["c.cbz"].images, rows["a.pdf"].cache_hit) == (2, 2, 2, False)
     assert "Jo Doe" in zipfile.ZipFile(out / "a-2.epub").read("OEBPS/content.opf").decode()
-    again = {r.path: r for r in D.convert_folder(spark, str(src), str(out), str(cache), None, D.Settings(recursive=True, delete_sources=True)).collect()}
+    again = {r.path: r for r in D.convert_folder(spark, str(src), str(out), str(cache), None, D.Settings(recursive=True, delete_sources=True, debug=str(tmp_path / "debug"))).collect()}
+    assert (tmp_path / "debug/a.pdf/normalized_chapters.md").read_text().startswith("# Title\n") and json.loads((tmp_path / "debug/a.pdf/ocr_payload.json").read_text())["pages"]
     assert again["a.pdf"].cache_hit and again["a.pdf"].status == "done" and not (src / "a.pdf").exists() and (src / "bad.pdf").exists()
 
 
@@ -70,8 +71,10 @@ def test_broken_comic_info_fails_the_book(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.cbz").write_bytes(data.getvalue())
     (tmp_path / "in/b.cbz").write_bytes(comic())
-    rows = {r.path: r for r in D.convert_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cache")).collect()}
+    (tmp_path / "in/c.cbz").write_bytes(comic(info='<ComicInfo><Pages><Page Image="0" Type="Deleted"/><Page Image="1" Type="Deleted"/><Page Image="2" Type="Deleted"/></Pages></ComicInfo>'))
+    rows = {r.path: r for r in D.convert_folder(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cache"), settings=D.Settings(check_packages=True)).collect()}
     assert (rows["a.cbz"].status, rows["a.cbz"].kind, rows["b.cbz"].status) == ("error", "BadArgs", "done") and not (tmp_path / "out/a.epub").exists()
+    assert (rows["c.cbz"].kind, rows["c.cbz"].message) == ("BadArgs", "the comic info marks every page as deleted")
 
 
 def test_every_file_of_a_package_is_in_its_manifest(spark):
