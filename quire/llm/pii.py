@@ -463,6 +463,8 @@ def find(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
 def redact(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
     """`docs` with each span, or run of overlapping ones, replaced by its first's kind in brackets; n_chars, if there, is counted anew.
 
+    What the patterns find only when something beside it is gone (of two card numbers in a row, which are no match together, the other one) is replaced as well.
+
     Every row comes out once, with all of its columns; null and empty texts stay as they are.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
@@ -473,7 +475,9 @@ def redact(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
             if a >= done:
                 out += [text[done:a], f"[{kind.upper()}]"]
             done = max(done, z)
-        return "".join([*out, text[done:]])
+        new = "".join([*out, text[done:]])
+        bare = base_spans(new)  # fewer digits or at-signs each time
+        return clean(new, bare) if bare else new
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
