@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
@@ -172,3 +173,24 @@ def test_fingerprints_and_components(rows, documents):
             break
         low = new
     assert {i: r.component_id for i, r in got.items()} == low
+
+
+def test_whitened_vectors(rows, duck):
+    """Against exact integer covariances, one product at a time."""
+    vectors = duck.sql("SELECT vec_id, embedding FROM embeddings").fetchall()
+    made = [(i, tuple(int(np.floor(64 * float(c))) + 1_000_000 for c in v)) for i, v in vectors if v is not None and all(c is not None and np.isfinite(c) for c in v)]
+    fit = sorted({x for _, x in made})
+    n, sums = len(fit), [sum(c) for c in zip(*fit, strict=True)]
+    y = {x: [n * a - s for a, s in zip(x, sums, strict=True)] for x in fit}
+    exact = np.array(list(y.values()), object)
+    cov = (exact.T @ exact).astype(float) / float(n) ** 3
+    e, v = np.linalg.eigh(cov)
+    e, v = e[::-1][:16], v[:, ::-1][:, :16]
+    got, signs = {(r.vec_id, r.component): r for r in rows("op11_whiten")}, {}
+    assert len(got) == 16 * len(made) and len({r.identity_error for r in got.values()}) == 1 and got[made[0][0], 1].identity_error < 1e-9
+    for i, x in made:
+        whitened = np.array([c / n for c in y[x]]) @ v / np.sqrt(e)
+        for k in range(16):
+            r = got[i, k + 1]
+            sign = signs.setdefault(k, 1 if r.whitened * whitened[k] > 0 else -1)
+            assert (r.n, r.deviation) == (n, sum(c * c for c in y[x])) and abs(r.whitened - sign * whitened[k]) < 1e-6 and abs(r.explained / (e[k] / np.trace(cov)) - 1) < 1e-9
