@@ -239,7 +239,7 @@ def without_repeats(docs: DataFrame, width: int = 35, texts: bool = False) -> Da
     rows = staged.put(whole.drop("packed"))
     long = F.col("n_words") >= width
     # documents with the same words: all of them go if they have a window, and one tells the others
-    same = rows.where(long).groupBy("words_sha256", "n_words").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    same = staged.put(rows.where(long).groupBy("words_sha256", "n_words").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))  # a table, so that the join can split a large group
     copies = staged.put(rows.join(same, ["words_sha256", "n_words"]).select("row", (F.col("row") == F.col("first")).alias("tells")))
     none, nothing = F.array().cast("array<int>").alias("at"), F.array().cast("array<binary>").alias("every")
     near = _repeated(whole.where(long).select("row", "packed", none, nothing, F.lit(False).alias("settled")), lambda _, n: anchors(n, width, cover), width - cover + 1, 1)
