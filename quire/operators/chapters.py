@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quire.functions import text as T
 
+# Patterns of headings, and the numbers that bound chapters.
 ATX = r"(?U)^\s{0,3}(#{1,6})\s+(.+?)\s*#*\s*\z"
 SETEXT = r"(?U)^\s{0,3}(=+|-+)\s*\z"
 CHAPTER_LINE = r"(?iU)^\s*(chapter|part)\s+([0-9ivxlcdm]+)\b.*\z"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions import text as T
 
+# What the packages' format prescribes, here and in the documents below: names of elements, namespaces and properties.
 CONTAINER = '<?xml version="1.0" encoding="UTF-8"?>\n<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>\n'
 CSS = (
     "body { margin: 5%; line-height: 1.5; }\nimg { max-width: 100%; height: auto; }\ntable { border-collapse: collapse; }\ntd, th { border: 1px solid; padding: 0.2em 0.5em; }\naside.callout { margin: 1em; padding-left: 1em; border-left: 3px solid; }\n"

@@ -67,9 +67,3 @@ def fake(content: bytes, options: dict) -> str:
     import json
 
     return json.dumps({"model": options.get("model", "fake"), "pages": [{"index": i, "markdown": p} for i, p in enumerate(content.decode("utf-8", "replace").split("\f"))]})
-
-
-def failure_message(body: Column | str) -> Column:
-    from quire.functions.text import error_message
-
-    return F.coalesce(error_message(body), F.lit("no message"))
