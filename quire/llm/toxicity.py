@@ -137,8 +137,8 @@ def _sampled(docs: DataFrame, known: DataFrame) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """A lexicon from `docs` (doc_id, text) and `labels` (doc_id, toxic 0 or 1); rows without label or id don't count, a repeated label counts once, as toxic if any is.
 
-    Beginnings of words are counted by class where the texts are; only those of toxic texts come to the driver, which
-    SAMPLE bounds. An entry gives way to a shorter one that is as telling. Without rows of both classes the
+    Beginnings of words are counted and weighed where the texts are; only those that tell of toxic texts come to the driver,
+    and SAMPLE bounds them. An entry gives way to a shorter one that is as telling. Without rows of both classes the
     lexicon is empty and every text scores 0.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -159,10 +159,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
 
     counted = sample.mapInArrow(count, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     # log odds less CAUTION standard errors: few sightings prove little
-    odds = lambda toxic, clean: np.log((toxic + 0.5) / (n[1] + 1)) - np.log((clean + 0.5) / (n[0] + 1)) - CAUTION * np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
-    rows = [(f, float(odds(t, c)), t) for f, c, t in counted.where((F.col("toxic") >= 2) & (F.col("toxic") > F.col("clean"))).collect()]
+    t, c = F.col("toxic") + F.lit(0.5), F.col("clean") + F.lit(0.5)
+    odds = F.log(t / F.lit(n[1] + 1.0)) - F.log(c / F.lit(n[0] + 1.0)) - F.lit(CAUTION) * F.sqrt(F.lit(1.0) / t + F.lit(1.0) / c)
+    telling = counted.where((F.col("toxic") >= 2) & (F.col("toxic") > F.col("clean"))).select("feature", odds.alias("odds")).where(F.col("odds") >= LEAST_ODDS)
+    rows = [(r.feature, r.odds) for r in telling.collect()]
     entries: dict[str, float] = {}
-    for f, w, _ in sorted((r for r in rows if r[1] >= LEAST_ODDS), key=lambda r: (len(r[0].rstrip()), r[0])):
+    for f, w in sorted(rows, key=lambda r: (len(r[0].rstrip()), r[0])):
         shorter = [entries[f[:k]] for k in range(2, len(f)) if f[:k] in entries]
         if not shorter or w > max(shorter) + 0.7:
             entries[f] = w
