@@ -12,6 +12,7 @@ file of its own, and a reader sees a whole file or none.
 from __future__ import annotations
 
 import struct
+import time
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -77,6 +78,24 @@ def _safe(name: str) -> str:
     return "/".join(parts)
 
 
+def _folders(system: pafs.FileSystem, below: str, name: str) -> None:
+    """The folders of a name, below one that must be there: what the job's end has deleted is not made anew."""
+    parts = name.split("/")[:-1]
+    for i in range(len(parts)):
+        system.create_dir("/".join([below, *parts[: i + 1]]), recursive=False)
+
+
+def _deleted(system: pafs.FileSystem, folder: str) -> None:
+    """A folder that tasks may still be writing to, for a moment, is deleted."""
+    for _ in range(50):
+        try:
+            if system.get_file_info(folder).type != pafs.FileType.Directory:
+                return
+            system.delete_dir(folder)
+        except OSError:  # something came in meanwhile
+            time.sleep(0.1)
+
+
 class FileWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.folder, self.packages = options["path"].rstrip("/"), options.get("shape", "files") == "packages"
@@ -94,7 +113,7 @@ class FileWriter(DataSourceArrowWriter):
             for _ in (self._packages if self.packages else self._files)(system, own, batches):
                 pass
         except BaseException:
-            system.delete_dir(own)
+            _deleted(system, own)
             raise
         return Written(own)
 
@@ -102,7 +121,7 @@ class FileWriter(DataSourceArrowWriter):
         for b in batches:
             for name, data in zip(b.column("name"), b.column("bytes"), strict=True):
                 path = _safe(name.as_py())
-                system.create_dir(f"{staging}/{path}".rpartition("/")[0], recursive=True)
+                _folders(system, staging, path)
                 with system.open_output_stream(f"{staging}/{path}") as out:
                     out.write(data.as_py())
                 yield path
@@ -118,7 +137,7 @@ class FileWriter(DataSourceArrowWriter):
                         package.close()
                         package.out.close()
                         yield now
-                    system.create_dir(f"{staging}/{name}".rpartition("/")[0], recursive=True)
+                    _folders(system, staging, name)
                     now, package = name, Package(system.open_output_stream(f"{staging}/{name}"))
                 package.add(b.column("path")[i].as_py(), b.column("bytes")[i].as_py(), b.column("method")[i].as_py() == "stored")
         if package is not None:
@@ -133,8 +152,7 @@ class FileWriter(DataSourceArrowWriter):
 
     def _clean(self) -> None:
         system, folder = self._place()
-        if system.get_file_info(f"{folder}/.staging-{self.job}").type == pafs.FileType.Directory:
-            system.delete_dir(f"{folder}/.staging-{self.job}")
+        _deleted(system, f"{folder}/.staging-{self.job}")
 
     def commit(self, messages: list[Written | None]) -> None:
         system, folder = self._place()
