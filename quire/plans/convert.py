@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from quire.functions import text as T
 from quire.functions.markdown import markdown_html
 from quire.operators import archive as A, chapters as C, epub as E, metadata as M, pages as G
-from quire.session import reachable
+from quire.session import Staged, reachable
 from quire.sources import payloads as Y
 
 
@@ -76,16 +76,22 @@ def recognised(jobs: DataFrame, options: Options | None = None, pdf: DataFrame |
     return {"books": books, "chapters": chapters, "assets": images, "errors": errors, "entries": E.entries(books, chapters, images, options.modified, fixed=options.comic)}
 
 
-def comics(books: DataFrame, pages: DataFrame, info: DataFrame, options: Options | None = None) -> dict[str, DataFrame]:
-    """books, chapters, assets and entries of archives: books (archive, source_hash, and path if that is another name); pages (archive, source_index, source_path, media_type, extension, width, height, bytes); info as sources.books.COMIC_INFO."""
+def comics(books: DataFrame, pages: DataFrame, info: DataFrame, options: Options | None = None, staged: Staged | None = None) -> dict[str, DataFrame]:
+    """books, chapters, assets and entries of archives: books (archive, source_hash, and path if that is another name); pages (archive, source_index, source_path, media_type, extension, width, height, bytes); info as sources.books.COMIC_INFO.
+
+    With `staged`, kept pages and books are written once, and packages read these tables; without it, each of their dozen uses is in one plan with
+    all that pages and info come from.
+    """
     options = options or Options()
+    put = staged.put if staged else lambda x: x
     marks = info.select("archive", F.posexplode("pages").alias("info_no", "p")).select("archive", "info_no", "p.image", "p.deleted", "p.front_cover")
     kept = A.retained(pages, marks)
-    x = books.join(info.drop("pages", "error"), "archive", "left")
+    x = books.join(info.drop("pages", "error"), "archive", "left").withColumn("language", F.coalesce(T.clean_value("language"), F.lit(options.language))).withColumnRenamed("archive", "doc_id")
     own = kept.select(F.col("archive").alias("doc_id"), F.col("kept_no").alias("chapter_no"), F.col("page_id").alias("chapter_id"), "title", F.concat("page_id", F.lit(".xhtml")).alias("file_name"), F.concat("page_id", F.lit("."), "extension").alias("image"), "width", "height", "media_type", "bytes", "is_cover")
-    language = F.coalesce(T.clean_value("language"), F.lit(options.language))
+    # merged: pages compress so well that a table of them looks small enough to be sent to every task
+    own = put(own.hint("merge").join(x.select("doc_id", "language"), "doc_id"))
     cover = own.where("is_cover").select("doc_id", F.col("image").alias("cover_image"))
-    made = x.select(F.col("archive").alias("doc_id"), "source_hash", F.coalesce(T.clean_value("title"), T.file_stem("path" if "path" in books.columns else "archive", "Comic")).alias("title"), T.clean_value("writer").alias("author"), language.alias("language"), T.clean_value("publisher").alias("publisher"), T.clean_value("summary").alias("description"), F.array().cast("array<string>").alias("subjects"), F.when(F.col("right_to_left"), "rtl").otherwise("ltr").alias("direction")).join(cover, "doc_id")
-    chapters = own.join(made.select("doc_id", "language"), "doc_id").withColumn("xhtml", E.comic_page(F.col("title"), F.concat(F.lit("../images/"), "image"), F.col("language"), F.col("width"), F.col("height")))
+    made = put(x.select("doc_id", "source_hash", F.coalesce(T.clean_value("title"), T.file_stem("path" if "path" in books.columns else "doc_id", "Comic")).alias("title"), T.clean_value("writer").alias("author"), "language", T.clean_value("publisher").alias("publisher"), T.clean_value("summary").alias("description"), F.array().cast("array<string>").alias("subjects"), F.when(F.col("right_to_left"), "rtl").otherwise("ltr").alias("direction")).join(cover, "doc_id"))
+    chapters = own.drop("bytes").withColumn("xhtml", E.comic_page(F.col("title"), F.concat(F.lit("../images/"), "image"), F.col("language"), F.col("width"), F.col("height")))
     assets_ = own.select("doc_id", F.col("chapter_no").alias("asset_no"), F.col("image").alias("file_name"), "media_type", "bytes")
     return {"books": made, "chapters": chapters, "assets": assets_, "entries": E.entries(made, chapters, assets_, options.modified, fixed=True)}

@@ -159,7 +159,7 @@ def convert_jobs(spark: SparkSession, folder: str, jobs: DataFrame, out: str, ca
     bad = info.where("error is not null").select(F.col("archive").alias("doc_id"), F.lit("BadArgs").alias("kind"), F.concat(F.lit("ComicInfo: "), "error").alias("message"))
     sources = sources.join(bad.select(F.col("doc_id").alias("archive")), "archive", "left_anti")
     pages = pages.join(bad.select(F.col("doc_id").alias("archive")), "archive", "left_anti")
-    comics = _settled(convert.comics(sources, pages, info, settings), settings, True, staged)
+    comics = convert.comics(sources, pages, info, settings, staged)
 
     both = texts["entries"].unionByName(comics["entries"]).join(jobs.select("doc_id", "output_path", "source_path"), "doc_id")
     faults = None

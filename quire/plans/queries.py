@@ -630,16 +630,22 @@ kept AS (SELECT archive, page - 1 AS page FROM p WHERE page > 1), books AS (SELE
 SELECT archive AS doc_id, entry_no::BIGINT AS entry_no, path, CASE WHEN entry_no = 0 THEN 'stored' ELSE 'deflated' END AS method FROM books, f
 UNION ALL SELECT archive, page + 5, printf('OEBPS/text/page-%04d.xhtml', page), 'deflated' FROM kept UNION ALL SELECT archive, 4294967296 + page, printf('OEBPS/images/page-%04d.png', page), 'stored' FROM kept""")
 def comic_packages(spark, d):
-    """Packages of those archives whose pages are all sound; the first page of each is marked as deleted."""
+    """Packages of those archives whose pages are all sound; the first page of each is marked as deleted.
+
+    What is used more than once is written first: as one plan, each use would open and probe all archives again.
+    """
     from quire.plans.convert import comics
 
-    folder = X.archives(spark, d)
-    files = K.probed(Z.read(spark, folder, "content").select("archive", "entry_index", "path", "bytes", "error"))
+    folder, staged = X.archives(spark, d), Staged(spark, "comics")
+    probed = K.probed(Z.read(spark, folder, "content").select("archive", "entry_index", "path", "bytes", "error"))
+    used = F.col("media_type").isNotNull() | (F.lower("path") == "comicinfo.xml")
+    files = staged.put(probed.withColumn("bytes", F.when(used, F.col("bytes"))))
     bad = files.where("error is not null or probe_error is not null").select("archive").distinct()
     sound = files.join(bad, "archive", "left_anti")
     pages = sound.where("media_type is not null").select("archive", F.col("entry_index").alias("source_index"), F.col("path").alias("source_path"), "media_type", "extension", "width", "height", "bytes")
-    books = Z.read(spark, folder, "files").select(F.col("path").alias("archive"), "source_hash").join(bad, "archive", "left_anti")
-    out = comics(books, pages, K.comic_info(sound.select("archive", "path", "bytes")))["entries"]
+    books = staged.put(Z.read(spark, folder, "files").select(F.col("path").alias("archive"), "source_hash")).join(bad, "archive", "left_anti")
+    info = staged.put(K.comic_info(sound.select("archive", "path", "bytes")))
+    out = comics(books, pages, info, staged=staged)["entries"]
     return out.select(F.regexp_extract("doc_id", "[^/]*$", 0).alias("doc_id"), "entry_no", "path", "method")
 
 
