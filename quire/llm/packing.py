@@ -49,9 +49,10 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
         tokens, met = word_tokens(path), np.zeros(VOCABULARY, "<i8")
         names = ["doc_id", "n", "least", "same", "ids"]
         for big in batches:
+            encoded = tokens.encode_all(big.column(1))
             for at in range(0, big.num_rows, 512):
                 b = big.slice(at, 512)
-                ids = [tokens.encode(x) + end for x in b.column(1).to_pylist()]
+                ids = [x + end for x in encoded[at : at + 512]]
                 n = pa.array([len(x) // 2 for x in ids], pa.int64())
                 sets = [np.unique(np.frombuffer(x, "<u2")) for x in ids]
                 for x in sets:
